@@ -17,16 +17,24 @@ def extract_text(record: Column | str = "record") -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), quoted, F.lit(""))
 
 
+_ONE_TO_ONE = {k: v for k, v in fixed.SPECIAL_LETTERS.items() if len(v) == 1}
+_MULTI = {k: v for k, v in fixed.SPECIAL_LETTERS.items() if len(v) > 1}
+_FROM = fixed.ACCENT_FROM + "".join(_ONE_TO_ONE)
+_TO = fixed.ACCENT_TO + "".join(_ONE_TO_ONE.values())
+
+
 def strip_accents(c: Column) -> Column:
-    t = F.translate(c, fixed.ACCENT_FROM, fixed.ACCENT_TO)
-    for letter, ascii_ in fixed.SPECIAL_LETTERS.items():
+    """Letters with diacritics to ASCII (one translate, then the few
+    letters spelled with two ASCII letters)."""
+    t = F.translate(c, _FROM, _TO)
+    for letter, ascii_ in _MULTI.items():
         t = F.replace(t, F.lit(letter), F.lit(ascii_))
     return t
 
 
 def clean_text(c: Column | str) -> Column:
     """lower -> drop URLs, mentions, hashtags -> drop non-word characters ->
-    accents to ASCII -> collapse white space -> trim."""
+    accents to ASCII -> collapse white space -> trim (one expression)."""
     t = F.lower(F.col(c) if isinstance(c, str) else c)
     t = F.regexp_replace(t, fixed.URL_PATTERN, "")
     t = F.regexp_replace(t, fixed.MENTION_PATTERN, "")

@@ -34,13 +34,15 @@ def with_text(raw: DataFrame) -> DataFrame:
 
 
 def with_clean_text(df: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """``clean_text`` (O-80); rows whose clean text is '' are dropped unless asked."""
+    """``clean_text`` (O-80); rows whose clean text is '' are dropped unless
+    asked.  The cleaning chain is one linear expression: a filter the
+    optimizer pushes under it repeats it at most once."""
     out = df.withColumn("clean_text", text.clean_text("text"))
     return out if keep_empty else out.where(F.col("clean_text") != "")
 
 
-def clean_posts(raw: DataFrame) -> DataFrame:
-    return with_clean_text(with_text(raw)).withColumn("post_id", post_id())
+def clean_posts(raw: DataFrame, keep_empty: bool = False) -> DataFrame:
+    return with_clean_text(with_text(raw), keep_empty).withColumn("post_id", post_id())
 
 
 def dedup_first(df: DataFrame, order: Sequence[str] = ("source_rank", "inserted_at", "uri"),
@@ -66,5 +68,11 @@ def with_weak_labels(df: DataFrame, verified: Sequence[str]) -> DataFrame:
 
 
 def prepare_posts(raw: DataFrame, verified: Sequence[str]) -> DataFrame:
-    """The shared head of both runs: clean -> dedup -> weak label."""
-    return with_weak_labels(dedup_first(clean_posts(raw)), verified)
+    """The shared head of both runs: clean -> dedup -> weak label.
+
+    Posts whose clean text is '' are dropped *after* the dedup aggregate
+    (they all fall into one group, combined map-side).  A filter before it
+    would be pushed under the projection by the optimizer and evaluate the
+    whole cleaning chain a second time for every row."""
+    d = dedup_first(clean_posts(raw, keep_empty=True))
+    return with_weak_labels(d.where(F.col("clean_text") != ""), verified)

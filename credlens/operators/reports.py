@@ -43,24 +43,38 @@ def js_distance(current: DataFrame, previous: DataFrame, key: str = "key",
                 share: str = "share") -> DataFrame:
     """Jensen-Shannon distance (natural log, square root) between two
     distributions given as (key, share) tables; keys missing on one side
-    count 0; both sides are renormalised.  One row; NULL when there are no
-    keys or a side sums to 0."""
+    count 0.  See ``js_distance_pq``."""
     j = (current.select(key, F.col(share).alias("p"))
-         .join(previous.select(key, F.col(share).alias("q")), key, "full_outer")
-         .select(key, F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q")))
-    sums = j.agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.count("*").alias("nk"))
-    sp, sq = sums.select("sp").scalar(), sums.select("sq").scalar()
-    pn, qn = F.col("p") / sp, F.col("q") / sq
+         .join(previous.select(key, F.col(share).alias("q")), key, "full_outer"))
+    return js_distance_pq(j)
+
+
+def paired_counts(df: DataFrame, col: str, is_current: Column) -> DataFrame:
+    """(key, p, q): counts of ``col`` values in the current and the previous
+    part of one table, in a single aggregate (no join of two scans)."""
+    d = df.where(F.col(col).isNotNull())
+    return d.groupBy(F.col(col).alias("key")).agg(
+        F.count_if(is_current).cast("double").alias("p"),
+        F.count_if(~is_current).cast("double").alias("q"))
+
+
+def js_distance_pq(pq: DataFrame) -> DataFrame:
+    """JS distance from a (key, p, q) table of weights; both sides are
+    renormalised.  One row; NULL when there are no keys or a side sums to
+    0.  The sums are one scalar subquery over the same (small, per-key)
+    table, so the input plan is planned once and its exchange reused."""
+    j = pq.select(F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    sums = j.agg(F.struct(F.sum("p").alias("sp"), F.sum("q").alias("sq"),
+                          F.count("*").alias("nk")).alias("s")).scalar()
+    pn, qn = F.col("p") / sums["sp"], F.col("q") / sums["sq"]
     m = (pn + qn) / 2
 
     def kl(x: Column) -> Column:
         return F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
 
-    terms = j.select((kl(pn) + kl(qn)).alias("t"))
-    return sums.select(
-        F.when((F.col("nk") > 0) & (F.col("sp") > 0) & (F.col("sq") > 0),
-               F.sqrt(F.greatest(F.lit(0.0), terms.agg(F.sum("t")).scalar() / 2)))
-         .alias("js_distance"))
+    total = j.agg(F.sum(kl(pn) + kl(qn)).alias("t"), F.count("*").alias("nk"))
+    valid = (F.col("nk") > 0) & (sums["sp"] > 0) & (sums["sq"] > 0)
+    return total.select(F.when(valid, F.sqrt(F.greatest(F.lit(0.0), F.col("t") / 2))).alias("js_distance"))
 
 
 def distribution_text(dist: DataFrame, key: str = "key", share: str = "share") -> Column:

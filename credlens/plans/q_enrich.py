@@ -149,9 +149,13 @@ def _js_sql(col: str, name: str) -> list[tuple[str, str]]:
     ]
 
 
+def _half(spark, sf):
+    return S.table(spark, sf, "documents").agg((F.count("*") / 2).alias("h")).scalar()
+
+
 def _halves(spark, sf, col):
     e = enriched(spark, sf)
-    half = S.table(spark, sf, "documents").agg((F.count("*") / 2).alias("h")).scalar()
+    half = _half(spark, sf)
     cur = Rp.distribution(e.where(F.col("doc_id") >= half), col)
     prev = Rp.distribution(e.where(F.col("doc_id") < half), col)
     return cur, prev
@@ -160,8 +164,10 @@ def _halves(spark, sf, col):
 @register("drift_js", O.with_(*EN, *_js_sql("source_label", "lab"), *_js_sql("lang_detected", "lng"), final="""
 SELECT round((SELECT d FROM lab_js), 6) AS label_js_distance, round((SELECT d FROM lng_js), 6) AS language_js_distance"""))
 def drift_js(spark, sf):
-    lab = Rp.js_distance(*_halves(spark, sf, "source_label"))
-    lng = Rp.js_distance(*_halves(spark, sf, "lang_detected"))
+    e = enriched(spark, sf)
+    cur = F.col("doc_id") >= _half(spark, sf)
+    lab = Rp.js_distance_pq(Rp.paired_counts(e, "source_label", cur))
+    lng = Rp.js_distance_pq(Rp.paired_counts(e, "lang_detected", cur))
     return lab.select(r6(F.col("js_distance")).alias("label_js_distance"),
                       r6(lng.scalar()).alias("language_js_distance"))
 
