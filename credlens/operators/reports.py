@@ -117,7 +117,7 @@ def _try_cast_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def metric_avg_latency(lines: DataFrame, prefix: str = "predict_latency_seconds",
+def metric_avg_latency(lines: DataFrame, prefix: str = "api_request_latency_seconds",
                        col: str = "value") -> DataFrame:
     """latency sum / latency count, NULL when the count is 0 or missing."""
     v = F.col(col)
@@ -125,7 +125,7 @@ def metric_avg_latency(lines: DataFrame, prefix: str = "predict_latency_seconds"
     ok = ~v.startswith("#")
     s = F.sum(F.when(ok & v.startswith(prefix + "_sum"), num))
     c = F.sum(F.when(ok & v.startswith(prefix + "_count"), num))
-    return lines.agg(F.when(c != 0, s / c).alias("avg_latency"))
+    return lines.agg(F.when((c != 0) & s.isNotNull(), s / c).alias("avg_latency"))
 
 
 def energy_tail(energy: DataFrame, n: int = 10, order: str = "run_id") -> DataFrame:

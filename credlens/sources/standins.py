@@ -116,7 +116,7 @@ def metric_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "credlens_event_value_%s{user=\"%d\"} %s",
         F.col("event_type"), F.col("user_id"), F.format_string("%.2f", F.col("value"))).alias("value"))
     latency = e.select(F.format_string(
-        "predict_latency_seconds_%s %s",
+        "api_request_latency_seconds_%s %s",
         F.when(F.col("event_type") == "error", "count").otherwise("sum"),
         F.when(F.col("event_type") == "error", F.lit("1"))
          .otherwise(F.format_string("%.2f", F.col("value")))).alias("value"))
