@@ -47,7 +47,7 @@ def logistic_regression(n_train: int, C: float = 1.0, max_iter: int = 1000,
     regParam = 1 / (C * n).  Intercept not penalised in either."""
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
                             regParam=1.0 / (C * max(1, n_train)), elasticNetParam=0.0,
-                            standardization=False, family="auto", tol=1e-6)
+                            standardization=False, family="auto", tol=1e-4)
     if weight:
         lr.setWeightCol(weight)
     return lr
@@ -95,7 +95,7 @@ def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label
         base.select("m", F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w")))
     rows = VectorAssembler(inputCols=["m"], outputCol="mf").transform(rows)
     lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-10, family="binomial")
+                            standardization=False, maxIter=100, tol=1e-8, family="binomial")
     fit = lr.fit(rows)
     return float(fit.coefficients[0]), float(fit.intercept)
 
