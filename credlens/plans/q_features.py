@@ -116,10 +116,14 @@ def _fit(spark, sf):
     return p, vocab, tf
 
 
-def fixed_scored(spark, sf, base=None):
-    """Posts scored by the fixed-coefficient model, with explanations."""
+def fixed_scored(spark, sf, base=None, vocab=None):
+    """Posts scored by the fixed-coefficient model, with explanations
+    (vocabulary fitted on the posts unless given)."""
     p = base if base is not None else posts(spark, sf)
-    vocab, tf = Ft.fit_tfidf(p)
+    if vocab is None:
+        vocab, tf = Ft.fit_tfidf(p)
+    else:
+        tf = Ft.term_counts(p)
     w = Ft.tfidf_weights(tf, vocab)
     coef = X.fixed_coefficients(vocab)
     m = X.margins(p, w, coef, [0.0, 0.0])

@@ -38,7 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 raw posts (+ ``source_label``, ``source_rank``, ``doc_id``)."""
-    d = table(spark, sf_dir, "documents")
+    return posts_from_documents(table(spark, sf_dir, "documents"))
+
+
+def posts_from_documents(d: DataFrame) -> DataFrame:
+    """The raw-post view of ``documents`` rows (batch or stream)."""
     quoted = F.col("lang") == QUOTED_LANG
     record = F.struct(
         F.when(quoted, F.lit("")).otherwise(F.col("text")).alias("text"),
