@@ -84,7 +84,9 @@ def top_terms(weights: DataFrame, coef: DataFrame, preds: DataFrame, top_n: int
                .join(F.broadcast(coef), ["term"]) \
                .where(F.col("class_idx") == F.col("pred_idx")) \
                .select(key, "term", (F.col("coef") * F.col("weight")).alias("contribution"))
-    w = Window.partitionBy(key).orderBy(F.col("contribution").desc(), F.col("term").asc())
+    # ties within float noise (1e-12) are broken by the term, the same way
+    # on every engine and partitioning
+    w = Window.partitionBy(key).orderBy(F.round("contribution", 12).desc(), F.col("term").asc())
     ranked = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return ranked.where(F.col("contribution") > 0)
 

@@ -110,7 +110,7 @@ def enrichment_table(df: DataFrame, key: str = "post_id", lexicon: DataFrame | N
     w = word_table(df, key)
     w = w.join(_small(lex, None if lexicon is not None else 1000), ["lang2", "w"], "left")
     w = w.join(_small(mods, None if modifiers is not None else 100), ["lang2", "prev"], "left")
-    keep = F.col("is_stop").isNull() & F.col("w").rlike(fixed.ALPHA_PATTERN)
+    keep = ~F.coalesce(F.col("is_stop"), F.lit(False)) & F.col("w").rlike(fixed.ALPHA_PATTERN)
     adj = F.when(F.col("polarity").isNotNull(),
                  F.greatest(F.lit(-1.0), F.least(F.lit(1.0),
                             F.col("polarity") * F.coalesce(F.col("factor"), F.lit(1.0)))))

@@ -163,7 +163,7 @@ FROM wl2 x LEFT JOIN word_lex l ON x.lang2 = l.lang2 AND x.w = l.w
            LEFT JOIN mod_lex m ON x.lang2 = m.lang2 AND x.prev = m.prev"""),
     ("tok_agg", f"""
 SELECT post_id,
-       list(coalesce(lemma, w) ORDER BY pos) FILTER (WHERE is_stop IS NULL AND regexp_matches(w, {q(fixed.ALPHA_PATTERN)})) AS tokens,
+       list(coalesce(lemma, w) ORDER BY pos) FILTER (WHERE NOT coalesce(is_stop, FALSE) AND regexp_matches(w, {q(fixed.ALPHA_PATTERN)})) AS tokens,
        coalesce(avg(CASE WHEN polarity IS NOT NULL THEN greatest(-1.0, least(1.0, polarity * coalesce(factor, 1.0))) END), 0.0) AS sentiment
 FROM wj GROUP BY post_id"""),
     ("emo_hits", """

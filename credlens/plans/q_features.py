@@ -90,7 +90,7 @@ SELECT w.post_id, w.term, (CASE WHEN p.pred_idx = 0 THEN -c.c ELSE c.c END) * w.
 FROM weights w JOIN pred p USING (post_id) JOIN coef c USING (term)"""),
     ("ranked", f"""
 SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY contribution DESC, term) AS rank FROM contrib)
+  SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY round(contribution, 12) DESC, term) AS rank FROM contrib)
 WHERE rank <= {TOP_N} AND contribution > 0"""),
     ("terms_arr", "SELECT post_id, list(term ORDER BY rank) AS explanation_terms FROM ranked GROUP BY 1"),
     ("scored", f"""
