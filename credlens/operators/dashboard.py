@@ -45,18 +45,22 @@ def emotion_ranked(df: DataFrame) -> DataFrame:
     return e.select("uri", (F.col("_p") + 1).alias("position"), "_e.emotion", "_e.score")
 
 
-def drift_report(lab_cur: DataFrame, lab_prev: DataFrame,
-                 lng_cur: DataFrame, lng_prev: DataFrame) -> DataFrame:
-    """One row: both JS distances and both current distributions."""
-    lab = Rp.js_distance(lab_cur, lab_prev)
-    lng = Rp.js_distance(lng_cur, lng_prev)
-    lab_txt = lab_cur.agg(Rp.distribution_text(lab_cur).alias("t"))
-    lng_txt = lng_cur.agg(Rp.distribution_text(lng_cur).alias("t"))
+def drift_report(lab_pq: DataFrame, lng_pq: DataFrame) -> DataFrame:
+    """One row: JS distance of the label and of the language distribution
+    (current vs previous) and both current distributions as text.  Inputs
+    are (key, p, q) count tables (``reports.paired_counts``)."""
+    def current(pq: DataFrame) -> DataFrame:
+        tot = pq.agg(F.sum("p")).scalar()
+        return pq.where(F.col("p") > 0).select("key", (F.col("p") / tot).alias("share"))
+
+    lab = Rp.js_distance_pq(lab_pq)
+    lng = Rp.js_distance_pq(lng_pq)
+    lab_cur, lng_cur = current(lab_pq), current(lng_pq)
     return lab.select(
         F.round("js_distance", 6).alias("label_js_distance"),
         F.round(lng.scalar(), 6).alias("language_js_distance"),
-        lab_txt.scalar().alias("current_label_distribution"),
-        lng_txt.scalar().alias("current_language_distribution"),
+        lab_cur.agg(Rp.distribution_text(lab_cur)).scalar().alias("current_label_distribution"),
+        lng_cur.agg(Rp.distribution_text(lng_cur)).scalar().alias("current_language_distribution"),
     )
 
 

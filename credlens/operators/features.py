@@ -25,7 +25,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer,
                                 SQLTransformer, StopWordsRemover)
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -68,7 +68,11 @@ def term_counts(df: DataFrame, key: str = "post_id", stopwords: list[str] | None
     """(key, term, tf).  When ``df`` is partitioned by ``key`` (out of the
     dedup aggregate) the count needs no exchange."""
     t = with_terms(df.select(key, "clean_text"), stopwords)
-    return (t.select(key, F.explode("terms").alias("term"))
+    # explode_outer + filter: a plain explode makes the optimizer infer
+    # size(terms) > 0 and push it under the projection, which would run the
+    # whole term pipeline again for that test
+    return (t.select(key, F.explode_outer("terms").alias("term"))
+             .where(F.col("term").isNotNull())
              .groupBy(key, "term").agg(F.count("*").alias("tf")))
 
 
@@ -108,8 +112,11 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, key: str = "post_id") -> Data
     terms; posts without kept terms have no rows."""
     w = tf.join(F.broadcast(vocab.select("term", "idf")), "term") \
           .select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("_norm")).alias("weight"))
+    # the norm is a window over the post's own rows: one pass, no second
+    # evaluation of the term pipeline, and no exchange (tf is partitioned
+    # by the post key already)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def fit_tfidf(posts: DataFrame, key: str = "post_id", max_features: int = DEFAULT.max_features,

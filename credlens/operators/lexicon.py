@@ -27,15 +27,38 @@ def _small(df: DataFrame, known_rows: int | None = None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------
-# lexicon tables
+# lexicon tables (constant; built once per session)
 # ----------------------------------------------------------------------------
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, name: str, build):
+    key = (id(spark), name)
+    df = _MEMO.get(key)
+    if df is None:
+        df = _MEMO[key] = build()
+    return df
+
+
 def stopword_table(spark: SparkSession) -> DataFrame:
+    return _memo(spark, "stop", lambda: _stopword_table(spark))
+
+
+def word_lexicon(spark: SparkSession) -> DataFrame:
+    return _memo(spark, "lex", lambda: _word_lexicon(spark))
+
+
+def modifier_table(spark: SparkSession) -> DataFrame:
+    return _memo(spark, "mod", lambda: _modifier_table(spark))
+
+
+def _stopword_table(spark: SparkSession) -> DataFrame:
     rank = {l: i for i, l in enumerate(fixed.LANG_ORDER)}
     rows = [(l, w, rank[l]) for l, w in fixed.stopword_rows()]
     return spark.createDataFrame(rows, "lang string, term string, lang_rank int")
 
 
-def word_lexicon(spark: SparkSession) -> DataFrame:
+def _word_lexicon(spark: SparkSession) -> DataFrame:
     """(lang2, w) -> is_stop, lemma, polarity, emotions; lang2 in {en, fr}."""
     stops = {(l, w) for l, w in fixed.stopword_rows() if l in ("en", "fr")}
     lemmas = {(l, f): m for l, f, m in fixed.lemma_rows()}
@@ -57,7 +80,7 @@ def word_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def modifier_table(spark: SparkSession) -> DataFrame:
+def _modifier_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.modifier_rows(), "lang2 string, prev string, factor double")
 
 
@@ -73,7 +96,8 @@ def with_language(df: DataFrame, stopwords: DataFrame | None = None, key: str =
     stop = stopwords if stopwords is not None else stopword_table(spark)
     declared = text.first_lang("langs")
     need = (df.where(declared.isNull())
-              .select(key, F.explode(text.words("clean_text")).alias("w")))
+              .select(key, F.explode_outer(text.words("clean_text")).alias("w"))
+              .where(F.col("w").isNotNull()))
     hits = need.join(_small(stop.select(F.col("term").alias("w"), "lang", "lang_rank"),
                             len(fixed.stopword_rows()) if stopwords is None else None), "w")
     per_lang = hits.groupBy(key, "lang", "lang_rank").agg(F.count("*").alias("n"))
@@ -97,7 +121,10 @@ def word_table(df: DataFrame, key: str = "post_id") -> DataFrame:
                      text.words("clean_text").alias("_ws"))
     pairs = F.transform(F.col("_ws"), lambda x, i: F.struct(
         x.alias("w"), F.when(i > 0, F.get(F.col("_ws"), i - 1)).alias("prev")))
-    return (step.select(key, "lang2", F.posexplode(pairs).alias("pos", "_p"))
+    # posexplode_outer + filter keeps the optimizer from pushing an inferred
+    # size(...) > 0 test under the projection (which would rebuild the pairs)
+    return (step.select(key, "lang2", F.posexplode_outer(pairs).alias("pos", "_p"))
+                .where(F.col("pos").isNotNull())
                 .select(key, "lang2", "pos", "_p.w", "_p.prev"))
 
 

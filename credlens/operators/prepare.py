@@ -28,9 +28,19 @@ def post_id(clean: Column | str = "clean_text") -> Column:
     return F.sha2(c, 256)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cores before CPU-heavy text work, but
+    only when the scan produced fewer splits than the default parallelism
+    (a few large files / row groups).  A large input has many more splits
+    than cores, so on a cluster this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
+
+
 def with_text(raw: DataFrame) -> DataFrame:
     """Extracted text; rows without any text are dropped (O-18, O-19)."""
-    return raw.withColumn("text", text.extract_text("record")).where(F.length("text") > 0)
+    return spread(raw).withColumn("text", text.extract_text("record")).where(F.length("text") > 0)
 
 
 def with_clean_text(df: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -74,5 +84,6 @@ def prepare_posts(raw: DataFrame, verified: Sequence[str]) -> DataFrame:
     (they all fall into one group, combined map-side).  A filter before it
     would be pushed under the projection by the optimizer and evaluate the
     whole cleaning chain a second time for every row."""
-    d = dedup_first(clean_posts(raw, keep_empty=True))
+    # the raw record is a second copy of the text: do not shuffle it
+    d = dedup_first(clean_posts(raw, keep_empty=True).drop("record"))
     return with_weak_labels(d.where(F.col("clean_text") != ""), verified)

@@ -9,6 +9,7 @@ from ..functions import fixed, rules
 from ..operators import lexicon as L
 from ..operators import dashboard as D
 from ..operators import reports as Rp
+from ..session import materialize
 from ..sources import standins as S
 from . import oracle as O
 from .catalog import register
@@ -153,6 +154,18 @@ def _half(spark, sf):
     return S.table(spark, sf, "documents").agg((F.count("*") / 2).alias("h")).scalar()
 
 
+def _paired(spark, sf):
+    """(key, p, q) counts of labels and of languages, current half vs
+    previous half, from one scan; both are tiny and are checkpointed once
+    because several subqueries read them."""
+    e = enriched(spark, sf)
+    cur = F.col("doc_id") >= _half(spark, sf)
+    both = e.select(F.col("source_label"), F.col("lang_detected"), cur.alias("_cur"))
+    lab = Rp.paired_counts(both, "source_label", F.col("_cur"))
+    lng = Rp.paired_counts(both, "lang_detected", F.col("_cur"))
+    return materialize(lab), materialize(lng)
+
+
 def _halves(spark, sf, col):
     e = enriched(spark, sf)
     half = _half(spark, sf)
@@ -164,10 +177,9 @@ def _halves(spark, sf, col):
 @register("drift_js", O.with_(*EN, *_js_sql("source_label", "lab"), *_js_sql("lang_detected", "lng"), final="""
 SELECT round((SELECT d FROM lab_js), 6) AS label_js_distance, round((SELECT d FROM lng_js), 6) AS language_js_distance"""))
 def drift_js(spark, sf):
-    e = enriched(spark, sf)
-    cur = F.col("doc_id") >= _half(spark, sf)
-    lab = Rp.js_distance_pq(Rp.paired_counts(e, "source_label", cur))
-    lng = Rp.js_distance_pq(Rp.paired_counts(e, "lang_detected", cur))
+    lab_pq, lng_pq = _paired(spark, sf)
+    lab = Rp.js_distance_pq(lab_pq)
+    lng = Rp.js_distance_pq(lng_pq)
     return lab.select(r6(F.col("js_distance")).alias("label_js_distance"),
                       r6(lng.scalar()).alias("language_js_distance"))
 
@@ -184,9 +196,7 @@ SELECT round((SELECT d FROM lab_js), 6) AS label_js_distance,
        {_dist_text_sql('source_label')} AS current_label_distribution,
        {_dist_text_sql('lang_detected')} AS current_language_distribution"""))
 def drift_report(spark, sf):
-    lab_cur, lab_prev = _halves(spark, sf, "source_label")
-    lng_cur, lng_prev = _halves(spark, sf, "lang_detected")
-    return D.drift_report(lab_cur, lab_prev, lng_cur, lng_prev)
+    return D.drift_report(*_paired(spark, sf))
 
 
 @register("sentiment_by_source", O.with_(*EN, final="""

@@ -124,12 +124,9 @@ def fixed_scored(spark, sf, base=None, vocab=None):
         vocab, tf = Ft.fit_tfidf(p)
     else:
         tf = Ft.term_counts(p)
-    w = Ft.tfidf_weights(tf, vocab)
     coef = X.fixed_coefficients(vocab)
-    m = X.margins(p, w, coef, [0.0, 0.0])
-    m = m.withColumn("probabilities", X.probabilities_from_margins(F.col("margins"), 2))
-    s = Md.with_decision(m, CLASSES)
-    return X.with_explanations(s, w, coef, TOP_N), w, coef
+    coef1 = coef.where(F.col("class_idx") == 1).select("term", "coef")
+    return X.score_binary(p, tf, vocab, coef1, 0.0, CLASSES, top_n=TOP_N), tf, coef
 
 
 @register("ngrams", O.with_(*O.POSTS_CTES, *tfidf_ctes()[:2], final=f"""
@@ -218,16 +215,10 @@ def score_and_explain(spark, sf):
 SELECT p.uri, r.rank, r.term, round(r.contribution, 6) AS contribution
 FROM ranked r JOIN posts p USING (post_id)"""))
 def explain_terms(spark, sf):
-    p = posts(spark, sf)
-    vocab, tf = Ft.fit_tfidf(p)
-    w = Ft.tfidf_weights(tf, vocab)
-    coef = X.fixed_coefficients(vocab)
-    m = X.margins(p, w, coef, [0.0, 0.0])
-    m = m.withColumn("probabilities", X.probabilities_from_margins(F.col("margins"), 2))
-    s = Md.with_decision(m, CLASSES)
-    t = X.top_terms(w, coef, s, TOP_N)
-    return t.join(p.select("post_id", "uri"), "post_id").select(
-        "uri", F.col("rank").cast("long").alias("rank"), "term", r6(F.col("contribution")).alias("contribution"))
+    s, _, _ = fixed_scored(spark, sf)
+    t = s.select("uri", F.posexplode("explanation_contrib").alias("_r", "_e"))
+    return t.select("uri", (F.col("_r") + 1).cast("long").alias("rank"), F.col("_e.term").alias("term"),
+                    r6(F.col("_e.contribution")).alias("contribution"))
 
 
 @register("class_top_terms", O.with_(*FEATURE_CTES, COEF_CTE, final=f"""

@@ -88,8 +88,13 @@ def score_posts(posts: DataFrame, b: Bundle, params: Params = DEFAULT, key: str
         x = Md.calibrated_probability(x, b.calibrated)
     s = Md.with_decision(x.drop("features"), b.classes, threshold=params.alert_threshold)
     vocab = b.vocab_table(spark)
-    w = Ft.tfidf_weights(Ft.term_counts(posts, key, Ft.stopword_list(params.custom_stopwords)), vocab, key)
+    tf = Ft.term_counts(posts, key, Ft.stopword_list(params.custom_stopwords))
     coef, _ = X.coefficient_table(spark, b.classifier, b.indexed)
+    if len(b.classes) == 2:
+        c = X.binary_contributions(tf, vocab, coef.where("class_idx = 1").select("term", "coef"),
+                                   params.explain_top_n, key)
+        return X.with_binary_explanations(s, c, key, params.terms_in_text)
+    w = Ft.tfidf_weights(tf, vocab, key)
     return X.with_explanations(s, w, coef, params.explain_top_n, key, params.terms_in_text)
 
 

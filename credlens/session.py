@@ -58,3 +58,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df):
+    """Cut the lineage of a small intermediate table that several
+    subqueries read: a reliable checkpoint in the shared checkpoint folder
+    (survives executor loss; never a machine-local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
