@@ -189,3 +189,4 @@ def enrich(df: DataFrame, key: str = "post_id", lexicon: DataFrame | None = None
 
 def enrich_posts(df: DataFrame, key: str = "post_id") -> DataFrame:
     return enrich(with_language(df, key=key), key=key)
+

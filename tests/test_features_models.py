@@ -57,6 +57,11 @@ def test_classifier_calibration_and_roundtrip(spark, tmp_dir):
         assert abs(sum(r.probabilities) - 1.0) < 1e-9
         assert r.credibility_score >= 0.5
         assert r.alert == (r.credibility_score < 0.7)
+    texts = spark.createDataFrame([("Good solid FACT!", "en"), ("fake rumor", None)], "text string, lang string")
+    svc = {r.clean_text: r for r in Tr.score_texts(texts, b).collect()}
+    assert svc["good solid fact"].predicted_label == "credible"
+    assert svc["fake rumor"].predicted_label == "unverified"
+    assert svc["good solid fact"].explanation_text.startswith("This post is classified as 'credible'")
     Tr.save_bundle(b, f"{tmp_dir}/m")
     b2 = Tr.load_bundle(f"{tmp_dir}/m")
     s2 = {r.uri: r.credibility_score for r in Tr.score_posts(p, b2).collect()}

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from credlens.operators import hooks as H
 from credlens.operators import lexicon as L
 from credlens.operators import prepare as P
 from credlens.sources import schemas
@@ -55,3 +56,19 @@ def test_enrichment_rules(spark):
     assert e["p5"].tokens == ["chat", "bon"]
     assert e["p1"].tokens == ["good", "news"]
     assert abs(sum(e["p4"].emotion_scores.values()) - 1.0) < 1e-9
+
+
+def test_scorer_hook_with_fallback(spark):
+    def toy(texts):
+        if any("boom" in t for t in texts):
+            raise RuntimeError("model unavailable")
+        return [{"joy": 0.8, "fear": 0.2} for _ in texts]
+
+    rows = [("p1", "good news", ["en"]), ("p2", "boom fear", ["en"])]
+    df = spark.createDataFrame(rows, "uri string, clean_text string, langs array<string>") \
+              .withColumn("post_id", P.post_id())
+    e = L.enrich_posts(df).repartitionByRange(2, "uri")
+    out = {r.uri: r for r in H.with_scorer_emotions(e, toy).collect()}
+    # each row sits in its own batch after the repartition on uri
+    assert out["p1"].emotion_source == "model" and out["p1"].dominant_emotion == "joy"
+    assert out["p2"].emotion_source == "lexicon_fallback" and out["p2"].dominant_emotion == "fear"
