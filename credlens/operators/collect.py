@@ -123,7 +123,14 @@ def prune_cap(df: DataFrame, caps: Mapping[str, int], default_cap: int,
     keep_all = tagged.where(F.col("_state") == "keep")
     cut = tagged.where(F.col("_state") == "cut")
     rw = Window.partitionBy("_src", "_b").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    cut = cut.withColumn("_rn", F.row_number().over(rw)).where(F.col("_rn") <= F.col("_left")).drop("_rn")
+    # at most ``max_cap`` rows of a cut bucket can survive: the constant
+    # bound lets Spark keep only that many per map task before the shuffle
+    # (partial group limit, applied by Spark for limits up to
+    # spark.sql.optimizer.windowGroupLimitThreshold), however large one
+    # hour of one source is; a finer ``bucket`` shrinks the cut bucket
+    max_cap = max([int(default_cap)] + [int(v) for v in caps.values()])
+    cut = (cut.withColumn("_rn", F.row_number().over(rw))
+              .where((F.col("_rn") <= max_cap) & (F.col("_rn") <= F.col("_left"))).drop("_rn"))
     return keep_all.unionByName(cut).drop("_src", "_b", "_state", "_left")
 
 
