@@ -66,8 +66,11 @@ def dedup_first(df: DataFrame, order: Sequence[str] = ("source_rank", "inserted_
 
 
 def dedup_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows in, rows kept, duplicates removed, as one row."""
-    a = before.agg(F.count("*").alias("rows_in"))
+    """Rows in (non-empty clean text), rows kept, duplicates removed, as one
+    row.  ``before`` may keep empty clean texts: they are not counted (a
+    conditional count instead of a filter the optimizer would push under
+    the cleaning expression)."""
+    a = before.agg(F.count_if(F.col("clean_text") != "").alias("rows_in"))
     b = after.agg(F.count("*").alias("rows_kept"))
     return a.select("rows_in", b.scalar().alias("rows_kept")) \
             .withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_kept"))

@@ -91,8 +91,9 @@ SELECT (SELECT count(*) FROM posts_clean) AS rows_in, count(*) AS rows_kept,
        (SELECT count(*) FROM posts_clean) - count(*) AS duplicates_removed
 FROM posts"""))
 def dedup_counts(spark, sf):
-    before = P.clean_posts(S.raw_posts(spark, sf))
-    return P.dedup_counts(before, P.dedup_first(before))
+    raw = S.raw_posts(spark, sf)
+    before = P.clean_posts(raw, keep_empty=True)
+    return P.dedup_counts(before, P.prepare_posts(raw, S.TEST_VERIFIED))
 
 
 @register("weak_labels", O.with_(*O.POSTS_CTES, final="""
