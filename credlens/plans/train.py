@@ -161,11 +161,43 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
     reports["confusion_matrix"] = M.confusion_matrix(test, b.classes)
     reports["class_top_terms"] = X.class_top_terms(
         X.coefficient_table(enriched.sparkSession, b.classifier, b.indexed)[0], b.classes, params.explain_top_n)
+    reports.update(cluster_reports(enriched, b, params))
     for name, df in reports.items():
         St.append_report(df, f"{out_dir}/reports/{name}", run_id)
     return {"scored": path, "models": f"{out_dir}/models", "reports": f"{out_dir}/reports"}
 
 
+def cluster_reports(enriched: DataFrame, b: Bundle, params: Params = DEFAULT,
+                    key: str = "post_id") -> dict:
+    """Global k-means (best of ``n_init`` seeded fits) with its keywords
+    and size report, and per-group k-means when ``cluster_by`` is set."""
+    from pyspark.sql import functions as F2
+    from ..functions import rules
+    spark = enriched.sparkSession
+    x = b.features(enriched.select(key, "clean_text", "source_label", "lang_detected"))
+    km = K.fit_kmeans(x, params.n_clusters, params.kmeans_seed, params.kmeans_n_init)
+    assign = km.transform(x).select(key, "clean_text", F2.col("cluster").cast("int").alias("cluster"))
+    keywords = K.centroid_terms(spark, km.clusterCenters(), b.indexed)
+    out = {"clusters": assign.drop(key), "cluster_keywords": keywords,
+           "cluster_report": K.cluster_report(assign, keywords)}
+    if params.cluster_by and params.cluster_by != "none":
+        vt = b.vocab_table(spark)
+        tf = Ft.term_counts(enriched, key, Ft.stopword_list(params.custom_stopwords))
+        rows = K.sparse_rows_from_weights(Ft.tfidf_weights(tf, vt, key), vt, key)
+        g = enriched.select(key, "clean_text", rules.group_key("source_label", "lang_detected",
+                                                               params.cluster_by).alias("grp"))
+        sr = g.join(rows, key, "left").select(
+            "grp", key, F2.coalesce("idx", F2.array().cast("array<int>")).alias("idx"),
+            F2.coalesce("val", F2.array().cast("array<double>")).alias("val"))
+        feats = b.features(enriched.select(key, "clean_text")).join(g.select(key, "grp"), key)
+        grouped = K.grouped_kmeans_bounded(sr, feats, "grp", key, len(b.indexed),
+                                           params.grouped_kmeans_max_rows, params.n_clusters,
+                                           params.kmeans_seed, params.kmeans_n_init)
+        out["clusters_by_group"] = grouped.join(g.select(key, "clean_text"), key) \
+                                          .select("clean_text", F2.col("grp").alias("group"), "cluster")
+    return out
+
+
 def score(raw: DataFrame, scored_base: str, model_dir: str, params: Params = DEFAULT,
           estimate_only: bool = False) -> DataFrame | str:
     """Incremental run: only posts without a prediction and explanation

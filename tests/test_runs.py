@@ -9,7 +9,7 @@ from .conftest import SF_SMALL
 
 
 def test_train_then_incremental_score(spark, tmp_dir):
-    params = Params(verified_sources=S.TEST_VERIFIED, max_features=500)
+    params = Params(verified_sources=S.TEST_VERIFIED, max_features=500, kmeans_n_init=2)
     raw = S.raw_posts(spark, SF_SMALL)
     older = raw.where(F.col("doc_id") < 150)
     out = T.train(older, tmp_dir, params, run_id="r1")
@@ -17,7 +17,8 @@ def test_train_then_incremental_score(spark, tmp_dir):
     n_first = table.count()
     assert n_first > 0
     assert table.where("predicted_label IS NULL OR explanation_text IS NULL").count() == 0
-    for name in ("sentiment_summary", "classification_report", "class_top_terms"):
+    for name in ("sentiment_summary", "classification_report", "class_top_terms", "clusters",
+                 "cluster_keywords", "cluster_report", "clusters_by_group"):
         assert spark.read.parquet(f"{out['reports']}/{name}").where("run_id = 'r1'").count() > 0
 
     # nothing new to score for the same posts
