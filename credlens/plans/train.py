@@ -162,11 +162,44 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
     reports["class_top_terms"] = X.class_top_terms(
         X.coefficient_table(enriched.sparkSession, b.classifier, b.indexed)[0], b.classes, params.explain_top_n)
     reports.update(cluster_reports(enriched, b, params))
+    # drift against the latest earlier run: written before this run's
+    # distributions are appended
+    St.append_report(drift_against_previous(enriched.sparkSession, f"{out_dir}/reports",
+                                            reports["label_distribution"],
+                                            reports["language_distribution"]),
+                     f"{out_dir}/reports/data_drift", run_id)
     for name, df in reports.items():
         St.append_report(df, f"{out_dir}/reports/{name}", run_id)
     return {"scored": path, "models": f"{out_dir}/models", "reports": f"{out_dir}/reports"}
 
 
+def drift_against_previous(spark: SparkSession, reports_dir: str, cur_lab: DataFrame,
+                           cur_lng: DataFrame) -> DataFrame:
+    """One row: JS distances of the current label / language distributions
+    to the latest earlier run (NULL on the first run) and the current
+    distributions as text."""
+    from ..sources import raw as R
+
+    def previous(name: str):
+        try:
+            df = spark.read.parquet(f"{reports_dir}/{name}")
+        except Exception:
+            return None
+        return R.latest_run(df, "run_ts").select("key", "share")
+
+    def distance(cur: DataFrame, prev) -> "F.Column":
+        if prev is None:
+            return F.lit(None).cast("double")
+        return Rp.js_distance(cur, prev).scalar()
+
+    pl, pg = previous("label_distribution"), previous("language_distribution")
+    return cur_lab.agg(Rp.distribution_text(cur_lab).alias("current_label_distribution")).select(
+        distance(cur_lab, pl).alias("label_js_distance"),
+        distance(cur_lng, pg).alias("language_js_distance"),
+        "current_label_distribution",
+        cur_lng.agg(Rp.distribution_text(cur_lng)).scalar().alias("current_language_distribution"))
+
+
 def cluster_reports(enriched: DataFrame, b: Bundle, params: Params = DEFAULT,
                     key: str = "post_id") -> dict:
     """Global k-means (best of ``n_init`` seeded fits) with its keywords

@@ -18,8 +18,10 @@ def test_train_then_incremental_score(spark, tmp_dir):
     assert n_first > 0
     assert table.where("predicted_label IS NULL OR explanation_text IS NULL").count() == 0
     for name in ("sentiment_summary", "classification_report", "class_top_terms", "clusters",
-                 "cluster_keywords", "cluster_report", "clusters_by_group"):
+                 "cluster_keywords", "cluster_report", "clusters_by_group", "data_drift"):
         assert spark.read.parquet(f"{out['reports']}/{name}").where("run_id = 'r1'").count() > 0
+    first = spark.read.parquet(f"{out['reports']}/data_drift").first()
+    assert first.label_js_distance is None        # no previous run yet
 
     # nothing new to score for the same posts
     est = T.score(older, f"{tmp_dir}/scored", out["models"], params, estimate_only=True).first()
