@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
@@ -80,24 +81,38 @@ def margin(model: LogisticRegressionModel, df: DataFrame, out: str = "margin") -
     return t.withColumn(out, vector_to_array("_raw_tmp")[1]).drop("_p_tmp", "_y_tmp", "_raw_tmp")
 
 
-def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label") -> tuple[float, float]:
-    """Sigmoid fit on smoothed targets: positives (N+ + 1) / (N+ + 2),
-    negatives 1 / (N- + 2); each example enters as two weighted rows (y=1
-    with weight t, y=0 with weight 1-t) of an unregularised 1-feature
-    logistic regression."""
-    from pyspark.ml.feature import VectorAssembler
-    counts = scored.agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    pos = counts.select("pos").scalar()
-    neg = counts.select(F.col("n") - F.col("pos")).scalar()
-    t = F.when(F.col(label) == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
-    base = scored.select(F.col(margin_col).alias("m"), t.alias("t"))
-    rows = base.select("m", F.lit(1.0).alias("y"), F.col("t").alias("w")).unionByName(
-        base.select("m", F.lit(0.0).alias("y"), (1 - F.col("t")).alias("w")))
-    rows = VectorAssembler(inputCols=["m"], outputCol="mf").transform(rows)
-    lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=100, tol=1e-8, family="binomial")
-    fit = lr.fit(rows)
-    return float(fit.coefficients[0]), float(fit.intercept)
+def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label",
+              max_iter: int = 50, tol: float = 1e-10) -> tuple[float, float]:
+    """Sigmoid fit p = 1 / (1 + exp(-(a * margin + b))) on smoothed targets:
+    positives (N+ + 1) / (N+ + 2), negatives 1 / (N- + 2) (cross-entropy,
+    unregularised).  Two parameters, so Newton steps: each step is one
+    aggregate (gradient and 2x2 Hessian sums) over the fold's margins."""
+    from pyspark import StorageLevel
+    counts = scored.agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n")).first()
+    pos, neg = float(counts["pos"] or 0.0), float(counts["n"] - (counts["pos"] or 0.0))
+    t = F.when(F.col(label) == 1, F.lit((pos + 1) / (pos + 2))).otherwise(F.lit(1 / (neg + 2)))
+    data = scored.select(F.col(margin_col).alias("m"), t.alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
+    a, b = 0.0, float(np.log((neg + 1) / (pos + 1)) * -1.0)
+    try:
+        for _ in range(max_iter):
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("m") + F.lit(b))))
+            d = p - F.col("t")
+            h = p * (F.lit(1.0) - p)
+            r = data.agg(F.sum(d * F.col("m")).alias("ga"), F.sum(d).alias("gb"),
+                         F.sum(h * F.col("m") * F.col("m")).alias("haa"), F.sum(h * F.col("m")).alias("hab"),
+                         F.sum(h).alias("hbb")).first()
+            haa, hab, hbb = r["haa"] + 1e-12, r["hab"], r["hbb"] + 1e-12
+            det = haa * hbb - hab * hab
+            if det <= 0:
+                break
+            da = (hbb * r["ga"] - hab * r["gb"]) / det
+            db = (haa * r["gb"] - hab * r["ga"]) / det
+            a, b = a - da, b - db
+            if abs(da) + abs(db) < tol:
+                break
+    finally:
+        data.unpersist()
+    return float(a), float(b)
 
 
 def fit_calibrated(train: DataFrame, key: str = "clean_text", folds: int = 3, C: float = 1.0,
