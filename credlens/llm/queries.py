@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
-from .common import table
+from . import exact_dedup, warc
+from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,32 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v[{g}] >> {s} & 31) + 1, 1)"
+    for g in range(1, 9) for s in (15, 10, 5, 0))
+
+
+@register("op1_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+     v AS (SELECT *, list_transform(range(0, 8), lambda g:
+                list_sum(list_transform(range(0, 5), lambda d: (strpos('0123456789abcdef', substr(hex, 5 * g + d + 1, 1)) - 1)
+                     << (4 * (4 - d))))::BIGINT) AS v,
+                  min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM h)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM v""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC, the WARC archives read back."""
+    base = scratch(spark, "op1")
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("key"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    warc.write_arc(pages, f"{base}/arc")
+    warc.convert(spark, f"{base}/arc", f"{base}/warc")
+    return warc.read_warc(spark, f"{base}/warc", with_payload=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op4_exact_dedup", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
