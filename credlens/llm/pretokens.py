@@ -1,6 +1,6 @@
 """Splitting whole batches of texts into pre-tokens, as numpy over code points.
 
-Two patterns, both exact (tests compare them with the ``regex`` module):
+Two patterns, both exact (tests compare them with the two libraries):
 ``spaced`` is the byte-level one, whose tokens take one leading space and keep
 all white space; ``plain`` drops white space and gives every number character
 a token of its own.
@@ -20,16 +20,34 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 ENDINGS_1, ENDINGS_2 = "stmd", ("re", "ve", "ll")
 
 
-@lru_cache(maxsize=1)
-def class_table() -> np.ndarray:
-    """The class of every code point."""
-    import regex
+EVERY = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
 
-    every = "".join(map(chr, range(0x110000)))
+
+def _in_tiktoken(pattern: str) -> str:
+    """All characters that ``pattern`` matches, by tiktoken's expressions."""
+    import tiktoken
+
+    e = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([k]): k for k in range(256)},
+                          special_tokens={})
+    return bytes(e.encode_ordinary(EVERY)).decode()
+
+
+def _in_tokenizers(pattern: str) -> str:
+    """The same by the expressions of the tokenizers library."""
+    from tokenizers import Regex, pre_tokenizers
+
+    found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(EVERY)
+    return "".join(x for x, _ in found)
+
+
+@lru_cache(maxsize=2)
+def class_table(spaced: bool) -> np.ndarray:
+    """The class of every code point, as the library that defines the tokens
+    sees it: their Unicode versions differ in recent characters."""
+    matched = _in_tiktoken if spaced else _in_tokenizers
     out = np.full(0x110000, OTHER, np.uint8)
     for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
-        for m in regex.finditer(pattern, every):
-            out[m.start():m.end()] = c
+        out[np.frombuffer(matched(pattern).encode("utf-32-le"), np.uint32)] = c
     return out
 
 
@@ -53,7 +71,7 @@ def split(texts: pa.Array, spaced: bool) -> tuple[pa.Array, np.ndarray]:
         lead = (raw & 0xC0) != 0x80
         at = np.flatnonzero(lead)
         edges = np.searchsorted(at, ends)
-    c = class_table()[cp]
+    c = class_table(spaced)[cp]
     first = np.zeros(len(cp) + 1, bool)
     first[edges] = True
     before = np.empty_like(c)
