@@ -21,11 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pretokens import text_blocks
 
@@ -41,6 +43,8 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 3
 SCALE = 30.0
 TEXT_BYTES = 1 << 20
 NO_LANGUAGE = "und"
+#: Below this calibrated score a document counts as in no learned language.
+LEAST_SCORE = 0.3
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -211,6 +215,28 @@ def train_model(train: DataFrame) -> Model | None:
     return Model(labels, SCALE * idf[:, None] * w[:-1], w[-1], temperature)
 
 
+@lru_cache(maxsize=1)
+def _letter():
+    import regex
+
+    return regex.compile(r"\p{L}")
+
+
+def _predicted(model: Model, raw: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Labels and scores of texts."""
+    has = np.array([x is not None and _letter().search(x) is not None for x in raw], bool)
+    texts = [(x or "").lower() for x in raw]
+    total, number = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts))
+    for h, at in grams(texts):
+        for c in range(len(model.labels)):
+            total[:, c] += np.diff(np.concatenate([[0.0], np.cumsum(model.weights[h, c])])[at])
+        number += np.diff(at)
+    p = softmax((total / np.maximum(number, 1)[:, None] + model.bias) / model.temperature)
+    best = p.argmax(axis=1)
+    lang = [model.labels[k] if ok else NO_LANGUAGE for k, ok in zip(best, has, strict=True)]
+    return lang, np.where(has, p[np.arange(len(best)), best], 0.0)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs`` (doc_id, text)."""
     if model is None:
@@ -218,22 +244,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                            F.lit(0.0).alias("score"))
 
     def run(batches):
-        import regex
-
-        letter = regex.compile(r"\p{L}")
         for t in text_blocks(batches, TEXT_BYTES):
-            raw = t.column(1).to_pylist()
-            has = np.array([x is not None and letter.search(x) is not None for x in raw])
-            texts = [(x or "").lower() for x in raw]
-            total, number = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts))
-            for h, at in grams(texts):
-                for c in range(len(model.labels)):
-                    total[:, c] += np.diff(np.concatenate([[0.0], np.cumsum(model.weights[h, c])])[at])
-                number += np.diff(at)
-            p = softmax((total / np.maximum(number, 1)[:, None] + model.bias) / model.temperature)
-            best = p.argmax(axis=1)
-            lang = [model.labels[k] if ok else NO_LANGUAGE for k, ok in zip(best, has, strict=True)]
-            score = np.where(has, p[np.arange(len(best)), best], 0.0)
+            lang, score = _predicted(model, t.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(lang, pa.string()), pa.array(score)],
                                              ["doc_id", "lang_pred", "score"])
 
@@ -250,3 +262,24 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: trained on the rows that are not held out."""
     out = predict(docs, train_model(training_rows(docs)))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is identified: those
+    with a letter and a calibrated score of ``least_score`` or more.  Texts
+    and predictions stay in their rows, so nothing is joined."""
+    if model is None:
+        return docs.limit(0)
+    names = docs.columns
+
+    def run(batches):
+        for t in text_blocks(batches, TEXT_BYTES):
+            lang, score = _predicted(model, t.column(1).to_pylist())
+            keep = np.array([x != NO_LANGUAGE for x in lang], bool) & (score >= least_score)
+            for b in t.drop_columns(["_position"]).filter(pa.array(keep)).to_batches():
+                yield b
+
+    # the second column is the text, which blocks are measured by
+    source = docs.select(F.lit(None).cast("int").alias("_position"), F.col("text"), *[c for c in names if c != "text"])
+    schema = T.StructType([docs.schema["text"], *[f for f in docs.schema if f.name != "text"]])
+    return source.mapInArrow(run, schema).select(*names)
