@@ -73,6 +73,9 @@ def run_state(spark: SparkSession, feed_path: str, base: str, batch_bytes: int =
     for k, v in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
                  "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
                  "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+                 "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+                 "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+                 "spark.sql.streaming.stateStore.unloadOnCommit": "true",
                  "spark.sql.streaming.noDataMicroBatches.enabled": "false",
                  "spark.sql.streaming.minBatchesToRetain": "2",
                  "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
