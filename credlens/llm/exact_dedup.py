@@ -156,6 +156,7 @@ def _by_text(docs: DataFrame, wrong: DataFrame, digest: Digest) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns.  Rows with the same doc_id
-    and equal texts are told apart by nothing, so all of them stay."""
-    gone = dedup(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    and equal texts are told apart by nothing: all of them stay, or go."""
+    gone = dedup(docs).filter("NOT kept").selectExpr("doc_id AS gone_id", "digest AS gone_digest").distinct()
+    here = sha256_hex(normalised(F.col("text").cast("string")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (here == gone["gone_digest"]), "left_anti")

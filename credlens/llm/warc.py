@@ -292,6 +292,7 @@ def warc_record(r: dict) -> bytes:
     if revisit:
         head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", r["refers_to_id"]),
                  ("WARC-Refers-To-Target-URI", r["refers_to_uri"]), ("WARC-Refers-To-Date", r["refers_to_date"]),
+                 ("X-Payload-Length", r["payload_bytes"]),
                  ("X-Refers-To-Key", "" if r["refers_to"] is None else r["refers_to"])]
     head += [("Content-Type", "application/http; msgtype=response" if http else r["type"]),
              ("Content-Length", len(block))]
@@ -338,7 +339,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if kind != "revisit" and declared != sha1_base32(payload):
                     raise ValueError(f"payload digest of {head['warc-record-id']}")
                 key, to = http_field(http, KEY_HEADER), head.get("x-refers-to-key")
-                n = int(http_field(http, b"Content-Length")) if kind == "revisit" else len(payload)
+                n = len(payload)
+                if kind == "revisit":
+                    said = head.get("x-payload-length") or http_field(http, b"Content-Length")
+                    n = int(said) if said else None
                 yield {"record_type": kind, "record_id": head["warc-record-id"], "uri": head["warc-target-uri"],
                        "date": head["warc-date"], "key": int(key) if key else None, "payload_digest": declared,
                        "payload_bytes": n, "refers_to": int(to) if to else None,
