@@ -14,11 +14,12 @@ executor costs the stage it worked on.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from credlens.llm import exact_dedup, langid, minhash, secret_scan
+from credlens.llm import exact_dedup, langid, minhash, packing as packer, secret_scan
 from credlens.llm.common import scratch, table
-from credlens.llm.queries import packed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    pieces = packer.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("minhash", near),
