@@ -5,39 +5,53 @@ committed by ``commit_table`` (write a new folder, then swap a pointer), so
 a failed job never leaves a half-written table and a replayed batch gives
 the same result (writes are keyed, hence idempotent).
 
-For tables far larger than one batch, store the table bucketed by the key
-(``bucketBy(n, key)``): the join then reads it without a shuffle.
+The scored table is kept in hash buckets of ``post_id``; ``upsert_scored``
+reads and replaces only the buckets that a batch touches.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# field lists written by the two writers of the original application
+from ..session import materialize
+
+# FIXED VALUES: field lists written by the two writers of the original application
 CLEAN_FIELDS = (
     "uri", "source_label", "credibility_label", "clean_text", "tokens", "lang_detected",
     "sentiment", "emotion_scores", "dominant_emotion", "explanation_terms",
     "explanation_text", "credibility_score", "predicted_label", "alert", "inserted_at",
 )
-SCORING_FIELDS = CLEAN_FIELDS[:9] + ("emotion_status",) + CLEAN_FIELDS[9:]
+SCORING_FIELDS = (
+    "uri", "source_label", "credibility_label", "clean_text", "tokens", "lang_detected",
+    "sentiment", "emotion_scores", "dominant_emotion", "emotion_status", "explanation_terms",
+    "explanation_text", "credibility_score", "predicted_label", "alert", "inserted_at",
+)
 
 
-def upsert(table: DataFrame, updates: DataFrame, key: str = "clean_text",
-           fields: Sequence[str] | None = None, now: Column | None = None) -> DataFrame:
+def one_per_key(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the largest by ``order``, ties by the row's content."""
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    by = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*others)))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), by).alias("_row")).select(key, "_row.*")
+
+
+def upsert(table: DataFrame, updates: DataFrame, key: str = "post_id",
+           fields: Sequence[str] | None = None, now: Column | None = None,
+           order: Sequence[str] = ()) -> DataFrame:
     """``$set`` listed fields by key (the update's value even when NULL),
     keep the table's other fields, ``created_at`` only on insert.
 
     Full outer join on the (unique) key with hit markers on both sides;
-    updates are first made unique per key (last one wins is not defined in
-    the original either; here: any one, deterministic by its columns)."""
+    updates are first made unique per key (``one_per_key``)."""
     fields = [f for f in (fields or updates.columns) if f != key and f in updates.columns]
-    u = updates.select(key, *fields).dropDuplicates([key]).withColumn("_hit_u", F.lit(True))
+    u = one_per_key(updates.select(key, *fields), key, order).withColumn("_hit_u", F.lit(True))
     t_cols = [c for c in table.columns if c != key]
     t = table.withColumn("_hit_t", F.lit(True))
     j = t.alias("t").join(u.alias("u"), key, "full_outer")
@@ -59,7 +73,7 @@ def upsert(table: DataFrame, updates: DataFrame, key: str = "clean_text",
     return j.select(*out_cols, created.alias("created_at"))
 
 
-def upsert_counts(table: DataFrame, updates: DataFrame, key: str = "clean_text") -> DataFrame:
+def upsert_counts(table: DataFrame, updates: DataFrame, key: str = "post_id") -> DataFrame:
     """inserted / matched counts of an upsert, as one row."""
     u = updates.select(key).distinct()
     m = u.join(table.select(key), key, "left_semi")
@@ -68,12 +82,12 @@ def upsert_counts(table: DataFrame, updates: DataFrame, key: str = "clean_text")
         (F.col("_n") - matched).alias("inserted"), matched.alias("matched"))
 
 
-def update_existing(table: DataFrame, updates: DataFrame, key: str = "clean_text",
+def update_existing(table: DataFrame, updates: DataFrame, key: str = "post_id",
                     fields: Sequence[str] | None = None) -> DataFrame:
     """Update-only (no upsert): matched rows take the listed fields from the
     update, unmatched updates are dropped, other rows are unchanged."""
     fields = [f for f in (fields or updates.columns) if f != key and f in updates.columns]
-    u = updates.select(key, *fields).dropDuplicates([key]).withColumn("_hit", F.lit(True))
+    u = one_per_key(updates.select(key, *fields), key).withColumn("_hit", F.lit(True))
     j = table.alias("t").join(u.alias("u"), key, "left")
     cols = []
     for c in table.columns:
@@ -87,9 +101,10 @@ def update_existing(table: DataFrame, updates: DataFrame, key: str = "clean_text
     return j.select(*cols, *extra)
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, key: str = "clean_text") -> DataFrame:
-    """Rows whose key is not in the table yet (``ON CONFLICT DO NOTHING``)."""
-    return rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+def insert_absent(table: DataFrame, rows: DataFrame, key: str = "post_id") -> DataFrame:
+    """Rows whose key is not in the table yet (``ON CONFLICT DO NOTHING``);
+    known keys go before the rows are gathered by key."""
+    return one_per_key(rows.join(table.select(key), key, "left_anti"), key)
 
 
 def dense_vector_rows(df: DataFrame, features: str = "features", out: str = "embedding") -> DataFrame:
@@ -101,53 +116,126 @@ def dense_vector_rows(df: DataFrame, features: str = "features", out: str = "emb
 # ---------------------------------------------------------------------------
 # commits and reports
 # ---------------------------------------------------------------------------
-def commit_table(df: DataFrame, base: str, fmt: str = "parquet",
-                 partition_by: Sequence[str] = (), bucket: tuple[int, str] | None = None) -> str:
-    """Write ``df`` as a new version folder under ``base`` and point
-    ``base/_CURRENT`` at it.  Readers use ``current_version(base)``."""
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` (the one Spark reads and writes), and the path."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def commit_table(df: DataFrame, base: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` as a new version folder under ``base``, then make it the
+    current one.  Readers use ``current_version(base)``."""
     version = f"v-{uuid.uuid4().hex[:12]}"
     path = f"{base.rstrip('/')}/{version}"
     w = df.write.mode("errorifexists").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    spark = df.sparkSession
-    _write_pointer(spark, base, version)
+    _commit(df.sparkSession, base, [version])
     return path
 
 
-def _write_pointer(spark: SparkSession, base: str, version: str) -> None:
-    pointer = f"{base.rstrip('/')}/_CURRENT"
-    if "://" not in base or base.startswith("file:"):
-        local = pointer.replace("file://", "")
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        tmp = local + ".tmp"
-        with open(tmp, "w") as f:
-            f.write(version)
-        os.replace(tmp, local)
-    else:  # shared file systems: one-line text table, overwritten
-        spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(pointer)
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    """Names of the version files, oldest first.  Only a folder that is not
+    there means no table; any other failure is raised."""
+    fs, p = file_system(spark, f"{base.rstrip('/')}/_versions")
+    if not fs.exists(p):
+        return []
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if not x.getPath().getName().startswith("."))
 
 
-def current_version(spark: SparkSession, base: str) -> str | None:
-    pointer = f"{base.rstrip('/')}/_CURRENT"
-    local = pointer.replace("file://", "")
-    if os.path.exists(local):
-        with open(local) as f:
-            return f"{base.rstrip('/')}/{f.read().strip()}"
+def _commit(spark: SparkSession, base: str, folders: Sequence[str]) -> None:
+    """Make ``folders`` the current table: a further version file, written
+    aside and renamed, so readers see the table before or after it."""
+    number = 1 + max((int(n[:12]) for n in _versions(spark, base)), default=0)
+    name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+    fs, target = file_system(spark, f"{base.rstrip('/')}/_versions/{name}")
+    _, aside = file_system(spark, f"{base.rstrip('/')}/_versions/.{name}")
+    out = fs.create(aside, False)
     try:
-        row = spark.read.text(pointer).first()
-        return f"{base.rstrip('/')}/{row[0]}" if row else None
-    except Exception:
+        out.write(bytearray("\n".join(folders).encode()))
+    finally:
+        out.close()
+    if not fs.rename(aside, target):
+        raise OSError(f"could not commit {target.toString()}")
+
+
+def current_folders(spark: SparkSession, base: str) -> list[str] | None:
+    """The folders of the current table; None when there is no table yet."""
+    names = _versions(spark, base)
+    if not names:
         return None
+    path = f"{base.rstrip('/')}/_versions/{names[-1]}"
+    return [r[0] for r in spark.read.text(path).collect() if r[0]]
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """The folder of a table written whole by ``commit_table``."""
+    folders = current_folders(spark, base)
+    return f"{base.rstrip('/')}/{folders[0]}" if folders else None
+
+
+# ---------------------------------------------------------------------------
+# the scored table: hash buckets of post_id, replaced one by one
+# ---------------------------------------------------------------------------
+TABLE_BUCKETS = 256
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(TABLE_BUCKETS)).cast("int")
+
+
+def read_scored(spark: SparkSession, base: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The scored table (or some of its buckets); None when there is none."""
+    folders = current_folders(spark, base)
+    if folders is None:
+        return None
+    wanted = None if buckets is None else {f"_bucket={b}" for b in buckets}
+    paths = [f"{base.rstrip('/')}/{f}" for f in folders if wanted is None or f.rsplit("/", 1)[-1] in wanted]
+    if not paths:
+        return spark.read.parquet(f"{base.rstrip('/')}/{folders[0]}").limit(0)
+    return spark.read.option("mergeSchema", True).parquet(*paths)
+
+
+def upsert_scored(spark: SparkSession, base: str, updates: DataFrame, key: str = "post_id",
+                  now: Column | None = None) -> list[str]:
+    """Upsert into the scored table: only the buckets that ``updates`` touch
+    are read, joined and written again; the others stay as they are.  The new
+    list of folders is committed at once.  Returns it."""
+    updates = materialize(updates.withColumn("_bucket", bucket_of(key)))
+    touched = sorted(r[0] for r in updates.select("_bucket").distinct().collect())
+    old = current_folders(spark, base)
+    if not touched:
+        return old or []
+    rows = updates.drop("_bucket")
+    table = read_scored(spark, base, touched)
+    if table is None:
+        stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
+        new = one_per_key(rows.drop("created_at"), key).withColumn("created_at", stamp)
+    else:
+        new = upsert(table, rows, key, now=now)
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    new.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.mode("errorifexists") \
+       .partitionBy("_bucket").parquet(f"{base.rstrip('/')}/{version}")
+    written = [f"{version}/_bucket={b}" for b in touched]
+    names = {f.rsplit("/", 1)[-1] for f in written}
+    folders = [f for f in old or [] if f.rsplit("/", 1)[-1] not in names] + written
+    _commit(spark, base, folders)
+    return folders
 
 
 def append_report(df: DataFrame, path: str, run_id: str, run_ts: Column | None = None) -> None:
-    """Append a report table stamped with ``run_id`` / ``run_ts``,
-    partitioned by run id (the 'timestamped file' of the original)."""
+    """Add a report stamped with ``run_id`` / ``run_ts``, partitioned by run
+    id (the 'timestamped file' of the original); a repeated run replaces its own."""
     ts = run_ts if run_ts is not None else F.current_timestamp().cast("timestamp_ntz")
     (df.withColumn("run_id", F.lit(run_id)).withColumn("run_ts", ts)
-       .write.mode("append").partitionBy("run_id").parquet(path))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
 def save_json(spark: SparkSession, obj: dict, path: str) -> None:

@@ -133,8 +133,8 @@ def load_bundle(path: str) -> Bundle:
 # ---------------------------------------------------------------------------
 def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str = "run",
           checkpoint: bool = True) -> dict:
-    """Training run: writes the scored table (new version), models and the
-    report tables under ``out_dir``; returns their paths."""
+    """Training run: upserts the scored table, writes models and the report
+    tables under ``out_dir``; returns their paths."""
     posts = P.prepare_posts(raw, params.verified_sources)
     enriched = L.enrich_posts(posts)
     if checkpoint:
@@ -147,8 +147,9 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
     scored = score_posts(enriched, b, params)
     table = scored.select(*[c for c in St.CLEAN_FIELDS if c in scored.columns],
                           "emotion_status", "plain_label", "post_id")
-    table = table.withColumn("created_at", F.col("inserted_at"))
-    path = St.commit_table(table, f"{out_dir}/scored")
+    # upsert: posts scored by earlier runs stay, and keep their created_at
+    path = f"{out_dir}/scored"
+    St.upsert_scored(enriched.sparkSession, path, table)
     reports = {
         "sentiment_summary": Rp.sentiment_summary(enriched),
         "emotion_summary": Rp.emotion_summary(enriched),
@@ -181,11 +182,10 @@ def drift_against_previous(spark: SparkSession, reports_dir: str, cur_lab: DataF
     from ..sources import raw as R
 
     def previous(name: str):
-        try:
-            df = spark.read.parquet(f"{reports_dir}/{name}")
-        except Exception:
+        path = f"{reports_dir}/{name}"
+        if not St.path_exists(spark, path):
             return None
-        return R.latest_run(df, "run_ts").select("key", "share")
+        return R.latest_run(spark.read.parquet(path), "run_ts").select("key", "share")
 
     def distance(cur: DataFrame, prev) -> "F.Column":
         if prev is None:
@@ -216,46 +216,35 @@ def cluster_reports(enriched: DataFrame, b: Bundle, params: Params = DEFAULT,
     if params.cluster_by and params.cluster_by != "none":
         vt = b.vocab_table(spark)
         tf = Ft.term_counts(enriched, key, Ft.stopword_list(params.custom_stopwords))
-        rows = K.sparse_rows_from_weights(Ft.tfidf_weights(tf, vt, key), vt, key)
+        weights = Ft.tfidf_weights(tf, vt, key).checkpoint(eager=True)
         g = enriched.select(key, "clean_text", rules.group_key("source_label", "lang_detected",
                                                                params.cluster_by).alias("grp"))
-        sr = g.join(rows, key, "left").select(
-            "grp", key, F2.coalesce("idx", F2.array().cast("array<int>")).alias("idx"),
-            F2.coalesce("val", F2.array().cast("array<double>")).alias("val"))
-        feats = b.features(enriched.select(key, "clean_text")).join(g.select(key, "grp"), key)
-        grouped = K.grouped_kmeans_bounded(sr, feats, "grp", key, len(b.indexed),
-                                           params.grouped_kmeans_max_rows, params.n_clusters,
-                                           params.kmeans_seed, params.kmeans_n_init)
+        grouped, _ = K.grouped_kmeans(g, weights, "grp", key, params.n_clusters, params.kmeans_seed,
+                                      params.grouped_kmeans_n_init, params.grouped_kmeans_max_iter)
         out["clusters_by_group"] = grouped.join(g.select(key, "clean_text"), key) \
                                           .select("clean_text", F2.col("grp").alias("group"), "cluster")
+        out["cluster_keywords_by_group"] = K.centroid_keywords(grouped, weights, key, group=("grp",)) \
+            .withColumnRenamed("grp", "group")
     return out
 
 
 def score(raw: DataFrame, scored_base: str, model_dir: str, params: Params = DEFAULT,
           estimate_only: bool = False) -> DataFrame | str:
     """Incremental run: only posts without a prediction and explanation
-    are enriched and scored; the result is upserted by ``clean_text``."""
+    are enriched and scored; the result is upserted by ``post_id``.  Returns
+    the table's path, or with ``estimate_only`` the counts."""
     spark = raw.sparkSession
     posts = P.prepare_posts(raw, params.verified_sources)
-    current = St.current_version(spark, scored_base)
-    table = spark.read.parquet(current) if current else None
-    if table is None:
-        todo = posts
-    else:
-        todo = I.select_for_scoring(posts, table, refresh_existing=params.incremental_refresh_existing,
-                                    limit=params.incremental_limit)
+    table = St.read_scored(spark, scored_base)
+    refresh, limit = params.incremental_refresh_existing, params.incremental_limit
     if estimate_only:
-        return I.estimate(posts, table, limit=params.incremental_limit) if table is not None else \
-            posts.agg(F.count("*").alias("to_score"), F.count("*").alias("total"))
+        return I.estimate(posts, table, refresh_existing=refresh, limit=limit)
+    todo = I.select_for_scoring(posts, table, refresh_existing=refresh, limit=limit)
     b = load_bundle(model_dir)
     scored = score_posts(L.enrich_posts(todo), b, params)
     updates = scored.select(*[c for c in St.SCORING_FIELDS if c in scored.columns], "plain_label", "post_id")
-    now = F.current_timestamp().cast("timestamp_ntz")
-    if table is None:
-        new = updates.withColumn("created_at", now)
-    else:
-        new = St.upsert(table, updates, key="clean_text", now=now)
-    return St.commit_table(new, scored_base)
+    St.upsert_scored(spark, scored_base, updates)
+    return scored_base
 
 
 def score_texts(texts: DataFrame, b: Bundle, params: Params = DEFAULT, text_col: str = "text",

@@ -13,12 +13,13 @@ def test_train_then_incremental_score(spark, tmp_dir):
     raw = S.raw_posts(spark, SF_SMALL)
     older = raw.where(F.col("doc_id") < 150)
     out = T.train(older, tmp_dir, params, run_id="r1")
-    table = spark.read.parquet(out["scored"])
+    table = St.read_scored(spark, out["scored"])
+    table = table.checkpoint()
     n_first = table.count()
     assert n_first > 0
     assert table.where("predicted_label IS NULL OR explanation_text IS NULL").count() == 0
     for name in ("sentiment_summary", "classification_report", "class_top_terms", "clusters",
-                 "cluster_keywords", "cluster_report", "clusters_by_group", "data_drift"):
+                 "cluster_keywords", "cluster_report", "clusters_by_group", "cluster_keywords_by_group", "data_drift"):
         assert spark.read.parquet(f"{out['reports']}/{name}").where("run_id = 'r1'").count() > 0
     first = spark.read.parquet(f"{out['reports']}/data_drift").first()
     assert first.label_js_distance is None        # no previous run yet
@@ -29,9 +30,23 @@ def test_train_then_incremental_score(spark, tmp_dir):
 
     # newer posts are scored and upserted; earlier rows keep created_at
     path = T.score(raw, f"{tmp_dir}/scored", out["models"], params)
-    assert path == St.current_version(spark, f"{tmp_dir}/scored")
-    after = spark.read.parquet(path)
+    after = St.read_scored(spark, path).checkpoint()
     assert after.count() > n_first
     assert after.select("clean_text").distinct().count() == after.count()
     kept = after.join(table.select("clean_text", F.col("created_at").alias("c0")), "clean_text")
     assert kept.where("created_at <> c0").count() == 0
+
+    # a second training run on other posts keeps the rows scored before
+    T.train(raw.where(F.col("doc_id") >= 150), tmp_dir, params, run_id="r2")
+    again = St.read_scored(spark, f"{tmp_dir}/scored")
+    assert again.select("post_id").distinct().count() == again.count() == after.count()
+    kept = again.join(after.select("post_id", F.col("created_at").alias("c0")), "post_id")
+    assert kept.count() == after.count() and kept.where("created_at <> c0").count() == 0
+
+    # an estimate without a table, with a limit, and with refresh
+    from dataclasses import replace
+    e = T.score(raw, f"{tmp_dir}/absent", out["models"], replace(params, incremental_limit=7), estimate_only=True).first()
+    assert e.to_score == 7
+    e = T.score(raw, f"{tmp_dir}/scored", out["models"], replace(params, incremental_refresh_existing=True),
+                estimate_only=True).first()
+    assert e.to_score == e.total

@@ -26,26 +26,26 @@ def _updates(spark):
 
 def test_upsert_semantics(spark):
     now = F.lit(T1).cast("timestamp_ntz")
-    out = {r.clean_text: r for r in St.upsert(_table(spark), _updates(spark), now=now).collect()}
+    out = {r.clean_text: r for r in St.upsert(_table(spark), _updates(spark), "clean_text", now=now).collect()}
     assert out["a"].predicted_label == "y"
     assert out["a"].credibility_score is None          # listed field set even when NULL
     assert out["a"].note == "kept"                     # unlisted field kept
     assert out["a"].created_at == T0                   # set on insert only
     assert out["b"].predicted_label == ""              # untouched row
     assert out["c"].created_at == T1 and out["c"].note is None
-    c = St.upsert_counts(_table(spark), _updates(spark)).first()
+    c = St.upsert_counts(_table(spark), _updates(spark), "clean_text").first()
     assert (c.inserted, c.matched) == (1, 1)
 
 
 def test_upsert_twice_equals_once(spark):
     now = F.lit(T1).cast("timestamp_ntz")
-    once = St.upsert(_table(spark), _updates(spark), now=now)
-    twice = St.upsert(once, _updates(spark), now=now)
+    once = St.upsert(_table(spark), _updates(spark), "clean_text", now=now)
+    twice = St.upsert(once, _updates(spark), "clean_text", now=now)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.select(*once.columns).collect()))
 
 
 def test_update_existing_ignores_unknown(spark):
-    out = St.update_existing(_table(spark), _updates(spark).select("clean_text", "predicted_label"))
+    out = St.update_existing(_table(spark), _updates(spark).select("clean_text", "predicted_label"), "clean_text")
     got = {r.clean_text: r.predicted_label for r in out.collect()}
     assert got == {"a": "y", "b": ""}
 
@@ -55,10 +55,10 @@ def test_incremental_filter(spark):
                                   "clean_text string, source_rank int, inserted_at timestamp_ntz, uri string")
     scored = spark.createDataFrame([("a", "x", "e"), ("b", "x", None)],
                                    "clean_text string, predicted_label string, explanation_text string")
-    assert sorted(r.clean_text for r in I.select_for_scoring(posts, scored).collect()) == ["b", "d"]
-    assert [r.clean_text for r in I.select_for_scoring(posts, scored, limit=1).collect()] == ["b"]
-    assert I.select_for_scoring(posts, scored, refresh_existing=True).count() == 3
-    e = I.estimate(posts, scored).first()
+    assert sorted(r.clean_text for r in I.select_for_scoring(posts, scored, "clean_text").collect()) == ["b", "d"]
+    assert [r.clean_text for r in I.select_for_scoring(posts, scored, "clean_text", limit=1).collect()] == ["b"]
+    assert I.select_for_scoring(posts, scored, "clean_text", refresh_existing=True).count() == 3
+    e = I.estimate(posts, scored, "clean_text").first()
     assert (e.to_score, e.total) == (2, 3)
 
 
@@ -69,3 +69,42 @@ def test_commit_table_versions(spark, tmp_dir):
     assert p1 != p2
     assert St.current_version(spark, f"{tmp_dir}/t") == p2
     assert spark.read.parquet(p2).count() == 2
+
+
+def test_broken_pointer_raises(spark, tmp_dir):
+    import os
+
+    import pytest
+    assert St.current_version(spark, f"{tmp_dir}/none") is None and St.read_scored(spark, f"{tmp_dir}/none") is None
+    St.commit_table(spark.range(3).toDF("x"), f"{tmp_dir}/t")
+    os.rename(f"{tmp_dir}/t/_versions", f"{tmp_dir}/t/aside")
+    with open(f"{tmp_dir}/t/_versions", "w") as f:
+        f.write("not a folder")
+    with pytest.raises(Exception):
+        St.read_scored(spark, f"{tmp_dir}/t").count()
+
+
+def test_only_touched_buckets_are_replaced(spark, tmp_dir):
+    def rows(ids, label):
+        return spark.createDataFrame([(f"p{i}", label) for i in ids], "post_id string, predicted_label string")
+    first = St.upsert_scored(spark, f"{tmp_dir}/t", rows(range(600), "a"), now=F.lit(T0))
+    again = St.upsert_scored(spark, f"{tmp_dir}/t", rows([3], "b"), now=F.lit(T1))
+    assert len(set(first) - set(again)) == 1 and len(first) == len(again)
+    St.upsert_scored(spark, f"{tmp_dir}/t", rows([3, 3, 900], "c"), now=F.lit(T1))
+    got = {r.post_id: r for r in St.read_scored(spark, f"{tmp_dir}/t").collect()}
+    assert len(got) == 601 and got["p3"].predicted_label == "c" and got["p4"].predicted_label == "a"
+    assert got["p3"].created_at == T0 and got["p900"].created_at == T1
+    assert St.upsert_scored(spark, f"{tmp_dir}/t", rows([], "c")) == St.current_folders(spark, f"{tmp_dir}/t")
+
+
+def test_repeated_report_replaces_itself(spark, tmp_dir):
+    for run in ("r1", "r2", "r1"):
+        St.append_report(spark.range(3).toDF("x"), f"{tmp_dir}/rep", run)
+    assert spark.read.parquet(f"{tmp_dir}/rep").count() == 6
+
+
+def test_one_per_key_is_deterministic(spark):
+    df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c"), ("j", 0, None)], "key string, n int, s string")
+    for p in (1, 3, 7):
+        got = sorted(map(tuple, St.one_per_key(df.repartition(p), "key", ["n"]).collect()))
+        assert got == [("j", 0, None), ("k", 2, "c")]
