@@ -3,7 +3,7 @@
 The original keeps raw posts in per-source collections with a unique index
 on ``uri`` and trims them to a cap.  Here a collection is a table; each
 operator returns the next version of that table (or its counts) as a lazy
-DataFrame, and ``sinks.commit_table`` writes it.
+DataFrame, and ``store.commit_table`` writes it.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 # ---------------------------------------------------------------------------
 # filters
 # ---------------------------------------------------------------------------
 def _not_blank(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(r"\S")
+    return F.coalesce(c, F.lit("")).rlike(fixed.NOT_SPACE_PATTERN)
 
 
 def filter_author_posts(df: DataFrame, allowed_langs: Sequence[str]) -> DataFrame:
-    """uri present; a language in the allow-list or no languages; text not blank."""
-    allowed = [l.strip() for l in allowed_langs if l and l.strip()]
+    """uri present; a language in the allow-list (as ``Params`` cleans it) or
+    no languages; text not blank."""
+    allowed = list(allowed_langs)
     cond = F.col("uri").isNotNull() & (F.col("uri") != "") & _not_blank(F.col("record.text"))
     if allowed:
         langs = F.coalesce(F.col("langs"), F.array().cast("array<string>"))
@@ -44,18 +47,15 @@ def skip_reason(df: DataFrame) -> Column:
 # ---------------------------------------------------------------------------
 def insert_ignore(existing: DataFrame, batch: DataFrame, key: str = "uri",
                   now: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``batch`` that would be inserted: valid rows, one per key
-    (first by ``order``), whose key is not in ``existing`` yet; stamped
-    with ``inserted_at``.  Appending them to the table keeps the key unique.
-
-    The in-batch dedup is an aggregate (map-side combined), the existing
-    keys are an anti join on the key column only."""
-    kept = batch.where(skip_reason(batch) == "kept")
+    """Rows of ``batch`` that would be inserted: valid rows whose key is not
+    in ``existing`` yet, one per key (first by ``order``, ties by content);
+    stamped with ``inserted_at``.  Appending them to the table keeps the key
+    unique.  Known keys go first, so only new records are gathered by key;
+    that dedup is an aggregate (map-side combined)."""
+    kept = batch.where(skip_reason(batch) == "kept").join(existing.select(key), key, "left_anti")
     others = [c for c in kept.columns if c != key]
-    ordering = F.struct(*[F.col(c) for c in order]) if order else F.struct(*[F.col(c) for c in others[:1]])
-    one = (kept.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in others]), ordering).alias("_r"))
-               .select(key, "_r.*"))
-    new = one.join(existing.select(key), key, "left_anti")
+    by = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*others)))
+    new = kept.groupBy(key).agg(F.min_by(F.struct(*others), by).alias("_r")).select(key, "_r.*")
     stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
     return new.withColumn("inserted_at", stamp)
 
@@ -91,23 +91,44 @@ def prune_retention(df: DataFrame, retention_days: int, now: _dt.datetime | Colu
     return df.where(F.col(ts) >= cutoff)
 
 
+#: Portions in which the rows of a group are ranked before their best meet.
+PORTIONS = 64
+
+
+def newest_per_group(df: DataFrame, group: Sequence[str], n: Column | int, order: Sequence[Column], tie: str) -> DataFrame:
+    """The first ``n`` rows of each group, without a group ever being gathered
+    whole: every portion of a group keeps its first ``n``, then these are
+    ranked, at most ``PORTIONS`` times ``n`` rows whatever the size of the group."""
+    limit = n if isinstance(n, Column) else F.lit(n)
+    portion = F.pmod(F.xxhash64(tie), F.lit(PORTIONS))
+    near = Window.partitionBy(*group, "_portion").orderBy(*order)
+    far = Window.partitionBy(*group).orderBy(*order)
+    local = df.withColumn("_portion", portion).withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= limit)
+    return local.drop("_portion", "_rn").withColumn("_rn", F.row_number().over(far)) \
+        .where(F.col("_rn") <= limit).drop("_rn")
+
+
 def prune_cap(df: DataFrame, caps: Mapping[str, int], default_cap: int,
               source: str = "source_label", ts: str = "inserted_at", tie: str = "uri",
               bucket: str = "hour") -> DataFrame:
-    """Newest ``cap`` rows per source (oldest excess removed).
+    """Newest ``cap`` rows per source (oldest excess removed).  A cap of 0 or
+    less keeps all; rows without a time are the oldest; rows without a source
+    are a source of their own, under the default cap.
 
     Exact and skew-safe: rows are first counted per (source, time bucket)
     (a map-side combined aggregate); a running sum over that small table
     (one row per source and bucket) tells which buckets are kept whole,
     dropped whole, or cut.  Only rows of the one cut bucket per source are
-    ranked, with a limit equal to what is left of the cap."""
+    ranked, in portions (``newest_per_group``)."""
     spark = df.sparkSession
-    cap_rows = [(k, int(v)) for k, v in caps.items()]
-    cap_df = spark.createDataFrame(cap_rows, "_src string, _cap int") if cap_rows else None
-    b = F.date_trunc(bucket, F.col(ts))
-    counts = df.groupBy(F.col(source).alias("_src"), b.alias("_b")).agg(F.count("*").alias("_n"))
-    if cap_df is not None:
-        counts = counts.join(F.broadcast(cap_df), "_src", "left")
+    # the columns of the join are never NULL
+    keyed = df.withColumn("_src", F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")))) \
+        .withColumn("_b", F.coalesce(F.date_trunc(bucket, F.col(ts)).cast("string"), F.lit("")))
+    counts = keyed.groupBy("_src", "_b").agg(F.count("*").alias("_n"))
+    cap_rows = [("1" + k, int(v)) for k, v in caps.items()]
+    if cap_rows:
+        # as many rows as the caller names sources
+        counts = counts.join(F.broadcast(spark.createDataFrame(cap_rows, "_src string, _cap int")), "_src", "left")
         counts = counts.withColumn("_cap", F.coalesce("_cap", F.lit(int(default_cap))))
     else:
         counts = counts.withColumn("_cap", F.lit(int(default_cap)))
@@ -115,23 +136,15 @@ def prune_cap(df: DataFrame, caps: Mapping[str, int], default_cap: int,
     counts = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     counts = counts.withColumn(
         "_state",
-        F.when(F.col("_newer") + F.col("_n") <= F.col("_cap"), "keep")
+        F.when((F.col("_cap") <= 0) | (F.col("_newer") + F.col("_n") <= F.col("_cap")), "keep")
          .when(F.col("_newer") >= F.col("_cap"), "drop").otherwise("cut"))
     plan = counts.where(F.col("_state") != "drop").select(
         "_src", "_b", "_state", (F.col("_cap") - F.col("_newer")).alias("_left"))
-    tagged = df.withColumn("_src", F.col(source)).withColumn("_b", b).join(plan, ["_src", "_b"])
+    tagged = keyed.join(plan, ["_src", "_b"])
     keep_all = tagged.where(F.col("_state") == "keep")
-    cut = tagged.where(F.col("_state") == "cut")
-    rw = Window.partitionBy("_src", "_b").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    # at most ``max_cap`` rows of a cut bucket can survive: the constant
-    # bound lets Spark keep only that many per map task before the shuffle
-    # (partial group limit, applied by Spark for limits up to
-    # spark.sql.optimizer.windowGroupLimitThreshold), however large one
-    # hour of one source is; a finer ``bucket`` shrinks the cut bucket
-    max_cap = max([int(default_cap)] + [int(v) for v in caps.values()])
-    cut = (cut.withColumn("_rn", F.row_number().over(rw))
-              .where((F.col("_rn") <= max_cap) & (F.col("_rn") <= F.col("_left"))).drop("_rn"))
-    return keep_all.unionByName(cut).drop("_src", "_b", "_state", "_left")
+    newest = [F.col(ts).desc_nulls_last(), F.col(tie).desc()]
+    cut = newest_per_group(tagged.where(F.col("_state") == "cut"), ["_src", "_b"], F.col("_left"), newest, tie)
+    return keep_all.unionByName(cut).select(*df.columns)
 
 
 # ---------------------------------------------------------------------------

@@ -5,21 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from . import reports as Rp
+from .collect import newest_per_group
 
 
 def latest_per_source(df: DataFrame, sources: Sequence[str], n: int,
                       ts: str = "inserted_at", tie: str = "uri") -> DataFrame:
-    """Newest ``n`` rows of each listed source.  ``row_number() <= n`` lets
-    Spark insert a partial group limit before the shuffle, so each map task
-    ships at most ``n`` rows per source even when one source holds most rows."""
+    """Newest ``n`` rows of each listed source, ranked in portions, so that
+    no source is gathered whole whatever ``n`` is."""
     d = df.where(F.col("source_label").isin(list(sources)))
-    w = Window.partitionBy("source_label").orderBy(F.col(ts).desc(), F.col(tie).desc())
-    return d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    newest = [F.col(ts).desc_nulls_last(), F.col(tie).desc()]
+    return newest_per_group(d, ["source_label"], n, newest, tie)
 
 
 def dashboard_filter(df: DataFrame, langs: Sequence[str], emotions: Sequence[str] | None) -> DataFrame:

@@ -26,9 +26,13 @@ def sentiment_summary(df: DataFrame, by: str = "source_label") -> DataFrame:
 def emotion_summary(df: DataFrame, by: str = "source_label",
                     emotions: Sequence[str] = (*fixed.EMOTIONS, "unknown")) -> DataFrame:
     """Contingency table group x dominant emotion, zero-filled.  The pivot
-    values are given, so Spark runs no extra job to find them."""
-    p = df.groupBy(by).pivot("dominant_emotion", list(emotions)).count()
-    return p.na.fill(0, subset=list(emotions))
+    values are given, so Spark runs no extra job to find them; every other
+    emotion (another scorer's, or none) counts as ``other``, so a row adds up
+    to its posts."""
+    known = F.col("dominant_emotion").isin(list(emotions))
+    named = df.withColumn("_emotion", F.when(known, F.col("dominant_emotion")).otherwise("other"))
+    columns = [*emotions, "other"]
+    return named.groupBy(by).pivot("_emotion", columns).count().na.fill(0, subset=columns)
 
 
 def distribution(df: DataFrame, col: str, key_name: str = "key") -> DataFrame:

@@ -47,16 +47,6 @@ def tokens(spark, sf):
                     F.size("tokens").alias("n_tokens"))
 
 
-# FIXED VALUES: hand-made texts with lexicon words, negation and intensifiers
-HAND_SENTIMENT = (
-    ("hand/s1", "this is very good news", "en"),
-    ("hand/s2", "this is not good at all", "en"),
-    ("hand/s3", "a terrible and awful crisis", "en"),
-    ("hand/s4", "ce n est pas bon mais tres beau", "fr"),
-    ("hand/s5", "hope and fear and war and love", "en"),
-)
-
-
 @register("sentiment", O.with_(*EN, final="""
 SELECT uri, lang_detected, round(sentiment, 6) AS sentiment FROM enriched"""))
 def sentiment(spark, sf):
@@ -108,11 +98,20 @@ def sentiment_summary(spark, sf):
 _EMO_COLS = (*fixed.EMOTIONS, "unknown")
 
 
-@register("emotion_summary", O.with_(*EN, final="SELECT source_label, " + ", ".join(
+# hand-made rows: emotions outside the list (another scorer's, none)
+HAND_EMOTIONS = (("hand", "calm"), ("hand", None), ("hand", "joy"), (None, "calm"))
+
+
+@register("emotion_summary", O.with_(*EN, ("every", f"""
+SELECT source_label, dominant_emotion FROM enriched UNION ALL
+SELECT * FROM {O.values(HAND_EMOTIONS, 'source_label, dominant_emotion')}"""), final="SELECT source_label, " + ", ".join(
     f"count(*) FILTER (WHERE dominant_emotion = {O.q(e)}) AS {e}" for e in _EMO_COLS)
-    + " FROM enriched GROUP BY 1"))
+    + f", count(*) FILTER (WHERE coalesce(dominant_emotion, 'none') NOT IN {O.in_list(_EMO_COLS)}) AS other"
+    + " FROM every GROUP BY 1"))
 def emotion_summary(spark, sf):
-    return Rp.emotion_summary(enriched(spark, sf), emotions=_EMO_COLS)
+    hand = spark.createDataFrame(list(HAND_EMOTIONS), "source_label string, dominant_emotion string")
+    e = enriched(spark, sf).select("source_label", "dominant_emotion").unionByName(hand)
+    return Rp.emotion_summary(e, emotions=_EMO_COLS)
 
 
 @register("label_distribution", O.with_(*EN, final="""
@@ -166,14 +165,6 @@ def _paired(spark, sf):
     return materialize(lab), materialize(lng)
 
 
-def _halves(spark, sf, col):
-    e = enriched(spark, sf)
-    half = _half(spark, sf)
-    cur = Rp.distribution(e.where(F.col("doc_id") >= half), col)
-    prev = Rp.distribution(e.where(F.col("doc_id") < half), col)
-    return cur, prev
-
-
 @register("drift_js", O.with_(*EN, *_js_sql("source_label", "lab"), *_js_sql("lang_detected", "lng"), final="""
 SELECT round((SELECT d FROM lab_js), 6) AS label_js_distance, round((SELECT d FROM lng_js), 6) AS language_js_distance"""))
 def drift_js(spark, sf):

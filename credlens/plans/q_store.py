@@ -41,20 +41,22 @@ def _insert_inputs(spark, sf):
 _INSERT_CTES = [("raw_posts", O.RAW_POSTS),
                 ("existing", "SELECT uri FROM raw_posts WHERE doc_id % 3 = 0"),
                 ("batch", "SELECT * FROM raw_posts UNION ALL SELECT * FROM raw_posts WHERE langs[1] = 'fr'"),
-                ("tagged", """
+                ("tagged", f"""
 SELECT *, CASE WHEN uri IS NULL OR uri = '' THEN 'no_uri'
-               WHEN NOT regexp_matches(coalesce(rec_text, ''), '\\S') THEN 'empty_text'
+               WHEN NOT regexp_matches(coalesce(rec_text, ''), '{fixed.NOT_SPACE_PATTERN}') THEN 'empty_text'
                ELSE 'kept' END AS reason
 FROM batch""")]
 
 
 @register("insert_ignore", O.with_(*_INSERT_CTES, final=f"""
-SELECT DISTINCT uri, {NOW_SQL} AS inserted_at FROM tagged
-WHERE reason = 'kept' AND uri NOT IN (SELECT uri FROM existing)"""))
+SELECT uri, doc_id, source_label, md5(rec_text) AS text_md5, {NOW_SQL} AS inserted_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY uri ORDER BY source_rank, doc_id) AS rn FROM tagged
+  WHERE reason = 'kept' AND uri NOT IN (SELECT uri FROM existing))
+WHERE rn = 1"""))
 def insert_ignore(spark, sf):
     existing, batch = _insert_inputs(spark, sf)
     new = C.insert_ignore(existing, batch, now=_now(), order=("source_rank", "doc_id"))
-    return new.select("uri", "inserted_at")
+    return new.select("uri", "doc_id", "source_label", F.md5("record.text").alias("text_md5"), "inserted_at")
 
 
 @register("insert_counts", O.with_(*_INSERT_CTES, final="""
@@ -74,12 +76,20 @@ def insert_counts(spark, sf):
 # ---------------------------------------------------------------------------
 RETENTION_DAYS = 7
 # FIXED VALUES of the stand-in caps (per event type; others use the default)
-TEST_CAPS = {"view": 1000, "click": 1500, "error": 3000}
+TEST_CAPS = {"view": 1000, "click": 1500, "error": 3000, "uncapped": 0, "two": 2}
 TEST_DEFAULT_CAP = 500
 
+# hand-made rows: no time (counted as oldest), no source, a source without a cap
+HAND_ROWS = (("hand/1", None, None), ("hand/2", "hand", None), ("hand/3", "hand", "2024-01-01 00:00:00"),
+             ("hand/4", None, "2024-01-01 00:00:00"), ("hand/5", "uncapped", None), ("hand/6", "two", None),
+             ("hand/7", "two", "2024-01-01 00:00:00"), ("hand/8", "two", "2024-01-01 00:00:00"))
+
 _EVT = ("evt", """
 SELECT 'evt/' || CAST(event_id AS VARCHAR) AS uri, event_type AS source_label, ts AS inserted_at, event_id
 FROM events""")
+_CAP_ROWS = ("cap_rows", f"""
+SELECT uri, source_label, inserted_at FROM evt UNION ALL
+SELECT uri, source_label, CAST(ts_text AS TIMESTAMP) FROM {O.values(HAND_ROWS, 'uri, source_label, ts_text')}""")
 
 
 @register("prune_retention", O.with_(_EVT, final=f"""
@@ -92,12 +102,15 @@ _CAP_CASE = "CASE source_label " + " ".join(f"WHEN {O.q(k)} THEN {v}" for k, v i
             + f" ELSE {TEST_DEFAULT_CAP} END"
 
 
-@register("prune_cap", O.with_(_EVT, final=f"""
+@register("prune_cap", O.with_(_EVT, _CAP_ROWS, final=f"""
 SELECT uri, source_label FROM (
-  SELECT *, row_number() OVER (PARTITION BY source_label ORDER BY inserted_at DESC, uri DESC) AS rn FROM evt)
-WHERE rn <= {_CAP_CASE}"""))
+  SELECT *, row_number() OVER (PARTITION BY source_label ORDER BY inserted_at DESC NULLS LAST, uri DESC) AS rn FROM cap_rows)
+WHERE rn <= {_CAP_CASE} OR {_CAP_CASE} <= 0"""))
 def prune_cap(spark, sf):
-    kept = C.prune_cap(S.event_rows(spark, sf), TEST_CAPS, TEST_DEFAULT_CAP)
+    hand = spark.createDataFrame(list(HAND_ROWS), "uri string, source_label string, ts_text string") \
+        .select("uri", "source_label", F.col("ts_text").cast("timestamp_ntz").alias("inserted_at"))
+    rows = S.event_rows(spark, sf).select("uri", "source_label", F.col("inserted_at").cast("timestamp_ntz").alias("inserted_at"))
+    kept = C.prune_cap(rows.unionByName(hand), TEST_CAPS, TEST_DEFAULT_CAP)
     return kept.select("uri", "source_label")
 
 
@@ -134,9 +147,9 @@ def crawl_state(spark, sf):
 # ---------------------------------------------------------------------------
 def _scored_tables(spark, sf):
     p = posts(spark, sf)
-    base = p.select("doc_id", "uri", "source_label", "credibility_label", "clean_text", "inserted_at")
-    table = base.where(F.col("doc_id") % 3 == 0).select(
-        "uri", "source_label", "credibility_label", "clean_text",
+    base = p.select("doc_id", "uri", "source_label", "credibility_label", "post_id", "inserted_at")
+    table = base.where(F.col("doc_id") % 3 != 1).select(
+        "uri", "source_label", "credibility_label", "post_id",
         F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.col("credibility_label")).alias("predicted_label"),
         F.lit(0.5).alias("credibility_score"),
         F.lit("old").alias("explanation_text"),
@@ -145,8 +158,8 @@ def _scored_tables(spark, sf):
         "inserted_at",
         F.col("inserted_at").alias("created_at"),
     )
-    updates = base.where(F.col("doc_id") % 2 == 0).select(
-        "uri", "source_label", "credibility_label", "clean_text",
+    updates = base.where((F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 1)).select(
+        "uri", "source_label", "credibility_label", "post_id",
         F.col("credibility_label").alias("predicted_label"),
         F.lit(0.9).alias("credibility_score"),
         F.concat(F.lit("new "), F.col("uri")).alias("explanation_text"),
@@ -158,54 +171,54 @@ def _scored_tables(spark, sf):
 
 _SCORED_CTES = O.POSTS_CTES + [
     ("tbl", """
-SELECT uri, source_label, credibility_label, clean_text,
+SELECT uri, source_label, credibility_label, post_id,
        CASE WHEN doc_id % 6 = 0 THEN '' ELSE credibility_label END AS predicted_label,
        CAST(0.5 AS DOUBLE) AS credibility_score, 'old' AS explanation_text, FALSE AS alert, 'kept' AS note,
        inserted_at, inserted_at AS created_at
-FROM posts WHERE doc_id % 3 = 0"""),
+FROM posts WHERE doc_id % 3 <> 1"""),
     ("upd", f"""
-SELECT uri, source_label, credibility_label, clean_text, credibility_label AS predicted_label,
+SELECT uri, source_label, credibility_label, post_id, credibility_label AS predicted_label,
        CAST(0.9 AS DOUBLE) AS credibility_score, 'new ' || uri AS explanation_text, CAST(NULL AS BOOLEAN) AS alert,
        {NOW_SQL} AS inserted_at
-FROM posts WHERE doc_id % 2 = 0"""),
+FROM posts WHERE doc_id % 2 = 0 OR doc_id % 3 = 1"""),
 ]
 
 
 @register("upsert_posts", O.with_(*_SCORED_CTES, final=f"""
 SELECT coalesce(u.uri, t.uri) AS uri,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.predicted_label ELSE t.predicted_label END AS predicted_label,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.credibility_score ELSE t.credibility_score END AS credibility_score,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.explanation_text ELSE t.explanation_text END AS explanation_text,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.alert ELSE t.alert END AS alert,
+       CASE WHEN u.post_id IS NOT NULL THEN u.predicted_label ELSE t.predicted_label END AS predicted_label,
+       CASE WHEN u.post_id IS NOT NULL THEN u.credibility_score ELSE t.credibility_score END AS credibility_score,
+       CASE WHEN u.post_id IS NOT NULL THEN u.explanation_text ELSE t.explanation_text END AS explanation_text,
+       CASE WHEN u.post_id IS NOT NULL THEN u.alert ELSE t.alert END AS alert,
        t.note AS note,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.inserted_at ELSE t.inserted_at END AS inserted_at,
-       CASE WHEN t.clean_text IS NOT NULL THEN t.created_at ELSE {NOW_SQL} END AS created_at
-FROM tbl t FULL OUTER JOIN upd u ON t.clean_text = u.clean_text"""))
+       CASE WHEN u.post_id IS NOT NULL THEN u.inserted_at ELSE t.inserted_at END AS inserted_at,
+       CASE WHEN t.post_id IS NOT NULL THEN t.created_at ELSE {NOW_SQL} END AS created_at
+FROM tbl t FULL OUTER JOIN upd u ON t.post_id = u.post_id"""))
 def upsert_posts(spark, sf):
     table, updates = _scored_tables(spark, sf)
-    out = St.upsert(table, updates, key="clean_text", now=_now())
+    out = St.upsert(table, updates, key="post_id", now=_now())
     return out.select("uri", "predicted_label", "credibility_score", "explanation_text", "alert",
                       "note", "inserted_at", "created_at")
 
 
 @register("upsert_counts", O.with_(*_SCORED_CTES, final="""
-SELECT count(*) FILTER (WHERE t.clean_text IS NULL) AS inserted,
-       count(*) FILTER (WHERE t.clean_text IS NOT NULL) AS matched
-FROM upd u LEFT JOIN tbl t ON t.clean_text = u.clean_text"""))
+SELECT count(*) FILTER (WHERE t.post_id IS NULL) AS inserted,
+       count(*) FILTER (WHERE t.post_id IS NOT NULL) AS matched
+FROM upd u LEFT JOIN tbl t ON t.post_id = u.post_id"""))
 def upsert_counts(spark, sf):
     table, updates = _scored_tables(spark, sf)
-    return St.upsert_counts(table, updates, key="clean_text")
+    return St.upsert_counts(table, updates, key="post_id")
 
 
 @register("update_existing", O.with_(*_SCORED_CTES, final="""
 SELECT t.uri,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.explanation_text ELSE t.explanation_text END AS explanation_text,
-       CASE WHEN u.clean_text IS NOT NULL THEN u.credibility_score ELSE t.credibility_score END AS credibility_score,
+       CASE WHEN u.post_id IS NOT NULL THEN u.explanation_text ELSE t.explanation_text END AS explanation_text,
+       CASE WHEN u.post_id IS NOT NULL THEN u.credibility_score ELSE t.credibility_score END AS credibility_score,
        t.predicted_label, t.note
-FROM tbl t LEFT JOIN upd u ON t.clean_text = u.clean_text"""))
+FROM tbl t LEFT JOIN upd u ON t.post_id = u.post_id"""))
 def update_existing(spark, sf):
     table, updates = _scored_tables(spark, sf)
-    out = St.update_existing(table, updates.select("clean_text", "explanation_text", "credibility_score"))
+    out = St.update_existing(table, updates.select("post_id", "explanation_text", "credibility_score"))
     return out.select("uri", "explanation_text", "credibility_score", "predicted_label", "note")
 
 
@@ -228,12 +241,12 @@ def vector_insert_absent(spark, sf):
 # incremental selection
 # ---------------------------------------------------------------------------
 _DONE_SQL = """
-SELECT clean_text FROM tbl
+SELECT post_id FROM tbl
 WHERE predicted_label IS NOT NULL AND predicted_label <> '' AND explanation_text IS NOT NULL AND explanation_text <> ''"""
 
 
 @register("incremental_filter", O.with_(*_SCORED_CTES, ("done", _DONE_SQL), final="""
-SELECT uri, source_label FROM posts WHERE clean_text NOT IN (SELECT clean_text FROM done)"""))
+SELECT uri, source_label FROM posts WHERE post_id NOT IN (SELECT post_id FROM done)"""))
 def incremental_filter(spark, sf):
     table, _ = _scored_tables(spark, sf)
     return I.select_for_scoring(posts(spark, sf), table).select("uri", "source_label")
@@ -243,7 +256,7 @@ INCREMENTAL_TEST_LIMIT = 100
 
 
 @register("incremental_limit", O.with_(*_SCORED_CTES, ("done", _DONE_SQL), final=f"""
-SELECT uri, source_label FROM posts WHERE clean_text NOT IN (SELECT clean_text FROM done)
+SELECT uri, source_label FROM posts WHERE post_id NOT IN (SELECT post_id FROM done)
 ORDER BY source_rank, inserted_at, uri LIMIT {INCREMENTAL_TEST_LIMIT}"""))
 def incremental_limit(spark, sf):
     table, _ = _scored_tables(spark, sf)
@@ -252,7 +265,7 @@ def incremental_limit(spark, sf):
 
 
 @register("incremental_estimate", O.with_(*_SCORED_CTES, ("done", _DONE_SQL), final="""
-SELECT (SELECT count(*) FROM posts WHERE clean_text NOT IN (SELECT clean_text FROM done)) AS to_score,
+SELECT (SELECT count(*) FROM posts WHERE post_id NOT IN (SELECT post_id FROM done)) AS to_score,
        count(*) AS total FROM posts"""))
 def incremental_estimate(spark, sf):
     table, _ = _scored_tables(spark, sf)
