@@ -39,9 +39,14 @@ class Params:
     kmeans_n_init: int = 10
     split_test_buckets: int = 1       # 1 of 5 hash buckets = 20 % test
     calibration_folds: int = 3
-    # rows above which one group of the grouped k-means is fitted with pyspark.ml
-    # instead of inside one pandas task
-    grouped_kmeans_max_rows: int = 200_000
+    grouped_kmeans_n_init: int = 2
+    grouped_kmeans_max_iter: int = 12
+
+    def __post_init__(self) -> None:
+        tidy = {"langs_filter": str.strip, "custom_stopwords": lambda w: w.strip().lower()}
+        for name, clean in tidy.items():
+            values = (clean(v or "") for v in getattr(self, name))
+            object.__setattr__(self, name, tuple(v for v in values if v))
 
     def cap_for(self, source: str) -> int:
         return int(self.collection_caps.get(source, self.default_cap))

@@ -86,7 +86,3 @@ def hash_bucket(key: Column | str, buckets: int) -> Column:
     """Stable bucket of a key from the first 32 bits of its md5."""
     h = F.conv(F.substring(F.md5(_c(key)), 1, 8), 16, 10).cast("long")
     return (h % F.lit(buckets)).cast("int")
-
-
-def run_id(ts: Column | str) -> Column:
-    return F.date_format(_c(ts), "yyyyMMdd_HHmmss")

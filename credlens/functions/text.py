@@ -17,19 +17,22 @@ def extract_text(record: Column | str = "record") -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), quoted, F.lit(""))
 
 
-_ONE_TO_ONE = {k: v for k, v in fixed.SPECIAL_LETTERS.items() if len(v) == 1}
-_MULTI = {k: v for k, v in fixed.SPECIAL_LETTERS.items() if len(v) > 1}
-_FROM = fixed.ACCENT_FROM + "".join(_ONE_TO_ONE)
-_TO = fixed.ACCENT_TO + "".join(_ONE_TO_ONE.values())
+_FROM, _TO = "".join(fixed.ONE_LETTER), "".join(fixed.ONE_LETTER.values())
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters with diacritics to ASCII (one translate, then the few
-    letters spelled with two ASCII letters)."""
+    """Letters with diacritics, Greek, Cyrillic, small digits and fractions to
+    ASCII: one translate, then the letters spelled with several; those of
+    other scripts only where such a letter is there."""
     t = F.translate(c, _FROM, _TO)
-    for letter, ascii_ in _MULTI.items():
-        t = F.replace(t, F.lit(letter), F.lit(ascii_))
-    return t
+    for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
+        if letter in fixed.SPECIAL_LETTERS:
+            t = F.replace(t, F.lit(letter), F.lit(ascii_))
+    other = t
+    for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
+        if letter not in fixed.SPECIAL_LETTERS:
+            other = F.replace(other, F.lit(letter), F.lit(ascii_))
+    return F.when(t.rlike(fixed.OTHER_SCRIPTS_PATTERN), other).otherwise(t)
 
 
 def _finish(t: Column) -> Column:

@@ -10,6 +10,8 @@ adds an exchange.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,38 +29,15 @@ def _small(df: DataFrame, known_rows: int | None = None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------
-# lexicon tables (constant; built once per session)
+# lexicon tables (constant)
 # ----------------------------------------------------------------------------
-_MEMO: dict = {}
-
-
-def _memo(spark: SparkSession, name: str, build):
-    key = (id(spark), name)
-    df = _MEMO.get(key)
-    if df is None:
-        df = _MEMO[key] = build()
-    return df
-
-
 def stopword_table(spark: SparkSession) -> DataFrame:
-    return _memo(spark, "stop", lambda: _stopword_table(spark))
-
-
-def word_lexicon(spark: SparkSession) -> DataFrame:
-    return _memo(spark, "lex", lambda: _word_lexicon(spark))
-
-
-def modifier_table(spark: SparkSession) -> DataFrame:
-    return _memo(spark, "mod", lambda: _modifier_table(spark))
-
-
-def _stopword_table(spark: SparkSession) -> DataFrame:
     rank = {l: i for i, l in enumerate(fixed.LANG_ORDER)}
     rows = [(l, w, rank[l]) for l, w in fixed.stopword_rows()]
     return spark.createDataFrame(rows, "lang string, term string, lang_rank int")
 
 
-def _word_lexicon(spark: SparkSession) -> DataFrame:
+def word_lexicon(spark: SparkSession) -> DataFrame:
     """(lang2, w) -> is_stop, lemma, polarity, emotions; lang2 in {en, fr}."""
     stops = {(l, w) for l, w in fixed.stopword_rows() if l in ("en", "fr")}
     lemmas = {(l, f): m for l, f, m in fixed.lemma_rows()}
@@ -80,32 +59,29 @@ def _word_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _modifier_table(spark: SparkSession) -> DataFrame:
+def modifier_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixed.modifier_rows(), "lang2 string, prev string, factor double")
 
 
 # ----------------------------------------------------------------------------
 # language
 # ----------------------------------------------------------------------------
-def with_language(df: DataFrame, stopwords: DataFrame | None = None, key: str = "post_id",
+def with_language(df: DataFrame, stop_words: Mapping[str, Sequence[str]] | None = None,
                   default: str = "en") -> DataFrame:
     """``lang_detected`` = first declared language, else the language whose
     stop words occur most often in the clean text (ties: language order),
-    else ``default``."""
-    spark = df.sparkSession
-    stop = stopwords if stopwords is not None else stopword_table(spark)
+    else ``default``.  The guess is a narrow expression on the post's own
+    words, evaluated only where no language is declared."""
+    stop = stop_words if stop_words is not None else {l: fixed.STOP_WORDS[l] for l in fixed.LANG_ORDER}
     declared = text.first_lang("langs")
-    need = (df.where(declared.isNull())
-              .select(key, F.explode_outer(text.words("clean_text")).alias("w"))
-              .where(F.col("w").isNotNull()))
-    hits = need.join(_small(stop.select(F.col("term").alias("w"), "lang", "lang_rank"),
-                            len(fixed.stopword_rows()) if stopwords is None else None), "w")
-    per_lang = hits.groupBy(key, "lang", "lang_rank").agg(F.count("*").alias("n"))
-    guess = per_lang.groupBy(key).agg(
-        F.min_by("lang", F.struct((-F.col("n")).alias("neg_n"), "lang_rank")).alias("_guess"))
-    out = df.join(guess, key, "left")
-    return (out.withColumn("lang_detected", F.coalesce(declared, F.col("_guess"), F.lit(default)))
-               .drop("_guess"))
+
+    def hits(rank: int, lang: str) -> Column:
+        known = F.array(*[F.lit(w) for w in sorted(set(stop[lang]))])
+        n = F.size(F.filter(text.words("clean_text"), lambda w: F.array_contains(known, w)))
+        return F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+    best = F.array_max(F.array(*[hits(r, l) for r, l in enumerate(stop)]))
+    guess = F.when(declared.isNull(), F.when(best["n"] > 0, best["lang"]))
+    return df.withColumn("lang_detected", F.coalesce(declared, guess, F.lit(default)))
 
 
 # ----------------------------------------------------------------------------
@@ -188,5 +164,5 @@ def enrich(df: DataFrame, key: str = "post_id", lexicon: DataFrame | None = None
 
 
 def enrich_posts(df: DataFrame, key: str = "post_id") -> DataFrame:
-    return enrich(with_language(df, key=key), key=key)
+    return enrich(with_language(df), key=key)
 

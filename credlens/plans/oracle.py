@@ -46,8 +46,8 @@ def with_(*ctes: tuple[str, str], final: str) -> str:
 # scalar expressions
 # ---------------------------------------------------------------------------
 def strip_accents(x: str) -> str:
-    t = f"translate({x}, {q(fixed.ACCENT_FROM)}, {q(fixed.ACCENT_TO)})"
-    for letter, ascii_ in fixed.SPECIAL_LETTERS.items():
+    t = f"translate({x}, {q(''.join(fixed.ONE_LETTER))}, {q(''.join(fixed.ONE_LETTER.values()))})"
+    for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
         t = f"replace({t}, {q(letter)}, {q(ascii_)})"
     return t
 

@@ -131,7 +131,7 @@ def fixed_scored(spark, sf, base=None, vocab=None):
 
 @register("ngrams", O.with_(*O.POSTS_CTES, *tfidf_ctes()[:2], final=f"""
 SELECT p.uri, len(u.u) AS n_unigrams, greatest(len(u.u) - 1, 0) AS n_bigrams,
-       array_to_string(t.terms[len(u.u) + 1:len(u.u) + 3], '|') AS first_bigrams
+       array_to_string(t.terms, '|') AS terms
 FROM posts p JOIN fit_uni u USING (post_id) JOIN fit_terms t USING (post_id)"""))
 def ngrams(spark, sf):
     p = posts(spark, sf)
@@ -140,7 +140,7 @@ def ngrams(spark, sf):
     n = F.size("terms")
     t = t.withColumn("n_unigrams", F.when(n > 0, ((n + 1) / 2).cast("int")).otherwise(F.lit(0)))
     return t.select("uri", "n_unigrams", F.greatest(F.col("n_unigrams") - 1, F.lit(0)).alias("n_bigrams"),
-                    F.array_join(F.slice("terms", F.col("n_unigrams") + 1, 3), "|").alias("first_bigrams"))
+                    F.array_join("terms", "|").alias("terms"))
 
 
 @register("term_df", O.with_(*O.POSTS_CTES, *tfidf_ctes()[:3], final="""

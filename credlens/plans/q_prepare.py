@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions import fixed
 from ..functions import text as T
 from ..operators import prepare as P
 from ..operators import collect
@@ -21,6 +22,26 @@ HAND_TEXTS = (
     ("hand/3", "@someone"),
     ("hand/4", "   \t  "),
     ("hand/5", "Straße Œuvre Ærø naïve façade — déjà vu!"),
+    ("hand/6", "10\u00a0000 euros"),
+    ("hand/7", "a\u202fb\u3000c\u2028d"),
+    ("hand/8", "voir http://a.b/c\u00a0puis mot"),
+    ("hand/9", "Привет, мир! Щука"),
+    ("hand/10", "10 m² et ½ litre"),
+    ("hand/11", "Việt Nam"),
+    ("hand/12", "Αθήνα"),
+    ("hand/13", "\u00a0\u2003"),
+)
+# what they clean to, written out
+HAND_CLEAN = (
+    ("hand/1", "rt voir lete cest chaud"),
+    ("hand/5", "strasse oeuvre aero naive facade deja vu"),
+    ("hand/6", "10 000 euros"),
+    ("hand/7", "a b c d"),
+    ("hand/8", "voir puis mot"),
+    ("hand/9", "privet mir shchuka"),
+    ("hand/10", "10 m2 et 1/2 litre"),
+    ("hand/11", "viet nam"),
+    ("hand/12", "athena"),
 )
 
 
@@ -43,7 +64,8 @@ def raw_union(spark, sf):
     d = S.raw_posts(spark, sf)
     frames = [(src, d.where(F.col("source_label") == src).drop("source_label", "source_rank"))
               for src in S.TEST_SOURCES]
-    u = R.union_sources(frames)
+    rest = d.where(F.col("source_label").isNull() | ~F.col("source_label").isin(list(S.TEST_SOURCES)))
+    u = R.union_sources(frames).unionByName(rest)
     return u.select("uri", "source_label", "source_rank", F.get("langs", 0).alias("lang"), "inserted_at")
 
 
@@ -66,13 +88,13 @@ def extract_text(spark, sf):
                     .alias("from_quote"))
 
 
-_HAND_SQL = O.values(HAND_TEXTS, "uri, text")
+_HAND_SQL = O.values(HAND_CLEAN, "uri, clean_text")
 
 
 @register("clean_text", O.with_(*O.POSTS_CTES[:2], final=f"""
 SELECT uri, clean_text FROM (
-  SELECT uri, {O.clean('text')} AS clean_text FROM (
-    SELECT uri, text FROM posts_text UNION ALL SELECT uri, text FROM {_HAND_SQL}))
+  SELECT uri, {O.clean('text')} AS clean_text FROM posts_text
+  UNION ALL SELECT uri, clean_text FROM {_HAND_SQL})
 WHERE clean_text <> ''"""))
 def clean_text(spark, sf):
     p = P.with_text(S.raw_posts(spark, sf)).select("uri", "text")
@@ -106,7 +128,7 @@ def weak_labels(spark, sf):
 SELECT uri, langs[1] AS lang FROM raw_posts
 WHERE uri IS NOT NULL AND uri <> ''
   AND (len(langs) = 0 OR len(list_intersect(langs, {O.str_list(DEFAULT.langs_filter)})) > 0)
-  AND regexp_matches(coalesce(rec_text, ''), '\\S')"""))
+  AND regexp_matches(coalesce(rec_text, ''), '{fixed.NOT_SPACE_PATTERN}')"""))
 def author_filter(spark, sf):
     out = collect.filter_author_posts(S.raw_posts(spark, sf), DEFAULT.langs_filter)
     return out.select("uri", F.get("langs", 0).alias("lang"))

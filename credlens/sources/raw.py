@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -86,9 +86,13 @@ def metric_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def energy_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.ENERGY).option("header", True).csv(path)
-
-
-def col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+def energy_report(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Energy rows of CSV files, by the names in their header (other columns
+    are allowed and left out; one that is missing is NULL).  The run is the
+    ``run_id`` column, else the given id, else the file's name."""
+    raw = spark.read.option("header", True).csv(path)
+    run = F.col("run_id") if "run_id" in raw.columns else \
+        F.lit(run_id) if run_id is not None else F.regexp_extract("_metadata.file_name", r"^(.*?)(\.csv)?$", 1)
+    cols = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in raw.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ENERGY.fields if f.name != "run_id"]
+    return raw.select(run.cast("string").alias("run_id"), *cols)
