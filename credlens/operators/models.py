@@ -104,7 +104,7 @@ def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label
             haa, hab, hbb = r["haa"] + 1e-12, r["hab"], r["hbb"] + 1e-12
             det = haa * hbb - hab * hab
             if det <= 0:
-                break
+                raise ValueError("the sigmoid cannot be fitted: all margins of the fold are equal")
             da = (hbb * r["ga"] - hab * r["gb"]) / det
             db = (haa * r["gb"] - hab * r["ga"]) / det
             a, b = a - da, b - db
@@ -115,11 +115,34 @@ def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label
     return float(a), float(b)
 
 
+#: Parts of a class that are dealt to the folds.
+FOLD_PARTS = 1024
+
+
+def with_folds(df: DataFrame, key: str, folds: int, label: str = "label") -> DataFrame:
+    """``_fold`` of every row, stratified: each class is cut into parts by a
+    hash of the key, and its parts go, largest first, to the fold that has the
+    fewest of its rows.  Only counts (classes x parts) reach the driver."""
+    parted = df.withColumn("_part", rules.hash_bucket(key, FOLD_PARTS))
+    counts = parted.groupBy(label, "_part").agg(F.count("*").alias("n")).collect()
+    load: dict = {}
+    rows = []
+    for r in sorted(counts, key=lambda r: (str(r[label]), -r["n"], r["_part"])):
+        has = load.setdefault(r[label], [0] * folds)
+        k = min(range(folds), key=lambda i: (has[i], i))
+        has[k] += r["n"]
+        rows.append((r[label], r["_part"], k))
+    kind = df.schema[label].dataType.simpleString()
+    dealt = df.sparkSession.createDataFrame(rows, f"{label} {kind}, _part int, _fold int")
+    # at most classes x FOLD_PARTS rows
+    return parted.join(F.broadcast(dealt), [label, "_part"]).drop("_part")
+
+
 def fit_calibrated(train: DataFrame, key: str = "clean_text", folds: int = 3, C: float = 1.0,
                    max_iter: int = 1000) -> Calibrated:
-    """k-fold Platt scaling of a binary classifier: per fold, fit on the
-    other folds, fit the sigmoid on this fold's margins."""
-    d = train.withColumn("_fold", rules.hash_bucket(key, folds))
+    """k-fold Platt scaling of a binary classifier: per (stratified) fold, fit
+    on the other folds, fit the sigmoid on this fold's margins."""
+    d = with_folds(train, key, folds)
     cal = Calibrated()
     for k in range(folds):
         fit_part = d.where(F.col("_fold") != k)

@@ -89,23 +89,51 @@ def test_explanations_positive_only(spark):
     assert all(r.contribution > 0 and r.rank <= 3 for r in t)
 
 
-def test_grouped_kmeans_sizes(spark):
-    rows = [("g1", "a", [0], [1.0])]                                   # group of 1: skipped
-    rows += [("g2", f"b{i}", [i], [1.0]) for i in range(2)]            # 2 rows: k = 2
-    rows += [("g3", f"c{i}", [i % 2], [1.0]) for i in range(20)]       # 20 rows, two points
-    df = spark.createDataFrame(rows, "grp string, post_id string, idx array<int>, val array<double>")
-    a = K.grouped_kmeans_bounded(df, None, "grp", "post_id", dim=4, n_init=3)
+def test_grouped_kmeans(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [("g1", "a", "t0", 1.0)]                                    # group of 1: left out
+    rows += [("g2", f"b{i}", f"t{i}", 1.0) for i in range(2)]          # 2 rows: k = 2
+    rows += [("g3", f"c{i}", f"t{i % 2}", 1.0) for i in range(20)]     # 20 rows, two points
+    rows += [("g4", f"d{i}", f"t{j}", float(rng.normal() + 8 * (j == i % 3))) for i in range(60) for j in range(3)]
+    df = spark.createDataFrame(rows, "grp string, post_id string, term string, weight double")
+    empty = spark.createDataFrame([("g3", "none")], "grp string, post_id string")   # a row without weights
+    members = df.select("grp", "post_id").distinct().unionByName(empty)
+    assign, cent = K.grouped_kmeans(members, df.select("post_id", "term", "weight"), "grp", "post_id", k_max=3)
     got = {}
-    for r in a.collect():
-        got.setdefault(r.grp, {})[r.post_id] = r.cluster
-    assert "g1" not in got
-    assert len(set(got["g2"].values())) == 2
-    c = got["g3"]
-    assert len(set(c.values())) == 2
-    assert all(c[f"c{i}"] == c["c0"] for i in range(0, 20, 2))
+    for r in assign.collect():
+        got.setdefault(r.grp, {})[r.post_id] = r
+    assert set(got) == {"g2", "g3", "g4"} and len(got["g3"]) == 21 and len(got["g4"]) == 60
+    assert len({r.cluster for r in got["g2"].values()}) == 2
+    c = {k: r.cluster for k, r in got["g3"].items()}
+    assert all(c[f"c{i}"] == c[f"c{i % 2}"] for i in range(20)) and c["c0"] != c["c1"]
+    # every row is at the nearest of its group's centroids, by brute force
+    centers = {}
+    for r in cent.collect():
+        for j in range(3):
+            if r[f"c{j}"] is not None:
+                centers.setdefault((r.grp, j), {})[r.term] = r[f"c{j}"]
+    points = {}
+    for g, k, t, w in rows:
+        points.setdefault((g, k), {})[t] = w
+    for g in got:
+        for k, r in got[g].items():
+            x = points.get((g, k), {})
+            d = {j: sum((x.get(t, 0) - v.get(t, 0)) ** 2 for t in {*x, *v}) for (h, j), v in centers.items() if h == g}
+            assert d[r.cluster] <= min(d.values()) + 1e-9
 
 
 def test_assign_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.1]), (2, [5.0, 5.0])], "id int, embedding array<float>")
-    r = {x.id: x.cluster for x in K.assign_nearest(df, ["near0", "near5"], [[0, 0], [5, 5]]).collect()}
+    cent = spark.createDataFrame([("near0", 0, 0.0), ("near0", 1, 0.0), ("near5", 0, 5.0), ("near5", 1, 5.0)],
+                                 "label string, pos int, mean double")
+    r = {x.id: x.cluster for x in K.assign_nearest(df, cent).collect()}
     assert r == {1: "near0", 2: "near5"}
+
+
+def test_folds_hold_every_class(spark):
+    rows = [(f"t{i}", float(i % 50 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "clean_text string, label double")
+    got = Md.with_folds(df, "clean_text", 3).groupBy("_fold", "label").count().collect()
+    rare = sorted(r["count"] for r in got if r.label == 1)
+    assert len(got) == 6 and rare[0] >= 1 and sum(rare) == 6
