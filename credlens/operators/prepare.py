@@ -29,13 +29,13 @@ def post_id(clean: Column | str = "clean_text") -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cores before CPU-heavy text work, but
-    only when the scan produced fewer splits than the default parallelism
-    (a few large files / row groups).  A large input has many more splits
-    than cores, so on a cluster this adds no shuffle."""
+    """Round-robin the rows over the cores before CPU-heavy text work when the
+    input is fewer files than cores (a file of one row group cannot be split by
+    the reader).  A large input is many files, so there this adds no shuffle.
+    Only the scan's file list is looked at."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    return df.repartition(cores) if n < cores else df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
 
 
 def with_text(raw: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def with_text(raw: DataFrame) -> DataFrame:
 
 def with_clean_text(df: DataFrame, keep_empty: bool = False) -> DataFrame:
     """``clean_text`` (O-80); rows whose clean text is '' are dropped unless
-    asked.  The cleaning chain is one linear expression: a filter the
-    optimizer pushes under it repeats it at most once."""
-    out = df.withColumn("clean_text", text.clean_text("text"))
+    asked.  The text passes through a generator, below which the optimizer
+    cannot push a filter, so the cleaning chain runs once per row."""
+    out = df.select("*", F.explode_outer(F.array(text.clean_text("text"))).alias("clean_text"))
     return out if keep_empty else out.where(F.col("clean_text") != "")
 
 
@@ -83,10 +83,6 @@ def with_weak_labels(df: DataFrame, verified: Sequence[str]) -> DataFrame:
 def prepare_posts(raw: DataFrame, verified: Sequence[str]) -> DataFrame:
     """The shared head of both runs: clean -> dedup -> weak label.
 
-    Posts whose clean text is '' are dropped *after* the dedup aggregate
-    (they all fall into one group, combined map-side).  A filter before it
-    would be pushed under the projection by the optimizer and evaluate the
-    whole cleaning chain a second time for every row."""
-    # the raw record is a second copy of the text: do not shuffle it
-    d = dedup_first(clean_posts(raw, keep_empty=True).drop("record"))
-    return with_weak_labels(d.where(F.col("clean_text") != ""), verified)
+    Neither the record nor the extracted text is shuffled: later steps read
+    the clean text."""
+    return with_weak_labels(dedup_first(clean_posts(raw).drop("record", "text")), verified)

@@ -181,6 +181,19 @@ def current_version(spark: SparkSession, base: str) -> str | None:
     return f"{base.rstrip('/')}/{folders[0]}" if folders else None
 
 
+def read_folders(spark: SparkSession, base: str) -> DataFrame | None:
+    """A table of appended folders; None when there is none yet."""
+    folders = current_folders(spark, base)
+    return spark.read.parquet(*[f"{base.rstrip('/')}/{f}" for f in folders]) if folders else None
+
+
+def write_folder(df: DataFrame, base: str, keep: Sequence[str] = ()) -> None:
+    """Write ``df`` as a further folder; the table is then ``keep`` and it."""
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    df.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/{version}")
+    _commit(df.sparkSession, base, [*keep, version])
+
+
 # ---------------------------------------------------------------------------
 # the scored table: hash buckets of post_id, replaced one by one
 # ---------------------------------------------------------------------------

@@ -442,3 +442,34 @@ def url_parse(spark, sf):
     hand = spark.createDataFrame(list(HAND_URLS), "page_id long, url string")
     p = D.parse_post_url(pages.unionByName(hand))
     return p.select("page_id", "host", "handle", "post_id_part", "url_status")
+
+
+# pages as post URLs of handles; every third handle has no DID, every fifth post is not stored
+_LOOKUP_CTES = [("links", """
+SELECT page_id, 'h' || CAST(page_id % 7 AS VARCHAR) AS handle, CAST(page_id AS VARCHAR) AS post_id_part,
+       'https://' || CASE WHEN page_id % 11 = 0 THEN 'example.org' ELSE 'bsky.app' END || '/profile/h'
+         || CAST(page_id % 7 AS VARCHAR) || '/post/' || CAST(page_id AS VARCHAR) AS url FROM pages"""),
+    ("stored", """
+SELECT 'at://did:h' || CAST(page_id % 7 AS VARCHAR) || '/app.bsky.feed.post/' || CAST(page_id AS VARCHAR) AS uri,
+       CASE WHEN page_id % 13 = 0 THEN '  ' ELSE ' ' || url || ' ' END AS text FROM pages WHERE page_id % 5 <> 0""")]
+
+
+@register("post_lookup", O.with_(*_LOOKUP_CTES, final="""
+SELECT page_id, CASE WHEN page_id % 11 <> 0 AND page_id % 7 % 3 <> 0 THEN 'at://did:' || handle || '/app.bsky.feed.post/' || post_id_part END AS record_uri,
+       trim(s.text) AS post_text,
+       CASE WHEN page_id % 11 = 0 THEN 'bad_host_or_path' WHEN coalesce(trim(s.text), '') = '' THEN 'no_text' ELSE 'ok' END AS url_status
+FROM links l LEFT JOIN stored s ON page_id % 11 <> 0 AND page_id % 7 % 3 <> 0
+  AND s.uri = 'at://did:' || handle || '/app.bsky.feed.post/' || post_id_part"""))
+def post_lookup(spark, sf):
+    """Post URL -> handle -> DID -> record -> text."""
+    pages = S.table(spark, sf, "pages")
+    handle = F.concat(F.lit("h"), (F.col("page_id") % 7).cast("string"))
+    host = F.when(F.col("page_id") % 11 == 0, "example.org").otherwise("bsky.app")
+    links = pages.select("page_id", F.concat(F.lit("https://"), host, F.lit("/profile/"), handle, F.lit("/post/"),
+                                             F.col("page_id").cast("string")).alias("url"))
+    handles = pages.select(handle.alias("handle")).distinct().where(F.substring("handle", 2, 9).cast("int") % 3 != 0) \
+                   .withColumn("did", F.concat(F.lit("did:"), F.col("handle")))
+    stored = pages.where(F.col("page_id") % 5 != 0).select(
+        F.concat(F.lit("at://did:"), handle, F.lit("/app.bsky.feed.post/"), F.col("page_id").cast("string")).alias("uri"),
+        F.when(F.col("page_id") % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("url"), F.lit(" "))).alias("text"))
+    return D.resolve_posts(D.parse_post_url(links), handles, stored).select("page_id", "record_uri", "post_text", "url_status")

@@ -76,15 +76,17 @@ def fit_bundle(posts: DataFrame, params: Params = DEFAULT, calibrate: bool = Tru
     return Bundle(vec, indexed, lab, clf, cal, classes)
 
 
-def score_posts(posts: DataFrame, b: Bundle, params: Params = DEFAULT, key: str = "post_id") -> DataFrame:
-    """predicted_label / credibility_score / alert from the (calibrated)
-    probabilities, plain_label from the uncalibrated model, explanation
-    terms for the predicted class and the explanation text."""
+def score_posts(posts: DataFrame, b: Bundle, params: Params = DEFAULT, key: str = "post_id",
+                calibrated: bool = True) -> DataFrame:
+    """predicted_label / credibility_score / alert from the probabilities,
+    plain_label from the uncalibrated model, explanation terms for the
+    predicted class and the explanation text.  The service takes calibrated
+    probabilities; the two runs that write the table take the plain model's."""
     spark = posts.sparkSession
     x = Md.model_probability(b.features(posts), b.classifier)
     names = F.array(*[F.lit(c) for c in b.classes])
     x = x.withColumn("plain_label", F.get(names, F.col("plain_prediction").cast("int")))
-    if b.calibrated is not None:
+    if calibrated and b.calibrated is not None:
         x = Md.calibrated_probability(x, b.calibrated)
     s = Md.with_decision(x.drop("features"), b.classes, threshold=params.alert_threshold)
     vocab = b.vocab_table(spark)
@@ -144,13 +146,18 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
         enriched = enriched.checkpoint(eager=True)
     b = fit_bundle(enriched, params)
     save_bundle(b, f"{out_dir}/models")
-    scored = score_posts(enriched, b, params)
+    scored = score_posts(enriched, b, params, calibrated=False)
     table = scored.select(*[c for c in St.CLEAN_FIELDS if c in scored.columns],
                           "emotion_status", "plain_label", "post_id")
     # upsert: posts scored by earlier runs stay, and keep their created_at
     path = f"{out_dir}/scored"
     St.upsert_scored(enriched.sparkSession, path, table)
+    vectors = St.dense_vector_rows(b.features(enriched)).select("post_id", "uri", "embedding")
+    known = St.read_folders(enriched.sparkSession, f"{out_dir}/vectors")
+    St.write_folder(vectors if known is None else St.insert_absent(known, vectors), f"{out_dir}/vectors",
+                    St.current_folders(enriched.sparkSession, f"{out_dir}/vectors") or [])
     reports = {
+        "predictions": scored.select("post_id", "uri", "credibility_label", "predicted_label", "credibility_score", "alert"),
         "sentiment_summary": Rp.sentiment_summary(enriched),
         "emotion_summary": Rp.emotion_summary(enriched),
         "label_distribution": Rp.distribution(enriched, "source_label"),
@@ -171,7 +178,7 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
                      f"{out_dir}/reports/data_drift", run_id)
     for name, df in reports.items():
         St.append_report(df, f"{out_dir}/reports/{name}", run_id)
-    return {"scored": path, "models": f"{out_dir}/models", "reports": f"{out_dir}/reports"}
+    return {"scored": path, "models": f"{out_dir}/models", "reports": f"{out_dir}/reports", "vectors": f"{out_dir}/vectors"}
 
 
 def drift_against_previous(spark: SparkSession, reports_dir: str, cur_lab: DataFrame,
@@ -241,7 +248,7 @@ def score(raw: DataFrame, scored_base: str, model_dir: str, params: Params = DEF
         return I.estimate(posts, table, refresh_existing=refresh, limit=limit)
     todo = I.select_for_scoring(posts, table, refresh_existing=refresh, limit=limit)
     b = load_bundle(model_dir)
-    scored = score_posts(L.enrich_posts(todo), b, params)
+    scored = score_posts(L.enrich_posts(todo), b, params, calibrated=False)
     updates = scored.select(*[c for c in St.SCORING_FIELDS if c in scored.columns], "plain_label", "post_id")
     St.upsert_scored(spark, scored_base, updates)
     return scored_base

@@ -19,8 +19,10 @@ def test_train_then_incremental_score(spark, tmp_dir):
     assert n_first > 0
     assert table.where("predicted_label IS NULL OR explanation_text IS NULL").count() == 0
     for name in ("sentiment_summary", "classification_report", "class_top_terms", "clusters",
-                 "cluster_keywords", "cluster_report", "clusters_by_group", "cluster_keywords_by_group", "data_drift"):
+                 "cluster_keywords", "cluster_report", "clusters_by_group", "cluster_keywords_by_group", "predictions", "data_drift"):
         assert spark.read.parquet(f"{out['reports']}/{name}").where("run_id = 'r1'").count() > 0
+    vectors = St.read_folders(spark, out["vectors"])
+    assert vectors.count() == n_first and len(vectors.first().embedding) > 0
     first = spark.read.parquet(f"{out['reports']}/data_drift").first()
     assert first.label_js_distance is None        # no previous run yet
 
