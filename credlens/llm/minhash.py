@@ -7,14 +7,14 @@ values are buckets; two sets of similarity 0.8 share none of the 32 bands with
 probability 3e-6.
 
 Documents with equal sets are one class first.  In every bucket of more than
-one class, each class is compared with the bucket's pivot (a different class
-in each band, by hash), which is linear in the bucket; confirmed links give
-components.  A bucket whose classes are not yet in one component then has its
-remaining pairs between different components compared as well, so no pair that
-shares a bucket is left open, while a large family of near copies, which the
-pivots connect, is never expanded.  Every link is confirmed on the full sets of
-words, read from the texts: a pivot's text goes to where its members are, in
-portions when they are many.
+one class, each class is compared with the bucket's pivot, which is linear in
+the bucket; confirmed links give components.  In a bucket whose classes are not
+yet in one component, the pairs between different components are open.  They
+are settled as matrix products: members are dealt over pairs of blocks of at
+most about ``BLOCK``, a task counts all intersections of its block pair at
+once, and returns only the links that join components.  So no pair that shares
+a bucket is left open, and no list of pairs is ever made.  Every link is
+confirmed on the full sets of words, read from the texts.
 
 Defined results: null, empty and white-space texts have no shingles and link
 with nothing; fewer words than a shingle count as one sequence; rows with the
@@ -46,6 +46,8 @@ PERCENT = 80
 TEXT_BYTES = 2 << 20
 #: Members of a pivot that are compared in one portion.
 PORTION = 64
+#: Members in a block of an open bucket, and shingles in one matrix product.
+BLOCK, COLUMNS = 512, 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -207,7 +209,97 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT) -
     return asked.repartition(n, *place).sortWithinPartitions(*place, "kind").mapInArrow(run, "a long, b long").distinct()
 
 
-def components_of(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairwise intersections."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        here = np.zeros((len(sets), COLUMNS), np.float32)
+        here[owner[a:b], column[a:b] - lo] = 1
+        out += here @ here.T
+    return out + np.diag([len(x) for x in sets] - np.diag(out))
+
+
+def _joining(linked: np.ndarray, component: np.ndarray, texts: list[str | None], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, each confirmed on the words, as few as connect all."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+    out = []
+    a, b = np.nonzero(np.triu(linked))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(int(component[i])), find(int(component[j]))
+        if x == y:
+            continue
+        u, v = word_set(texts[i], k), word_set(texts[j], k)
+        both = len(u & v)
+        if 100 * both >= percent * (len(u) + len(v) - both):
+            parent[x] = y
+            out.append((i, j))
+    return out
+
+
+def _open_links(docs: DataFrame, open_: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Edges (a, b) between different components of the classes of each open
+    bucket; ``open_`` = (bucket, rep, rep_hash, component, m)."""
+    n = shuffle_partitions(docs.sparkSession)
+    place = ["bucket", "i", "j"]
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int")
+    dealt = open_.withColumn("blocks", blocks).withColumn("own", own) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                (F.col("own") > F.col("other")).cast("int").alias("side"), "component",
+                F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
+    rows = dealt.join(_texts(docs), ["doc_id", "text_hash"]).repartition(n, *place).sortWithinPartitions(*place) \
+        .select(*place, "side", "component", "doc_id", "text")
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(members: list[dict]) -> pa.RecordBatch | None:
+        component, side = (np.array([r[c] for r in members], np.int64) for c in ("component", "side"))
+        if (component == component[0]).all():
+            return None
+        texts = [r["text"] for r in members]
+        sets = list(shingle_sets(pa.array(texts, pa.string()), k))
+        sizes = np.array([len(x) for x in sets])
+        both = common_counts(sets)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        linked &= component[:, None] != component[None, :]
+        if members[0]["i"] != members[0]["j"]:
+            linked &= side[:, None] != side[None, :]
+        pairs = _joining(linked, component, texts, k, percent)
+        ids = [r["doc_id"] for r in members]
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()),
+                                           pa.array([ids[j] for _, j in pairs], pa.int64())], schema=edge) if pairs else None
+
+    def run(batches):
+        here, members = None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                for r in batch.slice(lo, 256).to_pylist():
+                    at = (r["bucket"], r["i"], r["j"])
+                    if at != here:
+                        if len(members) > 1 and (out := settle(members)) is not None:
+                            yield out
+                        here, members = at, []
+                    members.append(r)
+        if len(members) > 1 and (out := settle(members)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def components_of(docs: DataFrame, k: int = 5, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``."""
     spark = docs.sparkSession
     base = scratch(spark, "minhash")
@@ -227,8 +319,8 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFr
     reps.select("rep", "rep_hash", "n_shingles", F.explode("bands").alias("bucket")).write.parquet(f"{base}/members")
     members = spark.read.parquet(f"{base}/members")
 
-    # buckets of several classes; the pivot is another class in each
-    pivot = F.min(F.struct(F.xxhash64("rep", "bucket"), F.col("rep"), F.col("rep_hash"))).alias("p")
+    # buckets of several classes; buckets that share classes tend to share the pivot
+    pivot = F.min(F.struct(F.xxhash64("rep"), F.col("rep"), F.col("rep_hash"))).alias("p")
     members.groupBy("bucket").agg(F.count("*").alias("n"), pivot).filter("n > 1") \
         .select("bucket", "n", F.col("p.rep").alias("pivot"), F.col("p.rep_hash").alias("pivot_hash")) \
         .write.parquet(f"{base}/buckets")
@@ -243,24 +335,16 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFr
     first = components(links)
 
     # what the pivots left open: buckets with several components
-    known = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo <> hi").select("bucket")
-    open_ = materialize(known.filter("rep <> pivot").join(mixed, "bucket", "left_semi")
-                        .select("bucket", "rep", "rep_hash", "n_shingles", "component", "n"))
-    a, b = open_.alias("a"), open_.alias("b")
-    near = (F.col("a.n_shingles") * 100 >= F.col("b.n_shingles") * percent) & \
-           (F.col("b.n_shingles") * 100 >= F.col("a.n_shingles") * percent)
-    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rep") > F.col("b.rep"))
-                  & (F.col("a.component") != F.col("b.component")) & near) \
-        .select(F.col("a.rep").alias("a"), F.col("a.rep_hash").alias("a_hash"), F.col("b.rep").alias("pivot"),
-                F.col("b.rep_hash").alias("pivot_hash"), F.col("a.n").alias("n"))
-    rest = materialize(rest.groupBy(*key).agg(F.max("n").alias("n")))
-    if not rest.isEmpty():
-        more = materialize(confirm(docs, rest, k, percent))
-        if not more.isEmpty():
-            first = components(links.unionByName(more))
+    known = shared.filter("rep <> pivot").join(first.withColumnRenamed("node", "rep"), "rep", "left") \
+        .select("bucket", "rep", "rep_hash", F.coalesce("component", "rep").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"),
+                                        F.max("component").alias("hi")).filter("lo <> hi").select("bucket", "m")
+    known.write.parquet(f"{base}/known")
+    mixed.write.parquet(f"{base}/mixed")
+    open_ = join_groups(spark.read.parquet(f"{base}/known"), spark.read.parquet(f"{base}/mixed"), ["bucket"], "m")
+    more = materialize(_open_links(docs, open_, k, percent, block))
+    if not more.isEmpty():
+        first = components(links.unionByName(more))
 
     found = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("set_key", "n", F.coalesce("component", "rep").alias("component_id"))

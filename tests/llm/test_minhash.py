@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,10 +52,11 @@ def rows_of(n_families, seed):
                    (doc + 5, "É a"), (doc + 6, "é a"), (3, rows[3][1]), (None, rows[5][1])]
 
 
-def test_components_are_brute_force(spark):
+@pytest.mark.parametrize("block", [3, minhash.BLOCK])
+def test_components_are_brute_force(spark, block):
     rows = rows_of(60, 3)
     docs = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "doc_id long, text string, n long, bucket string")
-    got = minhash.components_of(docs, 4).collect()
+    got = minhash.components_of(docs, 4, block=block).collect()
     assert len(got) == len(rows)
     want = brute(rows, 4)
     sizes = {(d, len(minhash.word_set(t, 4))) for d, t in rows}
@@ -86,3 +88,11 @@ def test_min_max_estimate_is_unbiased():
     assert abs(np.mean(got) - 200 / 300) < 0.01
     # 160 values of 80 evaluations vary less than 80 independent values
     assert np.var(got) < (2 / 9) / 80
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 20, 40, 40, 3)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert minhash.common_counts(sets).astype(int).tolist() == want
