@@ -18,6 +18,7 @@ an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import itertools
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +36,9 @@ from .common import shuffle_partitions
 from .pretokens import ragged, split, text_blocks
 
 #: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
-#: Ids in one output batch.
-OUT_IDS = 1 << 21
+BLOCK_BYTES = 16 << 20
+#: Bytes of text that are split at a time, and ids in one output batch.
+SPLIT_BYTES, OUT_IDS = 1 << 20, 1 << 19
 #: Beyond this many bytes a word is merged with a heap.
 HEAP_FROM = 64
 
@@ -129,33 +131,48 @@ CODED_ARROW = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind",
 WORDS, DOCS = 0, 1
 
 
+def _split_in_portions(texts: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(coded tokens, number of tokens of each text), split ``SPLIT_BYTES`` at a time."""
+    parts, counts = [], [np.zeros(0, np.int64)]
+    whole = pa.table([texts, texts], ["_", "text"])
+    for t in text_blocks(whole.to_batches(), SPLIT_BYTES):
+        tokens, n = split(t.column(1).combine_chunks(), spaced=True)
+        parts.append(tokens.dictionary_encode())
+        counts.append(n)
+    coded = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries()
+    return coded.combine_chunks(), np.concatenate(counts)
+
+
 def _code(block_bytes: int, buckets: int):
     """(doc_id, text) -> rows of packed words by bucket, and the coded block."""
     def run(batches):
         task = TaskContext.get().partitionId()
         for number, t in enumerate(text_blocks(batches, block_bytes)):
             block = (task << 32) | number
-            tokens, counts = split(t.column(1).combine_chunks(), spaced=True)
-            coded = tokens.dictionary_encode()
-            words = coded.dictionary
-            bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False)) % np.uint64(buckets)).astype(np.int64) \
-                if len(words) else np.zeros(0, np.int64)
-            order = np.argsort(bucket, kind="stable")
-            renumber = np.empty(len(words), np.uint32)
-            renumber[order] = np.arange(len(words), dtype=np.uint32)
+            coded, counts = _split_in_portions(t.column(1))
+            words, indices = coded.dictionary, coded.indices.to_numpy()
+            bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+                      % np.uint64(buckets)).astype(np.int64)
+            # words go by bucket, in order (they compress well); codes by frequency
+            keys = pa.table([pa.array(bucket), words], ["bucket", "word"])
+            order = pc.sort_indices(keys, [("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            frequent = np.argsort(-np.bincount(indices, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[frequent] = np.arange(len(words), dtype=np.uint32)
             words, bucket = words.take(pa.array(order)), bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(words) else np.zeros(1, int)
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             rows = []
             offsets = np.frombuffer(words.buffers()[1], np.int64) if len(words) else None
-            for lo, hi in itertools.pairwise(edges):
+            for lo, hi in itertools.pairwise(edges) if len(words) else ():
                 raw = memoryview(words.buffers()[2])[offsets[lo]:offsets[hi]]
                 rows.append((int(bucket[lo]), block, WORDS, int(bucket[lo]),
                              _pack(np.diff(offsets[lo:hi + 1]).astype("<u4"), np.frombuffer(raw, np.uint8))))
             ids = t.column(0).combine_chunks()
-            known = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8)
-            codes = renumber[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint32)
+            known = pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8)
             rows.append((block * 7919 + 1, block, DOCS, 0,
-                         _pack(pa.compute.fill_null(ids, 0).to_numpy(), known, counts.astype("<u4"), codes)))
+                         _pack(pc.fill_null(ids, 0).to_numpy(), known, counts.astype("<u4"), place[frequent], rank[indices])))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, CODED_ARROW, strict=True)],
                                              schema=CODED_ARROW)
@@ -206,16 +223,17 @@ def _reassemble(batches):
             sizes.append(n)
             flats.append(flat)
             continue
-        doc_ids, known, counts, codes = _unpack(r["data"], "<i8", "u1", "<u4", "<u4")
+        doc_ids, known, counts, place, codes = _unpack(r["data"], "<i8", "u1", "<u4", "<u4", "<u4")
         n = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *flats]).astype(np.int32)
-        if len(codes) and int(codes.max()) >= len(n):
+        if len(place) != len(n):
             raise ValueError("a block lacks words")
-        begin = np.cumsum(n) - n
+        begin = (np.cumsum(n) - n)[place]
+        n = n[place]
         edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         at = 0
         while at < len(doc_ids):
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + OUT_IDS // 2, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + OUT_IDS, side="right")) - 1)
             part = codes[edges[at]:edges[to]]
             ids = ragged(flat, begin, n, part)
             cuts = np.concatenate([[0], np.cumsum(n[part])])[edges[at:to + 1] - edges[at]]
@@ -254,32 +272,33 @@ def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.values.to_numpy(), edges
 
 
+def _decoded(b: pa.RecordBatch, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    values, edges = _lists(b)
+    return [ragged(*table, values[lo:hi]).tobytes() for lo, hi in itertools.pairwise(edges)]
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, ids and the decoded bytes."""
+    """doc_id and the decoded bytes of ``encode``'s rows."""
     def run(batches):
-        flat, begin, sizes = byte_table(ranks_path)
+        table = byte_table(ranks_path)
         for b in batches:
-            values, edges = _lists(b)
-            out = [ragged(flat, begin, sizes, values[lo:hi]).tobytes() for lo, hi in itertools.pairwise(edges)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
-                                             ["doc_id", "ids", "decoded"])
-    return encoded.mapInArrow(run, ENCODED + ", decoded binary")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_decoded(b, table), pa.binary())], ["doc_id", "decoded"])
+    return encoded.mapInArrow(run, "doc_id long, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``decode``'s rows."""
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``decode`` and digests in one pass."""
     def run(batches):
-        import hashlib
-
-        texts = [f"{k} ".encode() for k in range(1 << 17)]
+        table = byte_table(ranks_path)
+        texts = [f"{k} ".encode() for k in range(len(table[2]))]
         sizes = np.array([len(x) for x in texts])
-        flat, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+        names = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
         for b in batches:
             values, edges = _lists(b)
-            ids = [hashlib.sha256(ragged(flat, begin, sizes, values[lo:hi]).tobytes()[:-1]).hexdigest()
+            ids = [hashlib.sha256(ragged(*names, values[lo:hi]).tobytes()[:-1]).hexdigest()
                    for lo, hi in itertools.pairwise(edges)]
-            raw = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column(2)]
+            raw = [hashlib.sha256(x).hexdigest() for x in _decoded(b, table)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(edges).astype(np.int64)), pa.array(ids), pa.array(raw)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

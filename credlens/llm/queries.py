@@ -53,7 +53,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
 @register("op4_exact_dedup", r"""

@@ -69,7 +69,7 @@ TABLE = [(1, "It's the end.\n\n  Yes, 1234 'll"), (2, None), (3, ""), (4, "the "
 @pytest.mark.parametrize("block", [1, 64, 8 << 20])
 def test_encode_decode(spark, block):
     docs = spark.createDataFrame([(a, b, "x", "y") for a, b in TABLE], "doc_id long, text string, ids string, block string")
-    got = bpe.digests(bpe.decode(bpe.encode(docs, RANKS, block), RANKS)).collect()
+    got = bpe.digests(bpe.encode(docs, RANKS, block), RANKS).collect()
     want = []
     for k, t in TABLE:
         ids = own().encode_ordinary(t or "")
@@ -78,6 +78,12 @@ def test_encode_decode(spark, block):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_round_trip(spark):
+    docs = spark.createDataFrame(TABLE, "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, RANKS, 64), RANKS).collect()
+    assert sorted(((r.doc_id, bytes(r.decoded)) for r in got), key=str) == sorted(((k, (t or "").encode()) for k, t in TABLE), key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.digests(bpe.decode(bpe.encode(docs, RANKS), RANKS)).collect() == []
+    assert bpe.digests(bpe.encode(docs, RANKS), RANKS).collect() == []
