@@ -88,12 +88,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@register("op3_minhash")
+_REACH = """sides AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     reach(id, root) AS (SELECT id, id FROM n UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.id),
+     c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1)"""
+
+
+@register("op3_minhash", rf"""
+WITH RECURSIVE w AS (
+       SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+     n AS (SELECT id, len(s) AS n FROM s),
+     e AS (SELECT id, unnest(s) AS x FROM s),
+     p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+     {_REACH}
+SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM n JOIN c USING (id)""")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components_of(table(spark, sf_dir, "documents"), k=4)
 
 
-@register("op9_embedding_dedup")
+@register("op9_embedding_dedup", f"""
+WITH RECURSIVE n AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     ok AS (SELECT * FROM n WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(v, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.id < b.id AND len(a.v) = len(b.v)
+           WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.9),
+     {_REACH},
+     d AS (SELECT a AS id, count(*) AS n_links FROM sides GROUP BY 1)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept
+FROM n JOIN c USING (id) LEFT JOIN d USING (id)""")
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
 
