@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.collect import newest_per_group
 from .pretokens import text_blocks
 
 BUCKETS = 1 << 16
@@ -112,11 +113,11 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample(train: DataFrame) -> DataFrame:
     """(label, order, buckets, counts) of the sampled documents."""
-    by_hash = Window.partitionBy("label").orderBy("h", "doc_id")
     light = train.select("doc_id", F.col("lang").alias("label"), F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(by_hash)
-    ids = light.withColumn("order", rank).filter(F.col("order") <= PER_LABEL) \
-        .orderBy("order", "h", "label").limit(SAMPLE_ROWS).select("doc_id", "label", "order")
+    by_hash = [F.col("h"), F.col("doc_id")]
+    few = newest_per_group(light, ["label"], PER_LABEL, by_hash, "doc_id")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(*by_hash))   # PER_LABEL rows each
+    ids = few.withColumn("order", rank).orderBy("order", "h", "label").limit(SAMPLE_ROWS).select("doc_id", "label", "order")
 
     def run(batches):
         schema = pa.schema([("label", pa.string()), ("order", pa.int32()),
