@@ -53,6 +53,7 @@ TEMPLATES = (
      "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
      "with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("cc-by", ("cc by", "creative commons attribution"), "licensed under cc by 4 0"),
+    ("cc-by", ("cc by",), "licensed under cc by nc 4 0"),
     ("cc-by", ("creative commons attribution",),
      "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mit", ("mit license",), "released under the mit license"),
@@ -137,7 +138,8 @@ def index(spark: SparkSession, df: dict[str, int], n: int) -> DataFrame:
         words = text.split()
         weights = [math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in words]
         mean = sum(weights) / len(weights)
-        rare = [(w, t, i, x) for i, (w, x) in enumerate(zip(words, weights, strict=True)) if x >= mean]
+        # equal weights are all rare, whatever their mean rounds to
+        rare = [(w, t, i, x) for i, (w, x) in enumerate(zip(words, weights, strict=True)) if x >= mean - 1e-9]
         total = sum(x for *_, x in rare)
         rows += [(*r, total) for r in rare]
     return spark.createDataFrame(rows, "word string, template int, position int, weight double, total double")

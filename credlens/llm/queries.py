@@ -128,6 +128,43 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
-@register("op6_license_scan")
+def _values(rows: list[tuple], columns: str) -> str:
+    text = ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {text}) AS x({columns})"
+
+
+_PLACES = ", ".join(
+    f"list_transform(list_filter(range(0, len(w) - {len(p.split()) - 1}), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()!r}), "
+    f"lambda i: {{'pos': i, 'label': '{label}'}})" for p, label in license_scan.PHRASES.items())
+
+
+@register("op6_license_scan", rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, list_filter(string_split_regex(
+              translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.SEPARATORS}'),
+              lambda x: x <> '') AS w FROM documents),
+     b AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS words, flatten([{_PLACES}]) AS base FROM d),
+     f AS (SELECT word, count(*) AS n FROM (SELECT place, unnest(list_distinct(w)) AS word FROM d) GROUP BY 1),
+     t AS (SELECT x.template, x.position, x.word,
+                  ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(f.n, 0))) + 1 AS weight
+           FROM {_values([(t, i, w) for t, (_, _, text) in enumerate(license_scan.TEMPLATES) for i, w in enumerate(text.split())],
+                         "template, position, word")} LEFT JOIN f USING (word)),
+     r AS (SELECT *, sum(weight) OVER (PARTITION BY template) AS total FROM (
+             SELECT *, avg(weight) OVER (PARTITION BY template) AS mean FROM t) WHERE weight >= mean - 1e-9),
+     k AS (SELECT * FROM {_values([(t, label, f" {p} ") for t, (label, keys, _) in enumerate(license_scan.TEMPLATES) for p in keys],
+                                  "template, label, phrase")}),
+     v AS (SELECT DISTINCT place, template, label FROM b JOIN k ON contains(b.words, k.phrase)),
+     u AS (SELECT place, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM b
+           WHERE place IN (SELECT place FROM v)),
+     h AS (SELECT place, template, sum(weight) / first(total) AS share FROM u JOIN r USING (word) GROUP BY place, template, pos - position),
+     g AS (SELECT place, template, max(share) AS share FROM h GROUP BY 1, 2 HAVING max(share) >= {license_scan.SHARE}),
+     m AS (SELECT place, list(DISTINCT label) AS found, max(share) AS share FROM g JOIN v USING (place, template) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(base)::BIGINT AS n_base,
+       list_min(list_transform(base, lambda x: x.pos))::BIGINT AS first_word,
+       list_max(list_transform(base, lambda x: x.pos))::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(base, lambda x: x.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(base, lambda x: x.label), coalesce(found, [])))), ',') AS labels,
+       round(least(1.0, coalesce(share, 0.0)), 6) AS score
+FROM b LEFT JOIN m USING (place)""")
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 6))

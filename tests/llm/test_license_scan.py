@@ -18,7 +18,7 @@ def brute(text):
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
 
 
-MIT = L.TEMPLATES[9][2]
+MIT = next(t for _, _, t in L.TEMPLATES if t.startswith("permission is hereby"))
 TEXTS = [None, "", " .,- ", "one", "Released under the MIT License.", "mit license mit license MIT-License",
          "x Licensed under the Apache License, Version 2.0. cc by y CC-BY", "xmit license", "mit licensee",
          "This work is licensed under the GNU General Public License, version 3.", "gnu general public\nlicense",
