@@ -5,7 +5,7 @@ DataFrame.  ``run`` applies them to ``documents``; between stages the rows are
 written as Parquet to the shared checkpoint folder and read again, so a lost
 executor costs the stage it worked on.
 
-1. language ID: documents without a language (no letter) go.
+1. language ID: documents without a letter, or in no learned language (score below 0.3), go.
 2. exact dedup: one document of each group of equal texts stays.
 3. MinHash near-dedup: one document of each component (word 5-grams, 0.8) stays.
 4. secret scan: secrets are masked, every document stays.
