@@ -107,7 +107,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(-1, a.itemsize).T
-        out.append(zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3))
+        out.append(zstandard.compress(np.ascontiguousarray(planes).tobytes(), 9))
     sizes = np.array([len(x) for x in out], "<u8").tobytes()
     return sizes + b"".join(out)
 
@@ -125,6 +125,32 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+#: Codes below take one byte; the others an escape byte, with their upper bits, and two.
+ESCAPE = 192
+LARGEST = ESCAPE + ((256 - ESCAPE) << 16)
+
+
+def pack_codes(codes: np.ndarray, n_words: int) -> bytes:
+    """Codes by frequency in one or three bytes, compressed (in four, where a
+    block has more words than that can tell apart)."""
+    if n_words > LARGEST:
+        return b"\0" + _pack(codes)
+    big = codes >= ESCAPE
+    rest = codes[big] - np.uint32(ESCAPE)
+    first = codes.astype(np.uint8)
+    first[big] = ESCAPE + (rest >> 16)
+    return b"\1" + _pack(first, (rest & 0xFFFF).astype("<u2"))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return _unpack(data[1:], "<u4")[0]
+    first, rest = _unpack(data[1:], "u1", "<u2")
+    codes, big = first.astype(np.uint32), first >= ESCAPE
+    codes[big] = ESCAPE + ((codes[big] - ESCAPE) << 16) + rest
+    return codes
+
+
 CODED = "route long, block long, kind int, part int, data binary"
 CODED_ARROW = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()),
                          ("part", pa.int32()), ("data", pa.binary())])
@@ -172,7 +198,8 @@ def _code(block_bytes: int, buckets: int):
             ids = t.column(0).combine_chunks()
             known = pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.uint8)
             rows.append((block * 7919 + 1, block, DOCS, 0,
-                         _pack(pc.fill_null(ids, 0).to_numpy(), known, counts.astype("<u4"), place[frequent], rank[indices])))
+                         _pack(pc.fill_null(ids, 0).to_numpy(), known, counts.astype("<u4"), place[frequent],
+                               np.frombuffer(pack_codes(rank[indices], len(words)), np.uint8))))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, CODED_ARROW, strict=True)],
                                              schema=CODED_ARROW)
@@ -223,7 +250,8 @@ def _reassemble(batches):
             sizes.append(n)
             flats.append(flat)
             continue
-        doc_ids, known, counts, place, codes = _unpack(r["data"], "<i8", "u1", "<u4", "<u4", "<u4")
+        doc_ids, known, counts, place, packed = _unpack(r["data"], "<i8", "u1", "<u4", "<u4", "u1")
+        codes = unpack_codes(packed.tobytes())
         n = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *flats]).astype(np.int32)
         if len(place) != len(n):

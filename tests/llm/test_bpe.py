@@ -1,6 +1,7 @@
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -87,3 +88,11 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(bpe.encode(docs, RANKS), RANKS).collect() == []
+
+
+@pytest.mark.parametrize("top", [0, 191, 192, 193, 70_000, bpe.LARGEST - 1, bpe.LARGEST, 1 << 31])
+def test_codes_round_trip(top):
+    codes = np.array([0, 5, 191, 192, 193, 65_727, 65_728, top, top // 2], np.uint32)
+    codes = codes[codes <= top]
+    assert bpe.unpack_codes(bpe.pack_codes(codes, top + 1)).tolist() == codes.tolist()
+    assert bpe.unpack_codes(bpe.pack_codes(codes[:0], 0)).tolist() == []
