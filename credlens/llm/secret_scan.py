@@ -27,10 +27,13 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import scratch
 
 #: Kinds, expressions, the group that is measured, least length.
 #: Upper and lower case are spelled out, so that only ASCII letters fold.  The
@@ -89,76 +92,97 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(WORTH[kind]), spans).otherwise(F.array().cast(SPAN))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution (a rational approximation of the
     scaled complementary error function, relative error below 2e-7)."""
-    a = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * a)
-    poly = F.lit(0.0)
-    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
-              -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = poly * t + c
-    half = 0.5 * t * F.exp(-a * a + poly)
-    return F.when(z >= 0, half).otherwise(1 - half)
+    def half(z: Column, t: Column) -> Column:
+        poly = F.lit(0.0)
+        for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807,
+                  -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+            poly = poly * t + c
+        return 0.5 * t * F.exp(-z * z / 2 + poly)
 
+    def at(z: Column) -> Column:
+        t = 1 / (1 + 0.5 * F.abs(z) / F.sqrt(F.lit(2.0)))
+        return let(let(t, lambda t: half(z, t)), lambda h: F.when(z >= 0, h).otherwise(1 - h))
+    return let(z, at)
 
-def tested(token: Column) -> Column:
-    """struct<encoding, length, p_text, p_random> of a candidate."""
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32") \
-        .otherwise("base64")
-    plain = F.when(encoding == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
-
-    def of(values: dict) -> Column:
-        out = F.lit(values["base64"])
-        for e in ("hex", "base32"):
-            out = F.when(encoding == e, F.lit(values[e])).otherwise(out)
-        return out
-    k = of({e: float(len(a)) for e, a in ALPHABETS.items()})
-    n = F.length(plain).cast("double")
-    chars = F.split(plain, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0),
-                          lambda acc, c: acc + F.pow(n - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
-    d = k - 1
-    p_even = upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d)))
-    s2, s3 = of({e: v[0] for e, v in ORDINARY.items()}), of({e: v[1] for e, v in ORDINARY.items()})
-    text_mean = k * (n - 1) * s2 + k - n
-    text_var = 4 * n * (n - 1) * (n - 2) * s3 + 2 * n * (n - 1) * s2 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2
-    p_text = upper_tail((text_mean - chi) / (k / n * F.sqrt(F.greatest(text_var, F.lit(1e-9)))))
-
-    # one pass over neighbours: sums for the runs and the serial correlation
+
+def _of(encoding: Column, values: dict) -> Column:
+    return F.when(encoding == "hex", F.lit(values["hex"])).when(encoding == "base32", F.lit(values["base32"])) \
+        .otherwise(F.lit(values["base64"]))
+
+
+def _p_random(x: Column, p_even: Column) -> Column:
+    """The three tests against randomness, combined.  One pass over neighbours
+    gives the sums for the runs and the serial correlation."""
     def coded(e: str) -> Column:
-        return F.transform(chars, lambda c: F.instr(F.lit(ALPHABETS[e]), c).cast("double") - 1)
-    codes = F.when(encoding == "hex", coded("hex")).when(encoding == "base32", coded("base32")).otherwise(coded("base64"))
-    zero = F.struct((k / 2).alias("half"), F.lit(-1.0).alias("last"), *[F.lit(0.0).alias(c) for c in ("high", "turns", "x", "xx", "xy")],
-                    F.lit(-1.0).alias("first"))
+        return F.transform(x["chars"], lambda c: F.instr(F.lit(ALPHABETS[e]), c).cast("double") - 1)
+    codes = F.when(x["encoding"] == "hex", coded("hex")).when(x["encoding"] == "base32", coded("base32")).otherwise(coded("base64"))
+    zero = F.struct((x["k"] / 2).alias("half"), F.lit(-1.0).alias("last"),
+                    *[F.lit(0.0).alias(c) for c in ("high", "turns", "x", "xx", "xy")], F.lit(-1.0).alias("first"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begins = acc["last"] < 0
-        above = x >= acc["half"]
+    def step(acc: Column, c: Column) -> Column:
+        begins, above = acc["last"] < 0, c >= acc["half"]
         turn = ~begins & ((acc["last"] >= acc["half"]) != above)
-        return F.struct(acc["half"].alias("half"), x.alias("last"),
+        return F.struct(acc["half"].alias("half"), c.alias("last"),
                         (acc["high"] + F.when(above, 1.0).otherwise(0.0)).alias("high"),
-                        (acc["turns"] + F.when(turn, 1.0).otherwise(0.0)).alias("turns"), (acc["x"] + x).alias("x"),
-                        (acc["xx"] + x * x).alias("xx"),
-                        (acc["xy"] + F.when(begins, 0.0).otherwise(acc["last"] * x)).alias("xy"),
-                        F.when(begins, x).otherwise(acc["first"]).alias("first"))
+                        (acc["turns"] + F.when(turn, 1.0).otherwise(0.0)).alias("turns"), (acc["x"] + c).alias("x"),
+                        (acc["xx"] + c * c).alias("xx"),
+                        (acc["xy"] + F.when(begins, 0.0).otherwise(acc["last"] * c)).alias("xy"),
+                        F.when(begins, c).otherwise(acc["first"]).alias("first"))
 
     def judge(s: Column) -> Column:
-        high, low = s["high"], n - s["high"]
-        mean = 2 * high * low / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = F.when(var <= 0, F.lit(0.0)).otherwise(2 * upper_tail(F.abs(s["turns"] + 1 - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))))
-        m = s["x"] / n
+        n, m = x["n"], s["x"] / x["n"]
+        mean = 2 * s["high"] * (n - s["high"]) / n + 1
+        p_runs = let(mean, lambda mean: let((mean - 1) * (mean - 2) / (n - 1), lambda var: F.when(var <= 0, F.lit(0.0)).otherwise(
+            2 * upper_tail(F.abs(s["turns"] + 1 - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))))))
         # sum of (x_i - m)(x_(i+1) - m) over neighbours, and of (x_i - m)^2
         cross = s["xy"] - m * (2 * s["x"] - s["first"] - s["last"]) + (n - 1) * m * m
-        spread = s["xx"] - n * m * m
-        p_serial = F.when(spread <= 0, F.lit(0.0)).otherwise(
-            2 * upper_tail(F.abs(cross / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
+        p_serial = let(s["xx"] - n * m * m, lambda spread: F.when(spread <= 0, F.lit(0.0)).otherwise(
+            2 * upper_tail(F.abs(cross / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))))
         return F.least(F.lit(1.0), 3 * F.least(p_even, p_runs, p_serial))
-    return F.struct(encoding.alias("encoding"), n.cast("int").alias("length"), p_text.alias("p_text"),
-                    F.aggregate(codes, zero, step, judge).alias("p_random"))
+    return F.aggregate(codes, zero, step, judge)
+
+
+def _battery(x: Column) -> Column:
+    """struct<encoding, length, p_text, p_random> from a candidate's facts."""
+    n, k, s2, s3 = x["n"], x["k"], x["s2"], x["s3"]
+    squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(
+        n - F.length(F.replace(x["plain"], c, F.lit(""))), F.lit(2.0)))
+
+    def with_chi(chi: Column) -> Column:
+        # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
+        d = k - 1
+        p_even = upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d)))
+        mean = k * (n - 1) * s2 + k - n
+        var = 4 * n * (n - 1) * (n - 2) * s3 + 2 * n * (n - 1) * s2 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2
+        p_text = upper_tail((mean - chi) / (k / n * F.sqrt(F.greatest(var, F.lit(1e-9)))))
+        return F.struct(x["encoding"].alias("encoding"), n.cast("int").alias("length"), p_text.alias("p_text"),
+                        _p_random(x, p_even).alias("p_random"))
+    return let(k / n * squares - n, with_chi)
+
+
+def tested(token: Column) -> Column:
+    """struct<encoding, length, p_text, p_random> of a candidate."""
+    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32") \
+        .otherwise("base64")
+
+    def facts(e: Column, plain: Column) -> Column:
+        return F.struct(
+            e.alias("encoding"), plain.alias("plain"), F.split(plain, "").alias("chars"), F.length(plain).cast("double").alias("n"),
+            _of(e, {a: float(len(x)) for a, x in ALPHABETS.items()}).alias("k"),
+            _of(e, {a: v[0] for a, v in ORDINARY.items()}).alias("s2"), _of(e, {a: v[1] for a, v in ORDINARY.items()}).alias("s3"))
+
+    def as_encoded(e: Column) -> Column:
+        plain = F.when(e == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+        return let(let(plain, lambda p: facts(e, p)), _battery)
+    return let(encoding, as_encoded)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -246,7 +270,10 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in their texts masked, n_chars kept true."""
-    scanned = scan(docs)
+    # stored once: the thresholds read the candidates, the masking all of it
+    path = scratch(docs.sparkSession, "secrets")
+    scan(docs).write.parquet(path)
+    scanned = docs.sparkSession.read.parquet(path)
     spans = with_spans(scanned, thresholds(scanned))
     hit = F.size("_spans") > 0
     out = spans.withColumn("_masked", F.when(hit, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
