@@ -56,6 +56,15 @@ def test_prune_retention(spark):
     assert C.prune_retention(df, 1, now + dt.timedelta(hours=23, minutes=30)).count() < 10
 
 
+def test_prune_retention_keeps_rows_without_time(spark):
+    from credlens.plans import q_store as Q
+    hand = spark.createDataFrame(list(Q.HAND_ROWS), "uri string, source_label string, ts_text string") \
+        .select("uri", "source_label", F.col("ts_text").cast("timestamp_ntz").alias("inserted_at"))
+    kept = C.prune_retention(hand, Q.RETENTION_DAYS, BASE + dt.timedelta(days=Q.RETENTION_DAYS, hours=1))
+    assert sorted(r.uri for r in kept.collect()) == ["hand/1", "hand/2", "hand/5", "hand/6"]
+    assert C.prune_retention(hand, Q.RETENTION_DAYS, BASE).count() == len(Q.HAND_ROWS)
+
+
 def test_crawl_state_counter(spark):
     rows = []
     # fr: ok, low, low, low -> counter 3, skipped next; en: low then ok
