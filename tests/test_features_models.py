@@ -123,6 +123,18 @@ def test_grouped_kmeans(spark):
             assert d[r.cluster] <= min(d.values()) + 1e-9
 
 
+def test_grouped_kmeans_keeps_groups_without_terms(spark):
+    """A group of which no post has a weight, and one whose other rows have some."""
+    members = [("none", f"n{i}") for i in range(5)] + [("few", f"f{i}") for i in range(12)]
+    weights = [("f0", "t0", 1.0), ("f1", "t1", 1.0)]
+    assign, _ = K.grouped_kmeans(spark.createDataFrame(members, "grp string, post_id string"),
+                                 spark.createDataFrame(weights, "post_id string, term string, weight double"),
+                                 "grp", "post_id", k_max=3)
+    rows = assign.collect()
+    assert sorted((r.grp, r.post_id) for r in rows) == sorted(members)
+    assert all(0 <= r.cluster < 3 and abs(r.d[r.cluster]) < 1e-12 for r in rows if r.grp == "none")
+
+
 def test_assign_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.1]), (2, [5.0, 5.0])], "id int, embedding array<float>")
     cent = spark.createDataFrame([("near0", 0, 0.0), ("near0", 1, 0.0), ("near5", 0, 5.0), ("near5", 1, 5.0)],
