@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
@@ -24,6 +25,32 @@ def scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a place for every row: the Parquet file and the row in it.
+    A table read from Parquet has them; any other is stored first.  Rows made
+    from one row of a file (by explode or a join) have to be stored by the caller."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+        return docs
+    except AnalysisException:
+        path = scratch(docs.sparkSession, "placed")
+        docs.write.parquet(path)
+        return docs.sparkSession.read.parquet(path)
+
+
+def drop_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (``placed``) whose (file, row) is not in ``gone``."""
+    here = docs.select("*", F.col("_metadata.file_path").alias("_place_file"), F.col("_metadata.row_index").alias("_place_row"))
+    gone = gone.select(F.col("file").alias("_place_file"), F.col("row").alias("_place_row"))
+    return here.join(gone, ["_place_file", "_place_row"], "left_anti").select(*docs.columns)
+
+
+def numbered_files(docs: DataFrame) -> DataFrame:
+    """(file, number) of the files of ``docs`` (``placed``): as many rows as files."""
+    files = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+    return materialize(files.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

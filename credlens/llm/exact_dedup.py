@@ -19,7 +19,8 @@ Defined results: null text counts as empty, so null, empty and white-space
 texts are one group; of rows with the same length, the smallest doc_id stays;
 a null doc_id comes after all others; repeated rows stay one row each, all
 with the group's result; an empty table gives no rows; further columns of the
-input are not read.
+input are not read.  ``drop_copies`` lets one row of each group stay, told from
+its copies by its place, so rows that share their doc_id or have none go too.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import join_groups, scratch
+from .common import drop_places, join_groups, placed, scratch
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -115,48 +116,54 @@ def false_hits(docs: DataFrame, digest: Digest = sha256_hex) -> DataFrame:
         .filter("lo <> hi").select("digest")
 
 
-def dedup(docs: DataFrame, digest: Digest = sha256_hex, located: bool = False,
-          batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest: one row per row of ``docs``."""
+def _resolved(docs: DataFrame, digest: Digest, located: bool, batch_bytes: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest, file and row, and its group's
+    group_size, keep_id, keep_file and keep_row."""
     spark = docs.sparkSession
     base = scratch(spark, "exact_dedup")
     digest_feed(docs, digest, located).write.parquet(f"{base}/feed")
     feed = spark.read.parquet(f"{base}/feed")
     if feed.isEmpty():
-        return feed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"),
-                           F.lit(True).alias("kept"), "digest")
+        return feed.select("doc_id", "digest", "file", "row", F.lit(0).cast("long").alias("group_size"),
+                           F.col("doc_id").alias("keep_id"), F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
     run_state(spark, f"{base}/feed", base, batch_bytes)
-    groups = stored_groups(spark, base).select("digest", "group_size", "keep_id")
-    groups.write.parquet(f"{base}/state")
+    stored_groups(spark, base).select("digest", "group_size", "keep_id", F.col("file").alias("keep_file"),
+                                      F.col("row").alias("keep_row")).write.parquet(f"{base}/state")
     groups = spark.read.parquet(f"{base}/state")
-    light = feed.select("doc_id", "digest")
+    light = feed.select("doc_id", "digest", "file", "row")
     wrong = materialize(false_hits(docs, digest))
     if wrong.isEmpty():
-        found = join_groups(light, groups, ["digest"], "group_size")
-    else:
-        right = groups.join(wrong, "digest", "left_anti")
-        found = join_groups(light, right, ["digest"], "group_size") \
-            .unionByName(_by_text(docs, wrong, digest))
-    return found.select("doc_id", "keep_id", "group_size",
-                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+        return join_groups(light, groups, ["digest"], "group_size")
+    right = groups.join(wrong, "digest", "left_anti")
+    return join_groups(light, right, ["digest"], "group_size").unionByName(_by_text(docs, wrong, digest, located))
+
+
+def dedup(docs: DataFrame, digest: Digest = sha256_hex, located: bool = False,
+          batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest: one row per row of ``docs``."""
+    return _resolved(docs, digest, located, batch_bytes).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def _by_text(docs: DataFrame, wrong: DataFrame, digest: Digest) -> DataFrame:
+def _by_text(docs: DataFrame, wrong: DataFrame, digest: Digest, located: bool) -> DataFrame:
     """Groups of equal texts among the rows whose digest lies."""
     text = F.col("text").cast("string")
+    file, row = ("_metadata.file_path", "_metadata.row_index") if located else (F.lit(None), F.lit(None))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("norm"),
                        F.length(F.coalesce(text, F.lit(""))).alias("n_points"),
-                       digest(normalised(text)).alias("digest")).join(wrong, "digest")
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id")))
+                       digest(normalised(text)).alias("digest"),
+                       (F.col(file) if located else file).cast("string").alias("file"),
+                       (F.col(row) if located else row).cast("long").alias("row")).join(wrong, "digest")
+    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), "file", "row"))
     groups = rows.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), best.alias("best")) \
-        .select("digest", "norm", "group_size", (-F.col("best.minus_id")).alias("keep_id"))
-    rows, groups = materialize(rows.select("doc_id", "digest", "norm")), materialize(groups)
+        .select("digest", "norm", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
+                F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"))
+    rows, groups = materialize(rows.select("doc_id", "digest", "norm", "file", "row")), materialize(groups)
     return join_groups(rows, groups, ["digest", "norm"], "group_size").drop("norm")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns.  Rows with the same doc_id
-    and equal texts are told apart by nothing: all of them stay, or go."""
-    gone = dedup(docs).filter("NOT kept").selectExpr("doc_id AS gone_id", "digest AS gone_digest").distinct()
-    here = sha256_hex(normalised(F.col("text").cast("string")))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (here == gone["gone_digest"]), "left_anti")
+def drop_copies(docs: DataFrame, digest: Digest = sha256_hex) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: exactly one of each group."""
+    docs = placed(docs)
+    gone = _resolved(docs, digest, True, BATCH_BYTES).filter("NOT (file = keep_file AND row = keep_row)")
+    return drop_places(docs, gone)

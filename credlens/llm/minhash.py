@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, join_groups, scratch, shuffle_partitions
+from .common import components, drop_places, join_groups, numbered_files, placed, scratch, shuffle_partitions
 from .pretokens import text_blocks
 
 PERMUTATIONS, BAND_ROWS = 80, 5
@@ -357,6 +357,27 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = PERCENT, block: in
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one document of each component."""
-    gone = components_of(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns: one row of each component.
+
+    Every row is a document of its own here, told by its place, so rows that
+    share their doc_id or have none take part; the smallest doc_id stays, a
+    null doc_id after all others, the first place among equals."""
+    spark = docs.sparkSession
+    docs = placed(docs)
+    base = scratch(spark, "near")
+    files = numbered_files(docs)
+    # file number and row as one number: no row is shuffled for it
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
+                       F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) \
+        .join(F.broadcast(files), "file").withColumn("place", F.shiftleft("number", 40) + F.col("row"))
+    found = components_of(rows.select(F.col("place").alias("doc_id"), "text"), k, percent) \
+        .select(F.col("doc_id").alias("place"), "component_id")
+    found.join(rows.select("place", "id"), "place").write.parquet(f"{base}/found")
+    found = spark.read.parquet(f"{base}/found")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "place")).alias("first")
+    found.groupBy("component_id").agg(F.count("*").alias("n"), first).filter("n > 1") \
+        .select("component_id", "n", F.col("first.place").alias("stays")).write.parquet(f"{base}/stays")
+    gone = join_groups(found, spark.read.parquet(f"{base}/stays"), ["component_id"], "n").filter("place <> stays") \
+        .select(F.shiftright("place", 40).alias("number"), F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).alias("row")) \
+        .join(F.broadcast(files), "number")
+    return drop_places(docs, gone)

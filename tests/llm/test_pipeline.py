@@ -1,7 +1,9 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from credlens.llm import langid, minhash
+from credlens.llm import exact_dedup, langid, minhash
 
 from .test_minhash import brute as near_brute
 from .test_packing import check
@@ -59,6 +61,36 @@ def test_stages_are_brute_force(spark, tmp_dir):
     check(packing.pack(packed, P.public_tokenizers.path("word_bpe_49k.json")).collect(), table)
 
 
+def test_dedup_stages_keep_one_row(spark, tmp_dir):
+    """Repeated rows, equal texts without an id, and one id with other texts: one row of each group stays."""
+    near = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "a text twice"), (1, "a text twice"), (None, "no id"), (None, "no id"), (None, "no  id "), (None, "other"),
+            (2, "one id"), (2, "two texts"), (3, near), (3, near), (3, near + " x"), (None, near + " y"), (None, near + " y"),
+            (4, None), (4, ""), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
+    docs.repartition(3).write.parquet(f"{tmp_dir}/twice/part=1")
+    stored = spark.read.parquet(f"{tmp_dir}/twice/part=1")
+    for table in (stored, docs):
+        single = P.exact(spark, table, "")
+        assert single.columns == docs.columns
+        single.write.mode("overwrite").parquet(f"{tmp_dir}/single")
+        want = [(1, "a text twice"), (2, "one id"), (2, "two texts"), (3, near), (3, near + " x"), (None, near + " y"),
+                (None, "no  id "), (None, "other")]
+        got = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_dir}/single").collect()]
+        assert sorted([x for x in got if x[1] and x[1].strip()], key=str) == sorted(want, key=str)
+        assert len(got) == len(want) + 1   # of the texts without a letter one
+        apart = [(r.doc_id, r.text) for r in P.near(spark, spark.read.parquet(f"{tmp_dir}/single"), "").collect()]
+        assert len(apart) == 7 and sum(near in (t or "") for _, t in apart) == 1
+        assert [d for d, t in apart if near in (t or "")] == [3]
+        alone = [(r.doc_id, r.text) for r in P.near(spark, table, "").collect()]
+        assert [d for d, t in alone if near in (t or "")] == [3]
+        assert alone.count((1, "a text twice")) == 1 and sum(t in ("no id", "no  id ") for _, t in alone) == 1
+
+    def weak(norm):
+        return F.substring(F.sha2(norm, 256), 1, 1)
+    assert exact_dedup.drop_copies(stored, weak).count() == 9
+
+
 def test_empty_table(spark, tmp_dir):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in P.STAGES:
