@@ -39,8 +39,8 @@ class Params:
     kmeans_n_init: int = 10
     split_test_buckets: int = 1       # 1 of 5 hash buckets = 20 % test
     calibration_folds: int = 3
-    grouped_kmeans_n_init: int = 2
-    grouped_kmeans_max_iter: int = 12
+    grouped_kmeans_n_init: int = 10
+    grouped_kmeans_max_iter: int = 300
 
     def __post_init__(self) -> None:
         tidy = {"langs_filter": str.strip, "custom_stopwords": lambda w: w.strip().lower()}

@@ -135,6 +135,24 @@ def test_grouped_kmeans_keeps_groups_without_terms(spark):
     assert all(0 <= r.cluster < 3 and abs(r.d[r.cluster]) < 1e-12 for r in rows if r.grp == "none")
 
 
+def test_grouped_kmeans_ends_at_a_fixed_point(spark, caplog):
+    """Evenly spaced points on a line settle slowly: in the end no row moves."""
+    from credlens.config import DEFAULT
+    assert DEFAULT.grouped_kmeans_n_init == 10 and DEFAULT.grouped_kmeans_max_iter == 300
+    x = {f"p{i}": float(i) for i in range(1, 161)}
+    members = spark.createDataFrame([("g", k) for k in x], "grp string, post_id string")
+    weights = spark.createDataFrame([(k, "t", v) for k, v in x.items()], "post_id string, term string, weight double")
+
+    def moves(**how):
+        assign, _ = K.grouped_kmeans(members, weights, "grp", "post_id", k_max=4, n_init=1, **how)
+        got = {r.post_id: r.cluster for r in assign.collect()}
+        assert set(got) == set(x)
+        at = {c: np.mean([x[k] for k in got if got[k] == c]) for c in set(got.values())}
+        return sum((x[k] - at[got[k]]) ** 2 > min((x[k] - m) ** 2 for m in at.values()) + 1e-9 for k in x)
+    assert moves() == 0 and "still move" not in caplog.text
+    assert moves(max_iter=2) > 0 and "still move after 2 passes" in caplog.text
+
+
 def test_assign_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.1]), (2, [5.0, 5.0])], "id int, embedding array<float>")
     cent = spark.createDataFrame([("near0", 0, 0.0), ("near0", 1, 0.0), ("near5", 0, 5.0), ("near5", 1, 5.0)],
