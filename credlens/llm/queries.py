@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, langid, license_scan, minhash, packing, secret_scan, sharding, warc
+from . import (bpe, embedding_dedup, exact_dedup, langid, license_scan, minhash, packing, prefix_trie, secret_scan,
+               sharding, warc)
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +169,30 @@ FROM b LEFT JOIN m USING (place)""")
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.find_licenses(table(spark, sf_dir, "documents"))
     return found.withColumn("score", F.round("score", 6))
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+
+@register("op11_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t,
+                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+           FROM conversations WHERE conv_id IS NOT NULL),
+     o AS (SELECT conv_id, list(t ORDER BY turn NULLS FIRST, k) AS own, ({_CRC32} % 6)::BIGINT AS h FROM t GROUP BY conv_id),
+     c AS (SELECT a.conv_id, list_concat(coalesce(b.own[:a.h], []), a.own[a.h + 1:]) AS turns
+           FROM o a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+     m AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM c),
+     n AS (SELECT turns[:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                  sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+           FROM m GROUP BY 1, 2),
+     k AS (SELECT n.*, p.conv_id AS parent_conv_id,
+                  (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.path[:n.depth] = n.path) AS n_children
+           FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+     u AS (SELECT path, n_children, (n_convs - 1) * coalesce(length(path[-1].text), 0) AS saved, unnest(range(0, depth + 1)) AS d FROM k),
+     s AS (SELECT path[:d] AS path, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+           FROM u GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM k JOIN s USING (path, depth)""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_tree(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
