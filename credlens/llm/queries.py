@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embedding_dedup, exact_dedup, langid, license_scan, minhash, packing, prefix_trie, secret_scan,
-               sharding, warc)
+from . import (bpe, decontaminate, embedding_dedup, exact_dedup, langid, license_scan, minhash, packing,
+               prefix_trie, secret_scan, sharding, warc)
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,27 @@ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_toke
 FROM k JOIN s USING (path, depth)""")
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_tree(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+_WORDS = f"""list_filter(string_split_regex(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+              '{license_scan.SEPARATORS}'), lambda x: x <> '')"""
+
+
+@register("op12_decontamination", rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {_WORDS} AS w FROM documents),
+     i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+     v AS (SELECT DISTINCT item_id, size, array_to_string(w[k + 1:k + size], ' ') AS x
+           FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS k FROM (SELECT *, least({decontaminate.WINDOW}, len(w)) AS size FROM i)
+                 WHERE size > 0)),
+     s AS (SELECT DISTINCT size FROM v),
+     p AS (SELECT place, size, k, array_to_string(w[k + 1:k + size], ' ') AS x
+           FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS k FROM d, s WHERE len(w) >= size)),
+     o AS (SELECT place, item_id, size, k FROM p JOIN v USING (size, x)),
+     h AS (SELECT place, count(DISTINCT k + j)::BIGINT AS n_hit, count(DISTINCT item_id) AS n_items,
+                  string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+           FROM (SELECT *, unnest(range(0, size)) AS j FROM o) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (place)""")
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
