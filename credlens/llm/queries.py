@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, embedding_dedup, exact_dedup, langid, license_scan, minhash, packing,
-               prefix_trie, secret_scan, sharding, warc)
+from . import (bpe, decontaminate, embedding_dedup, exact_dedup, hard_negatives, langid, license_scan, minhash,
+               packing, prefix_trie, secret_scan, sharding, warc)
 from .common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN h USING (place)""")
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_hard_negatives", """
+WITH v AS (SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN floor(256 * x::DOUBLE) END) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+     ok AS (SELECT * FROM v WHERE len(list_filter(q, lambda x: x IS NULL)) = 0),
+     s AS (SELECT a.place AS a, a.vec_id AS anchor_id, b.vec_id AS other_id, b.place AS b, a.label = b.label AS same,
+                  list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+           FROM ok a JOIN ok b ON a.place <> b.place AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+     p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id) AS k FROM s WHERE same QUALIFY k <= 5),
+     n AS (SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.other_id)::INT AS rank
+           FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+           QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved to the next one, every fiftieth vector is an anchor."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
