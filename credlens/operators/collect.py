@@ -3,7 +3,7 @@
 The original keeps raw posts in per-source collections with a unique index
 on ``uri`` and trims them to a cap.  Here a collection is a table; each
 operator returns the next version of that table (or its counts) as a lazy
-DataFrame, and ``store.commit_table`` writes it.
+DataFrame, and ``runs`` stores it.
 """
 
 from __future__ import annotations

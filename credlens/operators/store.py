@@ -1,24 +1,21 @@
 """Keyed writes on the scored-post table (O-12, O-13, O-14, O-15, O-16).
 
-A table version is a DataFrame; the next version is computed as a join and
-committed by ``commit_table`` (write a new folder, then swap a pointer), so
-a failed job never leaves a half-written table and a replayed batch gives
-the same result (writes are keyed, hence idempotent).
-
-The scored table is kept in hash buckets of ``post_id``; ``upsert_scored``
-reads and replaces only the buckets that a batch touches.
+``upsert``, ``update_existing`` and ``insert_absent`` compute a table's next
+state as a join.  Stored tables are log-structured (``runs``): a batch is a
+run of its own, committed at once, so a failed job never leaves a half-written
+table and a replayed batch gives the same result (writes are keyed, hence
+idempotent).
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from . import runs as Rn
 
 # FIXED VALUES: field lists written by the two writers of the original application
 CLEAN_FIELDS = (
@@ -114,133 +111,39 @@ def dense_vector_rows(df: DataFrame, features: str = "features", out: str = "emb
 
 
 # ---------------------------------------------------------------------------
-# commits and reports
+# stored tables and reports
 # ---------------------------------------------------------------------------
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of ``path`` (the one Spark reads and writes), and the path."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = file_system(spark, path)
+    fs, p = Rn.file_system(spark, path)
     return fs.exists(p)
 
 
-def commit_table(df: DataFrame, base: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as a new version folder under ``base``, then make it the
-    current one.  Readers use ``current_version(base)``."""
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    path = f"{base.rstrip('/')}/{version}"
-    w = df.write.mode("errorifexists").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
-    _commit(df.sparkSession, base, [version])
-    return path
-
-
-def _versions(spark: SparkSession, base: str) -> list[str]:
-    """Names of the version files, oldest first.  Only a folder that is not
-    there means no table; any other failure is raised."""
-    fs, p = file_system(spark, f"{base.rstrip('/')}/_versions")
-    if not fs.exists(p):
-        return []
-    return sorted(x.getPath().getName() for x in fs.listStatus(p) if not x.getPath().getName().startswith("."))
-
-
-def _commit(spark: SparkSession, base: str, folders: Sequence[str]) -> None:
-    """Make ``folders`` the current table: a further version file, written
-    aside and renamed, so readers see the table before or after it."""
-    number = 1 + max((int(n[:12]) for n in _versions(spark, base)), default=0)
-    name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-    fs, target = file_system(spark, f"{base.rstrip('/')}/_versions/{name}")
-    _, aside = file_system(spark, f"{base.rstrip('/')}/_versions/.{name}")
-    out = fs.create(aside, False)
-    try:
-        out.write(bytearray("\n".join(folders).encode()))
-    finally:
-        out.close()
-    if not fs.rename(aside, target):
-        raise OSError(f"could not commit {target.toString()}")
-
-
-def current_folders(spark: SparkSession, base: str) -> list[str] | None:
-    """The folders of the current table; None when there is no table yet."""
-    names = _versions(spark, base)
-    if not names:
-        return None
-    path = f"{base.rstrip('/')}/_versions/{names[-1]}"
-    return [r[0] for r in spark.read.text(path).collect() if r[0]]
-
-
-def current_version(spark: SparkSession, base: str) -> str | None:
-    """The folder of a table written whole by ``commit_table``."""
-    folders = current_folders(spark, base)
-    return f"{base.rstrip('/')}/{folders[0]}" if folders else None
-
-
-def read_folders(spark: SparkSession, base: str) -> DataFrame | None:
-    """A table of appended folders; None when there is none yet."""
-    folders = current_folders(spark, base)
-    return spark.read.parquet(*[f"{base.rstrip('/')}/{f}" for f in folders]) if folders else None
-
-
-def write_folder(df: DataFrame, base: str, keep: Sequence[str] = ()) -> None:
-    """Write ``df`` as a further folder; the table is then ``keep`` and it."""
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/{version}")
-    _commit(df.sparkSession, base, [*keep, version])
-
+def read_rows(spark: SparkSession, base: str, key: str) -> DataFrame | None:
+    """An insert-only table; None when there is none yet."""
+    return Rn.read(spark, base, key)
 
-# ---------------------------------------------------------------------------
-# the scored table: hash buckets of post_id, replaced one by one
-# ---------------------------------------------------------------------------
-TABLE_BUCKETS = 256
 
+def insert_rows(rows: DataFrame, base: str, key: str) -> int:
+    """Add the rows whose key the table does not hold yet; returns their number.
+    Rows without a key are left out."""
+    new = one_per_key(rows.where(F.col(key).isNotNull()), key)
+    known = Rn.known_keys(new.select(key), base, key)
+    return Rn.append(new.join(known, key, "left_anti"), base, key)
 
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(TABLE_BUCKETS)).cast("int")
 
-
-def read_scored(spark: SparkSession, base: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
-    """The scored table (or some of its buckets); None when there is none."""
-    folders = current_folders(spark, base)
-    if folders is None:
-        return None
-    wanted = None if buckets is None else {f"_bucket={b}" for b in buckets}
-    paths = [f"{base.rstrip('/')}/{f}" for f in folders if wanted is None or f.rsplit("/", 1)[-1] in wanted]
-    if not paths:
-        return spark.read.parquet(f"{base.rstrip('/')}/{folders[0]}").limit(0)
-    return spark.read.option("mergeSchema", True).parquet(*paths)
+def read_scored(spark: SparkSession, base: str) -> DataFrame | None:
+    """The scored table; None when there is none."""
+    return Rn.read(spark, base, "post_id", latest=True)
 
 
 def upsert_scored(spark: SparkSession, base: str, updates: DataFrame, key: str = "post_id",
-                  now: Column | None = None) -> list[str]:
-    """Upsert into the scored table: only the buckets that ``updates`` touch
-    are read, joined and written again; the others stay as they are.  The new
-    list of folders is committed at once.  Returns it."""
-    updates = materialize(updates.withColumn("_bucket", bucket_of(key)))
-    touched = sorted(r[0] for r in updates.select("_bucket").distinct().collect())
-    old = current_folders(spark, base)
-    if not touched:
-        return old or []
-    rows = updates.drop("_bucket")
-    table = read_scored(spark, base, touched)
-    if table is None:
-        stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
-        new = one_per_key(rows.drop("created_at"), key).withColumn("created_at", stamp)
-    else:
-        new = upsert(table, rows, key, now=now)
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    new.withColumn("_bucket", bucket_of(key)).repartition("_bucket").write.mode("errorifexists") \
-       .partitionBy("_bucket").parquet(f"{base.rstrip('/')}/{version}")
-    written = [f"{version}/_bucket={b}" for b in touched]
-    names = {f.rsplit("/", 1)[-1] for f in written}
-    folders = [f for f in old or [] if f.rsplit("/", 1)[-1] not in names] + written
-    _commit(spark, base, folders)
-    return folders
+                  now: Column | None = None) -> int:
+    """Upsert into the scored table: the batch is written as a run of its own
+    and the table is not read; ``created_at`` of a key is that of its first run.
+    Rows without a key are left out.  Returns the number of keys written."""
+    stamp = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
+    new = one_per_key(updates.drop("created_at").where(F.col(key).isNotNull()), key)
+    return Rn.append(new.withColumn("created_at", stamp.cast("timestamp_ntz")), base, key, latest=True)
 
 
 def append_report(df: DataFrame, path: str, run_id: str, run_ts: Column | None = None) -> None:

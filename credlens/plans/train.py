@@ -153,9 +153,7 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
     path = f"{out_dir}/scored"
     St.upsert_scored(enriched.sparkSession, path, table)
     vectors = St.dense_vector_rows(b.features(enriched)).select("post_id", "uri", "embedding")
-    known = St.read_folders(enriched.sparkSession, f"{out_dir}/vectors")
-    St.write_folder(vectors if known is None else St.insert_absent(known, vectors), f"{out_dir}/vectors",
-                    St.current_folders(enriched.sparkSession, f"{out_dir}/vectors") or [])
+    St.insert_rows(vectors, f"{out_dir}/vectors", "post_id")
     reports = {
         "predictions": scored.select("post_id", "uri", "credibility_label", "predicted_label", "credibility_score", "alert"),
         "sentiment_summary": Rp.sentiment_summary(enriched),

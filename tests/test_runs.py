@@ -21,7 +21,7 @@ def test_train_then_incremental_score(spark, tmp_dir):
     for name in ("sentiment_summary", "classification_report", "class_top_terms", "clusters",
                  "cluster_keywords", "cluster_report", "clusters_by_group", "cluster_keywords_by_group", "predictions", "data_drift"):
         assert spark.read.parquet(f"{out['reports']}/{name}").where("run_id = 'r1'").count() > 0
-    vectors = St.read_folders(spark, out["vectors"])
+    vectors = St.read_rows(spark, out["vectors"], "post_id")
     assert vectors.count() == n_first and len(vectors.first().embedding) > 0
     first = spark.read.parquet(f"{out['reports']}/data_drift").first()
     assert first.label_js_distance is None        # no previous run yet

@@ -62,41 +62,6 @@ def test_incremental_filter(spark):
     assert (e.to_score, e.total) == (2, 3)
 
 
-def test_commit_table_versions(spark, tmp_dir):
-    df = spark.createDataFrame([(1,)], "x int")
-    p1 = St.commit_table(df, f"{tmp_dir}/t")
-    p2 = St.commit_table(df.union(df), f"{tmp_dir}/t")
-    assert p1 != p2
-    assert St.current_version(spark, f"{tmp_dir}/t") == p2
-    assert spark.read.parquet(p2).count() == 2
-
-
-def test_broken_pointer_raises(spark, tmp_dir):
-    import os
-
-    import pytest
-    assert St.current_version(spark, f"{tmp_dir}/none") is None and St.read_scored(spark, f"{tmp_dir}/none") is None
-    St.commit_table(spark.range(3).toDF("x"), f"{tmp_dir}/t")
-    os.rename(f"{tmp_dir}/t/_versions", f"{tmp_dir}/t/aside")
-    with open(f"{tmp_dir}/t/_versions", "w") as f:
-        f.write("not a folder")
-    with pytest.raises(Exception):
-        St.read_scored(spark, f"{tmp_dir}/t").count()
-
-
-def test_only_touched_buckets_are_replaced(spark, tmp_dir):
-    def rows(ids, label):
-        return spark.createDataFrame([(f"p{i}", label) for i in ids], "post_id string, predicted_label string")
-    first = St.upsert_scored(spark, f"{tmp_dir}/t", rows(range(600), "a"), now=F.lit(T0))
-    again = St.upsert_scored(spark, f"{tmp_dir}/t", rows([3], "b"), now=F.lit(T1))
-    assert len(set(first) - set(again)) == 1 and len(first) == len(again)
-    St.upsert_scored(spark, f"{tmp_dir}/t", rows([3, 3, 900], "c"), now=F.lit(T1))
-    got = {r.post_id: r for r in St.read_scored(spark, f"{tmp_dir}/t").collect()}
-    assert len(got) == 601 and got["p3"].predicted_label == "c" and got["p4"].predicted_label == "a"
-    assert got["p3"].created_at == T0 and got["p900"].created_at == T1
-    assert St.upsert_scored(spark, f"{tmp_dir}/t", rows([], "c")) == St.current_folders(spark, f"{tmp_dir}/t")
-
-
 def test_repeated_report_replaces_itself(spark, tmp_dir):
     for run in ("r1", "r2", "r1"):
         St.append_report(spark.range(3).toDF("x"), f"{tmp_dir}/rep", run)

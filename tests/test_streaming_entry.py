@@ -19,7 +19,7 @@ def test_stream_ingest_equals_batch_and_replay(spark, tmp_dir):
     stream = Ig.landing_stream(spark, f"{SF_SMALL}/documents.parque[t]", docs.schema, fmt="parquet")
     q = Ig.run_ingest(stream, f"{tmp_dir}/t", f"{tmp_dir}/ck", prepare=S.posts_from_documents)
     q.awaitTermination()
-    got = sorted(r.uri for r in St.read_folders(spark, f"{tmp_dir}/t").collect())
+    got = sorted(r.uri for r in St.read_rows(spark, f"{tmp_dir}/t", "uri").collect())
     empty = spark.createDataFrame([], "uri string")
     want = sorted(r.uri for r in C.insert_ignore(empty, S.posts_from_documents(docs)).collect())
     assert got == want
@@ -54,7 +54,7 @@ def test_json_feed_pages(spark, tmp_dir):
                       feed_name="science", prune=prune)
     q.awaitTermination()
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3
-    rows = St.read_folders(spark, f"{tmp_dir}/t").collect()
+    rows = St.read_rows(spark, f"{tmp_dir}/t", "uri").collect()
     assert len(rows) == 4 and {r.uri for r in rows} < {"u1", "u2", "u4", "u6", "u7"}
     assert {(r.source_label, r.feed_name) for r in rows} == {("feeds", "science")}
     assert all(r.record.text != "one again" for r in rows)
