@@ -9,8 +9,8 @@ with the widest spread first, largest sums meeting smallest.  Where a window
 exceeds the capacity, the window count rises and the block is divided again.
 Nothing is shuffled: blocks lie inside a task's rows.
 
-Pre-tokens are encoded once per task and word, as the tokenizer encodes them
-by themselves.
+Pre-tokens are encoded once per task and word.  A special token that
+a text holds literally is one id, as the tokenizer has it.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
 packed each; a document of any length is cut, none is dropped; an empty table
@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,49 +39,98 @@ END_ID = 1
 #: Smallest half of a window that is cut off, and pieces in a block.
 LEAST_CUT, BLOCK_PIECES = 512, 1024
 TEXT_BYTES = 4 << 20
-#: Words whose ids a task remembers.
-MEMO_WORDS = 1 << 20
+#: Words that the tokenizer gets as one line, and words whose ids a task remembers.
+LINE_WORDS, MEMO_WORDS = 512, 1 << 20
 #: Texts of these characters are in normal form C, and lower-case by ``str.lower``.
 LATIN = re.compile("[^\x00-ɏ]")
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """(tokenizer, whether an id ends a word, its special tokens in one pattern)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    vocabulary = out.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for t, i in vocabulary.items() if t.endswith(out.model.end_of_word_suffix)]] = True
+    special = {t.content: i for i, t in out.get_added_tokens_decoder().items() if t.special}
+    return out, last, special
 
 
 class WordIds:
-    """Ids of texts, word by word."""
+    """Ids of texts, as the tokenizer gives them without adding special tokens.
+
+    Words not met before are encoded in lines of ``LINE_WORDS``; the ids that
+    end a word part them again.  Special tokens that stand in a text part it
+    before anything else."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
+        self.tokenizer, self.last, self.special = _tokenizer(path)
+        self.mark = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words among the known ones, which they join."""
+        if len(self.known) > MEMO_WORDS:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        out = at.to_numpy(zero_copy_only=False)
+        if len(new):
+            out = np.where(np.isnan(out), 0, out).astype(np.int64)
+            out[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            flat, sizes = self._words(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes)
+        return out.astype(np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        n = len(words)
+        offsets = np.append(np.arange(0, n, LINE_WORDS), n).astype(np.int64)
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(offsets, words), pa.scalar(" ", words.type)).to_pylist()
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ends = [np.flatnonzero(self.last[x]) + 1 for x in ids]
+        for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            if len(ends[k]) != hi - lo:        # a word without ids, or with an end inside: word by word
+                own = [e.ids for e in self.tokenizer.encode_batch_fast(words[lo:hi].to_pylist(), add_special_tokens=False)]
+                ids[k], ends[k] = np.array([i for x in own for i in x], np.uint32), np.cumsum([len(x) for x in own])
+        sizes = [np.diff(e, prepend=0) for e in ends]
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end)."""
+        parts, after, last_part = [], [], []
+        for t in column.to_pylist():
+            if t is not None and "<" in t and self.mark.search(t):
+                found = [m for m in self.mark.finditer(t)]
+                edges = [0, *(x for m in found for x in m.span()), len(t)]
+                parts += [t[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)]
+                after += [self.special[m.group()] for m in found]
+            else:
+                parts.append(t)
+            after.append(-1)
+            last_part.append(len(parts))
         normal = [t if t is None else t.lower() if t.isascii() or not LATIN.search(t)
-                  else self.tokenizer.normalizer.normalize_str(t) for t in column.to_pylist()]
+                  else self.tokenizer.normalizer.normalize_str(t) for t in parts]
         tokens, counts = split(pa.array(normal, pa.string()), spaced=False)
         coded = tokens.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = [w for w in words if w not in self.memo]
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = e.ids
-        lists = [self.memo[w] for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        codes = coded.indices.to_numpy()
+        codes = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        flat, sizes = self.flat, self.sizes
         ids = ragged(flat, np.cumsum(sizes) - sizes, sizes, codes) if len(codes) else np.zeros(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])]) if len(codes) else np.zeros(1, np.int64)
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+        ends = np.append(0, np.cumsum(sizes[codes]))[np.cumsum(counts)]
+        after = np.array(after, np.int64)
+        marked = after >= 0
+        if marked.any():
+            ids = np.insert(ids, ends[marked], after[marked].astype(np.uint32))
+            ends = ends + np.cumsum(marked)
+        return ids, np.append(0, ends[np.array(last_part, np.int64) - 1])
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:
