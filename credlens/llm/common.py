@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
@@ -25,12 +25,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def place_of(docs: DataFrame) -> tuple[Column, Column]:
+    """(file, row) of the rows of ``docs`` (``placed``), whatever its columns are called."""
+    at = docs.metadataColumn("_metadata")
+    return at["file_path"].alias("file"), at["row_index"].alias("row")
+
+
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """``docs`` with a place for every row: the Parquet file and the row in it.
     A table read from Parquet has them; any other is stored first.  Rows made
     from one row of a file (by explode or a join) have to be stored by the caller."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema
+        docs.select(*place_of(docs)).schema
         return docs
     except AnalysisException:
         path = scratch(docs.sparkSession, "placed")
@@ -40,14 +54,15 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def drop_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (``placed``) whose (file, row) is not in ``gone``."""
-    here = docs.select("*", F.col("_metadata.file_path").alias("_place_file"), F.col("_metadata.row_index").alias("_place_row"))
-    gone = gone.select(F.col("file").alias("_place_file"), F.col("row").alias("_place_row"))
-    return here.join(gone, ["_place_file", "_place_row"], "left_anti").select(*docs.columns)
+    names = [free_name(docs.columns, n) for n in ("place_file", "place_row")]
+    here = docs.select("*", *[c.alias(n) for c, n in zip(place_of(docs), names)])
+    gone = gone.select(F.col("file").alias(names[0]), F.col("row").alias(names[1]))
+    return here.join(gone, names, "left_anti").select(*docs.columns)
 
 
 def numbered_files(docs: DataFrame) -> DataFrame:
     """(file, number) of the files of ``docs`` (``placed``): as many rows as files."""
-    files = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+    files = docs.select(place_of(docs)[0]).distinct()
     return materialize(files.withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")))
 
 

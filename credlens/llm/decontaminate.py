@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_places, placed, scratch
+from .common import drop_places, place_of, placed, scratch
 from .pretokens import ragged, text_blocks
 
 #: Words of a window, and words by which suffixes are sorted (a power of two, no less).
@@ -277,8 +277,7 @@ def _document_rows(block, items, counts, first, places, suffixes, doc, all_rows)
 
 def _source(docs: DataFrame) -> DataFrame:
     """The rows with their places; ``docs`` is ``placed``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place_of(docs))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -187,9 +187,11 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, block: int = B
     base = scratch(spark, "embeddings")
     _valid(vectors).write.parquet(f"{base}/valid")
     valid = spark.read.parquet(f"{base}/valid")
-    valid.groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).write.parquet(f"{base}/classes")
+    # a class goes by a number of its own: one id may be in several classes
+    valid.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")) \
+        .withColumn("rep", F.monotonically_increasing_id()).write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
-    reps = valid.join(classes, (valid["class"] == classes["class"]) & (valid["vec_id"] == classes["rep"])) \
+    reps = valid.join(classes, (valid["class"] == classes["class"]) & (valid["vec_id"] == classes["id"])) \
         .select("rep", "n", "unit").dropDuplicates(["rep"])
     reps.write.parquet(f"{base}/reps")
     reps = spark.read.parquet(f"{base}/reps")
@@ -214,9 +216,13 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, block: int = B
     parts = components(found.filter("a <> b").select("a", "b"))
     sums = found.filter("a = b").select(F.col("a").alias("rep"), "links")
     result = classes.join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "class", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"))
-    result.write.parquet(f"{base}/result")
+        "class", "n", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("component"))
+    result.write.parquet(f"{base}/numbered")
+    result = spark.read.parquet(f"{base}/numbered")
+    result.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("m")).write.parquet(f"{base}/components")
+    join_groups(result, spark.read.parquet(f"{base}/components"), ["component"], "m") \
+        .select("class", "n", "n_links", "component_id").write.parquet(f"{base}/result")
     done = join_groups(valid.select("vec_id", "class"), spark.read.parquet(f"{base}/result"), ["class"], "n") \
         .select("vec_id", "n_links", "component_id")
     # rows that cannot link: as many of each id as are not among the valid ones

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import drop_places, join_groups, placed, scratch
+from .common import drop_places, join_groups, place_of, placed, scratch
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -53,14 +53,14 @@ def normalised(text: Column) -> Column:
 def digest_feed(docs: DataFrame, digest: Digest = sha256_hex, located: bool = False) -> DataFrame:
     """One light row per document.  ``located`` adds the file and row in it
     (inputs read from files); otherwise the identifier alone locates it."""
-    file, row = ("_metadata.file_path", "_metadata.row_index") if located else (F.lit(None), F.lit(None))
+    file, row = place_of(docs) if located else (F.lit(None), F.lit(None))
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"),
         digest(normalised(text)).alias("digest"),
-        (F.col(file) if located else file).cast("string").alias("file"),
-        (F.col(row) if located else row).cast("long").alias("row"))
+        file.cast("string").alias("file"),
+        row.cast("long").alias("row"))
 
 
 def run_state(spark: SparkSession, feed_path: str, base: str, batch_bytes: int = BATCH_BYTES) -> None:
@@ -83,7 +83,7 @@ def run_state(spark: SparkSession, feed_path: str, base: str, batch_bytes: int =
         own.conf.set(k, v)
     schema = spark.read.parquet(feed_path).schema
     feed = own.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(feed_path)
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), "file", "row"))
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), "file", "row"))
     state = feed.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("best"))
 
     def store(batch: DataFrame, number: int) -> None:
@@ -95,7 +95,7 @@ def run_state(spark: SparkSession, feed_path: str, base: str, batch_bytes: int =
 
 
 GROUP_SCHEMA = ("digest string, group_size long, "
-                "best struct<n_points: long, minus_id: long, file: string, row: long>")
+                "best struct<n_points: long, not_id: long, file: string, row: long>")
 
 
 def stored_groups(spark: SparkSession, base: str) -> DataFrame:
@@ -104,7 +104,7 @@ def stored_groups(spark: SparkSession, base: str) -> DataFrame:
     last = reader.parquet(f"{base}/groups").groupBy("digest") \
         .agg(F.max(F.struct("group_size", "best")).alias("g"))
     return last.select("digest", F.col("g.group_size").alias("group_size"),
-                       (-F.col("g.best.minus_id")).alias("keep_id"),
+                       F.bitwise_not("g.best.not_id").alias("keep_id"),
                        F.col("g.best.file").alias("file"), F.col("g.best.row").alias("row"))
 
 
@@ -148,15 +148,15 @@ def dedup(docs: DataFrame, digest: Digest = sha256_hex, located: bool = False,
 def _by_text(docs: DataFrame, wrong: DataFrame, digest: Digest, located: bool) -> DataFrame:
     """Groups of equal texts among the rows whose digest lies."""
     text = F.col("text").cast("string")
-    file, row = ("_metadata.file_path", "_metadata.row_index") if located else (F.lit(None), F.lit(None))
+    file, row = place_of(docs) if located else (F.lit(None), F.lit(None))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text).alias("norm"),
                        F.length(F.coalesce(text, F.lit(""))).alias("n_points"),
                        digest(normalised(text)).alias("digest"),
-                       (F.col(file) if located else file).cast("string").alias("file"),
-                       (F.col(row) if located else row).cast("long").alias("row")).join(wrong, "digest")
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"), "file", "row"))
+                       file.cast("string").alias("file"),
+                       row.cast("long").alias("row")).join(wrong, "digest")
+    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("not_id"), "file", "row"))
     groups = rows.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), best.alias("best")) \
-        .select("digest", "norm", "group_size", (-F.col("best.minus_id")).alias("keep_id"),
+        .select("digest", "norm", "group_size", F.bitwise_not("best.not_id").alias("keep_id"),
                 F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"))
     rows, groups = materialize(rows.select("doc_id", "digest", "norm", "file", "row")), materialize(groups)
     return join_groups(rows, groups, ["digest", "norm"], "group_size").drop("norm")

@@ -11,9 +11,10 @@ A text's score is a mean over its n-grams of what the model holds for each,
 so texts of any length are read whole, in one pass.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; so is every text when no labelled training document exists; rows without a
-label are never trained on; repeated rows count as often as they occur; a
-null doc_id is not held out; an empty table gives no rows; further columns
+0; so is every text when no labelled training document exists (``keep_identified``
+then keeps all texts with a letter); rows without a label are never trained on;
+rows of one doc_id and label are one document in the sample (the first by
+place), and count as often as they occur in document frequencies; a null doc_id is not held out; an empty table gives no rows; further columns
 are not read.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.collect import newest_per_group
+from .common import free_name, place_of, placed
 from .pretokens import text_blocks
 
 BUCKETS = 1 << 16
@@ -113,11 +115,13 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample(train: DataFrame) -> DataFrame:
     """(label, order, buckets, counts) of the sampled documents."""
-    light = train.select("doc_id", F.col("lang").alias("label"), F.xxhash64("doc_id").alias("h"))
+    train = placed(train)
+    light = train.select("doc_id", F.col("lang").alias("label"), *place_of(train)).groupBy("doc_id", "label") \
+        .agg(F.min(F.struct("file", "row")).alias("place")).withColumn("h", F.xxhash64("doc_id"))
     by_hash = [F.col("h"), F.col("doc_id")]
     few = newest_per_group(light, ["label"], PER_LABEL, by_hash, "doc_id")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*by_hash))   # PER_LABEL rows each
-    ids = few.withColumn("order", rank).orderBy("order", "h", "label").limit(SAMPLE_ROWS).select("doc_id", "label", "order")
+    ids = few.withColumn("order", rank).orderBy("order", "h", "label").limit(SAMPLE_ROWS).select("place.file", "place.row", "order")
 
     def run(batches):
         schema = pa.schema([("label", pa.string()), ("order", pa.int32()),
@@ -135,8 +139,8 @@ def sample(train: DataFrame) -> DataFrame:
                 [pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     # at most SAMPLE_ROWS ids
-    taken = train.withColumnRenamed("lang", "label").join(F.broadcast(ids), ["doc_id", "label"])
-    return taken.select("label", F.col("text").cast("string"), F.col("order").cast("int")).mapInArrow(
+    rows = train.select(F.col("lang").alias("label"), F.col("text").cast("string").alias("text"), *place_of(train))
+    return rows.join(F.broadcast(ids), ["file", "row"]).select("label", "text", F.col("order").cast("int")).mapInArrow(
         run, "label string, order int, buckets array<int>, counts array<int>")
 
 
@@ -267,20 +271,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified: those
-    with a letter and a calibrated score of ``least_score`` or more.  Texts
-    and predictions stay in their rows, so nothing is joined."""
+    with a letter and a calibrated score of ``least_score`` or more, or all with
+    a letter without a model.  Texts and predictions stay in their rows, so nothing is joined."""
     if model is None:
-        return docs.limit(0)
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
+    first = free_name(names, "position")
 
     def run(batches):
         for t in text_blocks(batches, TEXT_BYTES):
             lang, score = _predicted(model, t.column(1).to_pylist())
             keep = np.array([x != NO_LANGUAGE for x in lang], bool) & (score >= least_score)
-            for b in t.drop_columns(["_position"]).filter(pa.array(keep)).to_batches():
+            for b in t.drop_columns([first]).filter(pa.array(keep)).to_batches():
                 yield b
 
     # the second column is the text, which blocks are measured by
-    source = docs.select(F.lit(None).cast("int").alias("_position"), F.col("text"), *[c for c in names if c != "text"])
+    source = docs.select(F.lit(None).cast("int").alias(first), F.col("text"), *[c for c in names if c != "text"])
     schema = T.StructType([docs.schema["text"], *[f for f in docs.schema if f.name != "text"]])
     return source.mapInArrow(run, schema).select(*names)

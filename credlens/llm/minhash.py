@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, drop_places, join_groups, numbered_files, placed, scratch, shuffle_partitions
+from .common import components, drop_places, join_groups, numbered_files, place_of, placed, scratch, shuffle_partitions
 from .pretokens import text_blocks
 
 PERMUTATIONS, BAND_ROWS = 80, 5
@@ -368,7 +368,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> Dat
     files = numbered_files(docs)
     # file number and row as one number: no row is shuffled for it
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"),
-                       F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")) \
+                       *place_of(docs)) \
         .join(F.broadcast(files), "file").withColumn("place", F.shiftleft("number", 40) + F.col("row"))
     found = components_of(rows.select(F.col("place").alias("doc_id"), "text"), k, percent) \
         .select(F.col("doc_id").alias("place"), "component_id")

@@ -269,7 +269,12 @@ def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets in their texts masked, n_chars kept true."""
+    """``docs`` with the secrets in their texts masked, n_chars kept true.
+
+    Null and empty texts and repeated rows stay as they are; columns may have
+    any names; an empty table gives none."""
+    names = docs.columns
+    docs = docs.select(*[F.col(c).alias("text" if c == "text" else f"in_{k}") for k, c in enumerate(names)])
     # stored once: the thresholds read the candidates, the masking all of it
     path = scratch(docs.sparkSession, "secrets")
     scan(docs).write.parquet(path)
@@ -277,6 +282,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     spans = with_spans(scanned, thresholds(scanned))
     hit = F.size("_spans") > 0
     out = spans.withColumn("_masked", F.when(hit, masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    n_chars = [F.when(hit, F.length("_masked").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-               if c == "n_chars" else F.col("_masked").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*n_chars)
+    return out.select(*[
+        F.col("_masked").alias(c) if c == "text"
+        else F.when(hit, F.length("_masked").cast("long")).otherwise(F.col(f"in_{k}")).alias(c) if c == "n_chars"
+        else F.col(f"in_{k}").alias(c) for k, c in enumerate(names)])

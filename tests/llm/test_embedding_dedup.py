@@ -74,3 +74,9 @@ def test_recall_of_pairs_at_the_threshold():
     k, tables = E.parameters(50_000)
     assert ((E.table_keys(a, k, tables) == E.table_keys(b, k, tables)).any(axis=1)).mean() > 0.999
     assert np.array_equal(E.table_keys(a[:7], k, tables, 3), E.table_keys(a, k, tables)[:7, :3])
+
+
+def test_two_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01]), (4, [1.0, 0.02])]
+    got = E.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)

@@ -55,3 +55,10 @@ def test_state_meets_earlier_feeds(spark):
     assert sorted((r.keep_id, r.group_size) for r in got) == [(k, 6) for k in range(5)]
     X.run_state(spark, f"{base}/feed", base)                      # nothing new: nothing changes
     assert sorted((r.keep_id, r.group_size) for r in X.stored_groups(spark, base).collect()) == [(k, 6) for k in range(5)]
+
+
+def test_smallest_long_as_id(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a b"), (5, "ab "), (7, "c")], "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in X.dedup(df).collect()}
+    assert got == {least: least, 5: least, 7: 7}

@@ -46,3 +46,18 @@ def test_temperature_recovers_scale():
     logits = rng.normal(size=(4000, 3))
     labels = np.array([rng.choice(3, p=p) for p in langid.softmax(logits)])
     assert 2.6 < langid.fit_temperature(3 * logits, labels) < 3.4
+
+
+def test_repeated_rows_do_not_grow_the_sample(spark):
+    rows = [(1, "the same text again", "en")] * 300 + [(2, "ein anderer text", "de"), (2, "ein anderer text", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df).collect()
+    assert sorted((r.label, r.order) for r in got) == [("de", 1), ("en", 1)]
+
+
+def test_without_a_model_texts_with_a_letter_stay(spark):
+    rows = [(1, "a", 0), (2, "1 2", 0), (3, None, 0), (4, "\u00e9", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, position int")
+    assert langid.train_model(df.selectExpr("doc_id", "text", "'x' AS lang").limit(0)) is None
+    got = langid.keep_identified(df, None)
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[3]]

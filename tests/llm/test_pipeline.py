@@ -27,7 +27,8 @@ def test_stages_are_brute_force(spark, tmp_dir):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = spark.createDataFrame([(d, t, lang, "x", len(t or "")) for d, t, lang in EXTRA], docs.schema)
-    docs = docs.unionByName(extra).selectExpr("*", "1 AS n", "'y' AS kept", "doc_id AS place")
+    docs = docs.unionByName(extra).selectExpr("*", "1 AS n", "'y' AS kept", "doc_id AS place", "'p' AS position", "0 AS place_file", "0 AS _base",
+                                                      "'r' AS _runs", "'t' AS _text", "'s' AS _spans", "'m' AS _metadata")
     docs.write.parquet(f"{tmp_dir}/in")
     docs = spark.read.parquet(f"{tmp_dir}/in")
     at = [{r.doc_id: r for r in docs.collect()}]
