@@ -5,11 +5,17 @@ DataFrame.  ``run`` applies them to ``documents``; between stages the rows are
 written as Parquet to the shared checkpoint folder and read again, so a lost
 executor costs the stage it worked on.
 
-1. language ID: documents without a letter, or in no learned language (score below 0.3), go.
+1. language ID: documents without a letter, or in no learned language (score below 0.3), go;
+   where no document has a label, all with a letter stay.
 2. exact dedup: one document of each group of equal texts stays.
 3. MinHash near-dedup: one document of each component (word 5-grams, 0.8) stays.
 4. secret scan: secrets are masked, every document stays.
 5. packing: the texts become pieces of 2048-token sequences.
+
+Defined results: a null text has no letter and goes in stage 1; a null doc_id or lang, very long
+texts and ties are handled as the operators say; rows are told by their place in the files, so of
+fully repeated rows one stays (stage 2); an empty table gives an empty table in every stage; further
+columns of any name pass through the first four stages.
 """
 
 from __future__ import annotations
