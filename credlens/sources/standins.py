@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .paged import START
 from .raw import with_source_rank
 
 # FIXED VALUES of the stand-in roles (shared with the SQL oracle)
@@ -73,7 +74,10 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 crawl run log from ``events``: a run per event, low when 'error'."""
-    e = table(spark, sf_dir, "events")
+    return run_log_of(table(spark, sf_dir, "events"))
+
+
+def run_log_of(e: DataFrame) -> DataFrame:
     low = F.col("event_type") == "error"
     return e.select(
         F.col("user_id").cast("string").alias("query_name"),
@@ -88,6 +92,23 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def land_pages(spark: SparkSession, sf_dir: str, path: str, ids: int = 100) -> None:
+    """Landed pages from ``documents``: a chain per language, its documents by
+    ``ids`` consecutive numbers a page, each page naming the one after it."""
+    d = table(spark, sf_dir, "documents").select(
+        F.coalesce("lang", F.lit("none")).alias("chain"), F.floor(F.col("doc_id") / ids).alias("page"),
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), F.array("lang").alias("langs"),
+        F.struct("text").alias("record")).where("page IS NOT NULL")
+    order = Window.partitionBy("chain").orderBy("page")
+    # as many rows as pages
+    pages = d.select("chain", "page").distinct().select(
+        "chain", "page", F.lead("page").over(order).alias("following"), (F.row_number().over(order) == 1).alias("first"))
+    d.join(pages, ["chain", "page"]).select(
+        "uri", "langs", "record", F.concat(F.lit("p"), F.col("following").cast("string")).alias("next_cursor"), "chain",
+        F.when(F.col("first"), F.lit(START)).otherwise(F.concat(F.lit("p"), F.col("page").cast("string"))).alias("cursor")) \
+        .repartition("chain", "cursor").write.partitionBy("chain", "cursor").json(path)
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a capped collection: source = event type, inserted at = ts."""
     e = table(spark, sf_dir, "events")
