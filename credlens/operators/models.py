@@ -64,14 +64,16 @@ def fit_classifier(train: DataFrame, C: float = 1.0, max_iter: int = 1000) -> Lo
 # ---------------------------------------------------------------------------
 @dataclass
 class Calibrated:
-    """k fold models with their sigmoid (a, b): p(class 1) is the mean of
-    sigmoid(a_k * margin_k + b_k) over the folds."""
+    """k fold models with their sigmoids.  Two classes: (a, b) a fold, p(class 1)
+    is the mean of sigmoid(a_k * margin_k + b_k) over the folds.  More classes:
+    a sigmoid for each class against the rest, [(a, b), ...] a fold; a fold's
+    values are divided by their sum, then the folds' mean is taken."""
     models: list = field(default_factory=list)
-    platt: list = field(default_factory=list)   # [(a, b)] per fold
+    platt: list = field(default_factory=list)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(self.platt)],
-                                     "fold int, a double, b double")
+    @property
+    def many(self) -> bool:
+        return bool(self.platt) and isinstance(self.platt[0][0], (list, tuple))
 
 
 def margin(model: LogisticRegressionModel, df: DataFrame, out: str = "margin") -> DataFrame:
@@ -115,6 +117,51 @@ def fit_platt(scored: DataFrame, margin_col: str = "margin", label: str = "label
     return float(a), float(b)
 
 
+def raw_margins(model: LogisticRegressionModel, df: DataFrame, out: str = "margins") -> DataFrame:
+    """The raw score of every class, as an array."""
+    m = model.setProbabilityCol("_p_tmp").setPredictionCol("_y_tmp").setRawPredictionCol("_raw_tmp")
+    return m.transform(df).withColumn(out, vector_to_array("_raw_tmp")).drop("_p_tmp", "_y_tmp", "_raw_tmp")
+
+
+def fit_platt_many(scored: DataFrame, classes: int, margins: str = "margins", label: str = "label",
+                   max_iter: int = 50, tol: float = 1e-10) -> list[tuple[float, float]]:
+    """A sigmoid for every class against the rest, targets as in ``fit_platt``.
+    A Newton step of all classes together is one aggregate by class, whose
+    sums (a row a class) are all that reaches the driver."""
+    from pyspark import StorageLevel
+    counts = {int(r[label]): r["n"] for r in scored.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    total = float(sum(counts.values()))
+    pos = np.array([float(counts.get(c, 0)) for c in range(classes)])
+    neg = total - pos
+
+    def of(values) -> Column:
+        return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("c"))
+    data = scored.select(F.col(label).cast("int").alias("y"), F.posexplode(margins).alias("c", "m")) \
+        .select("c", "m", F.when(F.col("y") == F.col("c"), of((pos + 1) / (pos + 2))).otherwise(of(1 / (neg + 2))).alias("t")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    a, b = np.zeros(classes), np.log((pos + 1) / (neg + 1))
+    try:
+        for _ in range(max_iter):
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(of(a) * F.col("m") + of(b))))
+            d, h = p - F.col("t"), p * (F.lit(1.0) - p)
+            sums = np.zeros((classes, 5))
+            for r in data.groupBy("c").agg(
+                    F.sum(d * F.col("m")), F.sum(d), F.sum(h * F.col("m") * F.col("m")), F.sum(h * F.col("m")), F.sum(h)).collect():
+                sums[r[0]] = r[1:]
+            ga, gb, haa, hab, hbb = sums.T
+            haa, hbb = haa + 1e-12, hbb + 1e-12
+            det = haa * hbb - hab * hab
+            # a class whose margins are all equal keeps its share as its value
+            det = np.where(det > 0, det, np.inf)
+            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+            a, b = a - da, b - db
+            if (np.abs(da) + np.abs(db)).max() < tol:
+                break
+    finally:
+        data.unpersist()
+    return [(float(x), float(y)) for x, y in zip(a, b, strict=True)]
+
+
 #: Parts of a class that are dealt to the folds.
 FOLD_PARTS = 1024
 
@@ -140,17 +187,19 @@ def with_folds(df: DataFrame, key: str, folds: int, label: str = "label") -> Dat
 
 def fit_calibrated(train: DataFrame, key: str = "clean_text", folds: int = 3, C: float = 1.0,
                    max_iter: int = 1000) -> Calibrated:
-    """k-fold Platt scaling of a binary classifier: per (stratified) fold, fit
-    on the other folds, fit the sigmoid on this fold's margins."""
+    """k-fold Platt scaling: per (stratified) fold, fit on the other folds, fit
+    the sigmoid, or one for each of several classes, on this fold's margins."""
     d = with_folds(train, key, folds)
     cal = Calibrated()
     for k in range(folds):
         fit_part = d.where(F.col("_fold") != k)
         held = d.where(F.col("_fold") == k)
         model = fit_classifier(fit_part, C, max_iter)
-        a, b = fit_platt(margin(model, held))
         cal.models.append(model)
-        cal.platt.append((a, b))
+        if model.numClasses > 2:
+            cal.platt.append(fit_platt_many(raw_margins(model, held), model.numClasses))
+        else:
+            cal.platt.append(fit_platt(margin(model, held)))
     return cal
 
 
@@ -159,7 +208,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def calibrated_probability(df: DataFrame, cal: Calibrated, out: str = "probabilities") -> DataFrame:
-    """Mean over folds of the calibrated p(class 1); output [1-p, p]."""
+    """Mean over folds of the calibrated probabilities, an array by class."""
+    if cal.many:
+        return _calibrated_many(df, cal, out)
     parts = []
     cur = df
     for i, (model, (a, b)) in enumerate(zip(cal.models, cal.platt)):
@@ -171,6 +222,20 @@ def calibrated_probability(df: DataFrame, cal: Calibrated, out: str = "probabili
               .drop("_p1", *[f"_m{i}" for i in range(len(parts))])
 
 
+def _calibrated_many(df: DataFrame, cal: Calibrated, out: str) -> DataFrame:
+    cur, names = df, [f"_m{i}" for i in range(len(cal.models))]
+    for model, sigmoids, name in zip(cal.models, cal.platt, names, strict=True):
+        cur = raw_margins(model, cur, name)
+        each = F.array(*[sigmoid(F.lit(float(a)) * F.col(name)[c] + F.lit(float(b))) for c, (a, b) in enumerate(sigmoids)])
+        # kept apart from its sum, which every class divides by
+        cur = cur.withColumn(name, each).withColumn(
+            f"{name}_sum", F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x))
+    k = len(cal.platt[0])
+    mean = F.array(*[sum((F.col(n)[c] / F.col(f"{n}_sum") for n in names), F.lit(0.0)) / F.lit(float(len(names)))
+                     for c in range(k)])
+    return cur.withColumn(out, mean).drop(*names, *[f"{n}_sum" for n in names])
+
+
 def model_probability(df: DataFrame, model: LogisticRegressionModel, out: str = "probabilities") -> DataFrame:
     m = model.setProbabilityCol("_prob").setPredictionCol("plain_prediction").setRawPredictionCol("_raw")
     return m.transform(df).withColumn(out, vector_to_array("_prob")).drop("_prob", "_raw")

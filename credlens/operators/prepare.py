@@ -65,15 +65,12 @@ def dedup_first(df: DataFrame, order: Sequence[str] = ("source_rank", "inserted_
     return df.groupBy(key).agg(first.alias("_first")).select(key, "_first.*")
 
 
-def dedup_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+def dedup_counts(cleaned: DataFrame, key: str = "post_id") -> DataFrame:
     """Rows in (non-empty clean text), rows kept, duplicates removed, as one
-    row.  ``before`` may keep empty clean texts: they are not counted (a
-    conditional count instead of a filter the optimizer would push under
-    the cleaning expression)."""
-    a = before.agg(F.count_if(F.col("clean_text") != "").alias("rows_in"))
-    b = after.agg(F.count("*").alias("rows_kept"))
-    return a.select("rows_in", b.scalar().alias("rows_kept")) \
-            .withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_kept"))
+    row: sums over one aggregate by key, so every text is cleaned once."""
+    n = F.coalesce(F.sum("_n"), F.lit(0))
+    return cleaned.groupBy(key).agg(F.count("*").alias("_n")) \
+        .agg(n.alias("rows_in"), F.count("*").alias("rows_kept"), (n - F.count("*")).alias("duplicates_removed"))
 
 
 def with_weak_labels(df: DataFrame, verified: Sequence[str]) -> DataFrame:

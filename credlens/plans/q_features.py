@@ -10,10 +10,11 @@ from ..operators import explain as X
 from ..operators import features as Ft
 from ..operators import models as Md
 from ..operators import dashboard as D
+from ..session import materialize
 from . import oracle as O
 from .catalog import register
 from .q_enrich import enriched
-from .q_prepare import posts
+from .q_prepare import posts, stored_posts
 
 STOP = Ft.stopword_list()
 CLASSES = fixed.BINARY_CLASS_NAMES
@@ -111,17 +112,19 @@ def _terms_text_sql(terms: str, n: int) -> str:
 # Spark side
 # ---------------------------------------------------------------------------
 def _fit(spark, sf):
-    p = posts(spark, sf)
+    p = stored_posts(spark, sf)
     vocab, tf = Ft.fit_tfidf(p)
-    return p, vocab, tf
+    # at most max_features rows
+    return p, materialize(vocab), tf
 
 
 def fixed_scored(spark, sf, base=None, vocab=None):
     """Posts scored by the fixed-coefficient model, with explanations
     (vocabulary fitted on the posts unless given)."""
-    p = base if base is not None else posts(spark, sf)
+    p = base if base is not None else stored_posts(spark, sf)
     if vocab is None:
         vocab, tf = Ft.fit_tfidf(p)
+        vocab = materialize(vocab)
     else:
         tf = Ft.term_counts(p)
     coef = X.fixed_coefficients(vocab)

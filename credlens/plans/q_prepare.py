@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import prepare as P
 from ..operators import collect
 from ..sources import raw as R
+from ..session import materialize
 from ..sources import standins as S
 from . import oracle as O
 from .catalog import register
@@ -49,6 +50,12 @@ def posts(spark, sf):
     return P.prepare_posts(S.raw_posts(spark, sf), S.TEST_VERIFIED)
 
 
+def stored_posts(spark, sf):
+    """``posts`` for a query that reads them several times: cleaned once, kept
+    by post_id in the shared checkpoint folder."""
+    return materialize(posts(spark, sf))
+
+
 @register("label_source_counts", O.with_(*O.POSTS_CTES, final="""
 SELECT credibility_label, source_label, count(*) AS n_posts FROM posts GROUP BY 1, 2"""))
 def label_source_counts(spark, sf):
@@ -113,9 +120,7 @@ SELECT (SELECT count(*) FROM posts_clean) AS rows_in, count(*) AS rows_kept,
        (SELECT count(*) FROM posts_clean) - count(*) AS duplicates_removed
 FROM posts"""))
 def dedup_counts(spark, sf):
-    raw = S.raw_posts(spark, sf)
-    before = P.clean_posts(raw, keep_empty=True)
-    return P.dedup_counts(before, P.prepare_posts(raw, S.TEST_VERIFIED))
+    return P.dedup_counts(P.clean_posts(S.raw_posts(spark, sf)))
 
 
 @register("weak_labels", O.with_(*O.POSTS_CTES, final="""

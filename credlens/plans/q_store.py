@@ -92,10 +92,18 @@ SELECT uri, source_label, inserted_at FROM evt UNION ALL
 SELECT uri, source_label, CAST(ts_text AS TIMESTAMP) FROM {O.values(HAND_ROWS, 'uri, source_label, ts_text')}""")
 
 
-@register("prune_retention", O.with_(_EVT, final=f"""
-SELECT uri, source_label FROM evt WHERE inserted_at >= {NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY"""))
+def _cap_rows(spark, sf):
+    hand = spark.createDataFrame(list(HAND_ROWS), "uri string, source_label string, ts_text string") \
+        .select("uri", "source_label", F.col("ts_text").cast("timestamp_ntz").alias("inserted_at"))
+    rows = S.event_rows(spark, sf).select("uri", "source_label", F.col("inserted_at").cast("timestamp_ntz").alias("inserted_at"))
+    return rows.unionByName(hand)
+
+
+@register("prune_retention", O.with_(_EVT, _CAP_ROWS, final=f"""
+SELECT uri, source_label FROM cap_rows
+WHERE inserted_at IS NULL OR inserted_at >= {NOW_SQL} - INTERVAL {RETENTION_DAYS} DAY"""))
 def prune_retention(spark, sf):
-    return C.prune_retention(S.event_rows(spark, sf), RETENTION_DAYS, S.NOW).select("uri", "source_label")
+    return C.prune_retention(_cap_rows(spark, sf), RETENTION_DAYS, S.NOW).select("uri", "source_label")
 
 
 _CAP_CASE = "CASE source_label " + " ".join(f"WHEN {O.q(k)} THEN {v}" for k, v in TEST_CAPS.items()) \
@@ -107,10 +115,7 @@ SELECT uri, source_label FROM (
   SELECT *, row_number() OVER (PARTITION BY source_label ORDER BY inserted_at DESC NULLS LAST, uri DESC) AS rn FROM cap_rows)
 WHERE rn <= {_CAP_CASE} OR {_CAP_CASE} <= 0"""))
 def prune_cap(spark, sf):
-    hand = spark.createDataFrame(list(HAND_ROWS), "uri string, source_label string, ts_text string") \
-        .select("uri", "source_label", F.col("ts_text").cast("timestamp_ntz").alias("inserted_at"))
-    rows = S.event_rows(spark, sf).select("uri", "source_label", F.col("inserted_at").cast("timestamp_ntz").alias("inserted_at"))
-    kept = C.prune_cap(rows.unionByName(hand), TEST_CAPS, TEST_DEFAULT_CAP)
+    kept = C.prune_cap(_cap_rows(spark, sf), TEST_CAPS, TEST_DEFAULT_CAP)
     return kept.select("uri", "source_label")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 from ..functions import text as Tx
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..operators import clustering as K
 from ..operators import explain as X
 from ..operators import features as Ft
@@ -69,7 +69,7 @@ def fit_bundle(posts: DataFrame, params: Params = DEFAULT, calibrate: bool = Tru
         clf = Md.fit_classifier(train)
         cal = None
         classes = list(lab.labels)
-        if calibrate and len(classes) == 2:
+        if calibrate and len(classes) > 1:
             cal = Md.fit_calibrated(data if calibrate_on_all else train, folds=params.calibration_folds)
     finally:
         data.unpersist()
@@ -124,7 +124,7 @@ def load_bundle(path: str) -> Bundle:
     if meta.get("platt"):
         models = [LogisticRegressionModel.load(f"{path}/calibrated/fold_{i}")
                   for i in range(len(meta["platt"]))]
-        cal = Md.Calibrated(models, [tuple(p) for p in meta["platt"]])
+        cal = Md.Calibrated(models, [tuple(map(tuple, p)) if isinstance(p[0], list) else tuple(p) for p in meta["platt"]])
     return Bundle(PipelineModel.load(f"{path}/vectorizer"), [tuple(x) for x in meta["indexed"]],
                   StringIndexerModel.load(f"{path}/label_indexer"),
                   LogisticRegressionModel.load(f"{path}/classifier"), cal, meta["classes"])
@@ -244,7 +244,8 @@ def score(raw: DataFrame, scored_base: str, model_dir: str, params: Params = DEF
     refresh, limit = params.incremental_refresh_existing, params.incremental_limit
     if estimate_only:
         return I.estimate(posts, table, refresh_existing=refresh, limit=limit)
-    todo = I.select_for_scoring(posts, table, refresh_existing=refresh, limit=limit)
+    # enrichment and scoring both read the posts: they are cleaned once
+    todo = materialize(I.select_for_scoring(posts, table, refresh_existing=refresh, limit=limit))
     b = load_bundle(model_dir)
     scored = score_posts(L.enrich_posts(todo), b, params, calibrated=False)
     updates = scored.select(*[c for c in St.SCORING_FIELDS if c in scored.columns], "plain_label", "post_id")

@@ -167,3 +167,14 @@ def test_folds_hold_every_class(spark):
     got = Md.with_folds(df, "clean_text", 3).groupBy("_fold", "label").count().collect()
     rare = sorted(r["count"] for r in got if r.label == 1)
     assert len(got) == 6 and rare[0] >= 1 and sum(rare) == 6
+
+
+def test_calibration_of_three_classes_is_newtons(spark):
+    """The sigmoids of all classes in one aggregate equal each class fitted against the rest."""
+    rng = np.random.default_rng(8)
+    rows = [(float(y), (rng.normal(size=3) + 1.5 * np.eye(3)[y]).tolist()) for y in rng.integers(0, 3, 300)]
+    df = spark.createDataFrame(rows, "label double, margins array<double>")
+    many = Md.fit_platt_many(df, 3)
+    for c in range(3):
+        one = Md.fit_platt(df.select((F.col("label") == c).cast("double").alias("label"), F.col("margins")[c].alias("margin")))
+        assert np.allclose(many[c], one, atol=1e-6)

@@ -51,8 +51,8 @@ def test_written_rows_are_bounded_by_the_batches(spark, tmp_dir, monkeypatch, fi
     base, written = f"{tmp_dir}/t", []
     write = Rn._write
 
-    def counted(*args):
-        run = write(*args)
+    def counted(*args, **kw):
+        run = write(*args, **kw)
         written.append(run.rows)
         return run
     if first:
