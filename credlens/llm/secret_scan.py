@@ -4,19 +4,23 @@ Known shapes (``BASE``) are found by expressions.  Besides, every run of 20 or
 more encoding characters is a candidate: its encoding is inferred from its
 characters (hexadecimal, base 32, base 64), and it is tested within it.
 
-* chi-squared uniformity over the encoding's alphabet.  Against randomness it
-  gives an upper-tail probability; against ordinary text, whose letters (for
-  hexadecimal, digits) repeat far more, it gives the probability that text of
-  this length is as even as the candidate;
+* chi-squared uniformity over the encoding's alphabet;
 * the number of runs above and below the middle of the alphabet;
 * the serial correlation of neighbouring characters.
 
-A candidate is a secret if none of the three rejects randomness (Bonferroni at
-``FIT``) and its probability as text is below a threshold that controls the
-false-discovery rate (Benjamini-Hochberg at ``RATE``), found over all
-candidates of the corpus for each encoding and doubling of length.  The
-probabilities are counted in bins first, so the thresholds come from a small
-table of fixed bound and hold to the edge of a bin, on the strict side.
+These three test against randomness (Bonferroni at ``FIT``).  Against ordinary
+text a candidate has its likelihood ratio: how much likelier its characters
+are when drawn evenly than as text, whose characters stay within their class
+(lower case, upper case, digits, others) and whose letters are those of
+English.  One over that ratio bounds the probability that text looks as random
+as the candidate does, at every length.  That is the candidate's probability;
+it is 1 where one of the three tests rejects randomness (rulers, counted
+sequences, repeated patterns).  A candidate is a secret if its probability is
+below a threshold that controls the false-discovery rate (Benjamini-Hochberg
+at ``RATE``), found over all candidates of the corpus for each encoding and
+doubling of length.  The probabilities are counted in bins first, so the
+thresholds come from a small table of fixed bound and hold to the edge of a
+bin, on the strict side.
 
 Only DataFrame functions are used.  Spans are code points, end exclusive.
 
@@ -27,6 +31,7 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,9 +55,18 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE, WORTH_TESTING = r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+/_-]{20}"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Sums of squared and cubed character frequencies in ordinary content:
-#: decimal digits, and English letters.
-ORDINARY = {"hex": (0.1, 0.01), "base32": (0.0655, 0.0054), "base64": (0.0655, 0.0054)}
+#: English letters in a thousand, a to z.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Share of evenly drawn letters mixed in, for other languages and names.
+OTHER_LETTERS = 0.1
+#: Text by encoding: the classes a character goes to, from the start and from each class.
+CLASSES = {"hex": ("digit", "lower"), "base32": ("upper", "digit"), "base64": ("lower", "upper", "digit", "other")}
+STEPS = {
+    "hex": {"start": (0.8, 0.2), "digit": (0.95, 0.05), "lower": (0.1, 0.9)},
+    "base32": {"start": (0.85, 0.15), "upper": (0.95, 0.05), "digit": (0.2, 0.8)},
+    "base64": {"start": (0.6, 0.2, 0.15, 0.05), "lower": (0.93, 0.02, 0.02, 0.03), "upper": (0.44, 0.5, 0.03, 0.03),
+               "digit": (0.1, 0.05, 0.75, 0.1), "other": (0.5, 0.15, 0.15, 0.2)},
+}
 FIT, RATE = 0.001, 0.01
 #: Bins of a probability's logarithm, per power of ten, and their last.
 BINS, LAST_BIN = 20, 400
@@ -113,17 +127,49 @@ def upper_tail(z: Column) -> Column:
     return let(z, at)
 
 
+def _class(c: str) -> str:
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "other"
+
+
+def text_model(encoding: str) -> tuple[list[int], list[float]]:
+    """The class of each character of the alphabet (from 1; the start is 0), and
+    by class before and character the logarithm of how much likelier an even
+    draw gives it than text."""
+    alphabet, classes = ALPHABETS[encoding], CLASSES[encoding]
+    weight = {c: (1 - OTHER_LETTERS) * LETTERS[ord(c.lower()) - 97] / sum(LETTERS) + OTHER_LETTERS / 26 if c.isalpha() else 1.0
+              for c in alphabet}
+    within = {k: sum(w for c, w in weight.items() if _class(c) == k) for k in classes}
+    scores = [-math.log(len(alphabet) * STEPS[encoding][before][classes.index(_class(c))] * weight[c] / within[_class(c)])
+              for before in ("start", *classes) for c in alphabet]
+    return [classes.index(_class(c)) + 1 for c in alphabet], scores
+
+
 def _of(encoding: Column, values: dict) -> Column:
     return F.when(encoding == "hex", F.lit(values["hex"])).when(encoding == "base32", F.lit(values["base32"])) \
         .otherwise(F.lit(values["base64"]))
 
 
-def _p_random(x: Column, p_even: Column) -> Column:
-    """The three tests against randomness, combined.  One pass over neighbours
-    gives the sums for the runs and the serial correlation."""
+def _coded(x: Column) -> Column:
     def coded(e: str) -> Column:
         return F.transform(x["chars"], lambda c: F.instr(F.lit(ALPHABETS[e]), c).cast("double") - 1)
-    codes = F.when(x["encoding"] == "hex", coded("hex")).when(x["encoding"] == "base32", coded("base32")).otherwise(coded("base64"))
+    return F.when(x["encoding"] == "hex", coded("hex")).when(x["encoding"] == "base32", coded("base32")).otherwise(coded("base64"))
+
+
+def _p_text(x: Column, codes: Column) -> Column:
+    """One over the likelihood ratio of an even draw to text, 1 at most."""
+    def ratio(e: str) -> Column:
+        classes, scores = (F.array(*map(F.lit, v)) for v in text_model(e))
+        zero = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
+        return F.aggregate(codes, zero, lambda acc, c: F.struct(
+            F.get(classes, c.cast("int")).alias("before"),
+            (acc["sum"] + F.get(scores, acc["before"] * len(ALPHABETS[e]) + c.cast("int"))).alias("sum")), lambda acc: acc["sum"])
+    total = F.when(x["encoding"] == "hex", ratio("hex")).when(x["encoding"] == "base32", ratio("base32")).otherwise(ratio("base64"))
+    return F.exp(-F.greatest(F.lit(0.0), total))
+
+
+def _p_random(x: Column, p_even: Column, codes: Column) -> Column:
+    """The three tests against randomness, combined.  One pass over neighbours
+    gives the sums for the runs and the serial correlation."""
     zero = F.struct((x["k"] / 2).alias("half"), F.lit(-1.0).alias("last"),
                     *[F.lit(0.0).alias(c) for c in ("high", "turns", "x", "xx", "xy")], F.lit(-1.0).alias("first"))
 
@@ -152,20 +198,17 @@ def _p_random(x: Column, p_even: Column) -> Column:
 
 def _battery(x: Column) -> Column:
     """struct<encoding, length, p_text, p_random> from a candidate's facts."""
-    n, k, s2, s3 = x["n"], x["k"], x["s2"], x["s3"]
+    n, k = x["n"], x["k"]
     squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda acc, c: acc + F.pow(
         n - F.length(F.replace(x["plain"], c, F.lit(""))), F.lit(2.0)))
 
-    def with_chi(chi: Column) -> Column:
+    def with_chi(chi: Column, codes: Column) -> Column:
         # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
         d = k - 1
         p_even = upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d)))
-        mean = k * (n - 1) * s2 + k - n
-        var = 4 * n * (n - 1) * (n - 2) * s3 + 2 * n * (n - 1) * s2 - 2 * n * (n - 1) * (2 * n - 3) * s2 * s2
-        p_text = upper_tail((mean - chi) / (k / n * F.sqrt(F.greatest(var, F.lit(1e-9)))))
-        return F.struct(x["encoding"].alias("encoding"), n.cast("int").alias("length"), p_text.alias("p_text"),
-                        _p_random(x, p_even).alias("p_random"))
-    return let(k / n * squares - n, with_chi)
+        return F.struct(x["encoding"].alias("encoding"), n.cast("int").alias("length"), _p_text(x, codes).alias("p_text"),
+                        _p_random(x, p_even, codes).alias("p_random"))
+    return let(_coded(x), lambda codes: let(k / n * squares - n, lambda chi: with_chi(chi, codes)))
 
 
 def tested(token: Column) -> Column:
@@ -176,8 +219,7 @@ def tested(token: Column) -> Column:
     def facts(e: Column, plain: Column) -> Column:
         return F.struct(
             e.alias("encoding"), plain.alias("plain"), F.split(plain, "").alias("chars"), F.length(plain).cast("double").alias("n"),
-            _of(e, {a: float(len(x)) for a, x in ALPHABETS.items()}).alias("k"),
-            _of(e, {a: v[0] for a, v in ORDINARY.items()}).alias("s2"), _of(e, {a: v[1] for a, v in ORDINARY.items()}).alias("s3"))
+            _of(e, {a: float(len(x)) for a, x in ALPHABETS.items()}).alias("k"))
 
     def as_encoded(e: Column) -> Column:
         plain = F.when(e == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
@@ -205,17 +247,17 @@ def _stratum(test: Column) -> Column:
     return F.concat(test["encoding"], F.lit(":"), F.floor(F.log2(test["length"].cast("double"))).cast("string"))
 
 
-def _bin(test: Column) -> Column:
-    """The bin of a probability: it lies in (10^-((bin + 1) / BINS), 10^-(bin / BINS)]."""
-    p = F.greatest(test["p_text"], F.lit(1e-300))
+def _bin(test: Column, fit: float) -> Column:
+    """The bin of a candidate's probability: it lies in (10^-((bin + 1) / BINS), 10^-(bin / BINS)]."""
+    p = F.when(test["p_random"] >= fit, F.greatest(test["p_text"], F.lit(1e-300))).otherwise(1.0)
     return F.least(F.lit(LAST_BIN), F.greatest(F.lit(0), F.floor(-F.log10(p) * BINS))).cast("int")
 
 
-def thresholds(scanned: DataFrame, rate: float = RATE) -> dict[str, int]:
+def thresholds(scanned: DataFrame, rate: float = RATE, fit: float = FIT) -> dict[str, int]:
     """Per stratum the least bin whose candidates are discoveries.  Strata and
     bins are bounded: three encodings, the doublings of a text's length."""
     c = scanned.select(F.explode("_candidates.test").alias("test")).select(
-        _stratum(F.col("test")).alias("stratum"), _bin(F.col("test")).alias("bin"))
+        _stratum(F.col("test")).alias("stratum"), _bin(F.col("test"), fit).alias("bin"))
     counts = c.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     below = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     ranked = counts.withColumn("rank", F.sum("n").over(below)) \
@@ -230,7 +272,7 @@ def with_spans(scanned: DataFrame, least_bins: dict[str, int], fit: float = FIT)
     if least_bins:
         known = F.create_map(*[F.lit(x) for kv in sorted(least_bins.items()) for x in kv])
         secret = F.filter("_candidates", lambda c: F.coalesce(
-            (_bin(c["test"]) >= F.element_at(known, _stratum(c["test"]))) & (c["test"]["p_random"] >= fit), F.lit(False)))
+            _bin(c["test"], fit) >= F.element_at(known, _stratum(c["test"])), F.lit(False)))
     else:
         secret = F.filter("_candidates", lambda c: F.lit(False))
     found = F.transform(secret, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(random).alias("kind")))
