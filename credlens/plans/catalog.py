@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ("q_prepare", "q_enrich", "q_store", "q_features", "q_models", "q_stream")
+MODULES = ("q_prepare", "q_enrich", "q_language", "q_store", "q_features", "q_models", "q_stream")
