@@ -110,6 +110,8 @@ def enrichment_table(df: DataFrame, key: str = "post_id", lexicon: DataFrame | N
     spark = df.sparkSession
     lex = lexicon if lexicon is not None else word_lexicon(spark)
     mods = modifiers if modifiers is not None else modifier_table(spark)
+    if "emotions" not in lex.columns:
+        lex = lex.withColumn("emotions", F.lit(None).cast("array<struct<emotion: string, rank: int>>"))
     w = word_table(df, key)
     w = w.join(_small(lex, None if lexicon is not None else 1000), ["lang2", "w"], "left")
     w = w.join(_small(mods, None if modifiers is not None else 100), ["lang2", "prev"], "left")
@@ -153,14 +155,17 @@ def enrich(df: DataFrame, key: str = "post_id", lexicon: DataFrame | None = None
            modifiers: DataFrame | None = None) -> DataFrame:
     """Adds tokens, sentiment, emotion_scores, emotion_ranked,
     dominant_emotion, emotion_status.  Needs ``clean_text`` and
-    ``lang_detected``."""
+    ``lang_detected``.  A lexicon without a column ``emotions`` gives no
+    scores, ``unknown`` and the status ``nrcl_ex_unavailable``."""
+    known = lexicon is None or "emotions" in lexicon.columns
     e = enrichment_table(df, key, lexicon, modifiers)
     cols = emotion_columns(F.col("emo_hits"))
     e = e.select(key, "tokens", "sentiment", *[c.alias(n) for n, c in cols.items()])
     out = df.join(e, key, "left")
     return out.withColumn(
         "emotion_status",
-        F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", "missing_text").otherwise("ok"))
+        F.when(F.coalesce(F.col("clean_text"), F.lit("")) == "", fixed.EMOTION_NO_TEXT)
+         .otherwise(fixed.EMOTION_OK if known else fixed.EMOTION_UNAVAILABLE))
 
 
 def enrich_posts(df: DataFrame, key: str = "post_id") -> DataFrame:

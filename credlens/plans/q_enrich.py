@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, rules
 from ..operators import lexicon as L
 from ..operators import dashboard as D
+from ..operators import hooks as H
 from ..operators import reports as Rp
 from ..session import materialize
 from ..sources import standins as S
@@ -77,13 +78,61 @@ def dominant_emotion(spark, sf):
     return enriched(spark, sf).select("uri", "dominant_emotion")
 
 
-@register("emotion_status_counts", O.with_(*EN, final="""
-SELECT emotion_status, count(*) AS n_posts, count(*) FILTER (WHERE emotion_status <> 'ok') AS failures
-FROM enriched GROUP BY 1"""))
+# hand-made posts for the scorer hook: one is scored, two hold more words than
+# the scorer takes, one has no text; the last two meet a scorer that is not there
+HAND_SCORED = (("hand/s1", "good hope", True), ("hand/s2", "one two three four five six", True),
+               ("hand/s3", "bad fear bad fear bad fear bad", True), ("hand/s4", "", True),
+               ("hand/s5", "good hope", False), ("hand/s6", "", False))
+SCORER_WORDS = 5
+STATUS_CTES = [("hand", f"""
+SELECT CASE WHEN clean_text = '' THEN {O.q(fixed.EMOTION_NO_TEXT)} WHEN NOT there THEN {O.q(fixed.EMOTION_UNAVAILABLE)}
+            WHEN len(string_split(clean_text, ' ')) > {SCORER_WORDS} THEN {O.q(fixed.EMOTION_FAILED)}
+            ELSE {O.q(fixed.EMOTION_OK)} END AS emotion_status
+FROM {O.values(HAND_SCORED, 'uri, clean_text, there')}"""),
+    ("every", "SELECT emotion_status FROM enriched UNION ALL SELECT emotion_status FROM hand")]
+FAILURES = f"emotion_status IN {O.in_list(fixed.EMOTION_FAILURES)}"
+
+
+def _limited_scorer(texts):
+    """Shares of the lexicon's emotion words; takes ``SCORER_WORDS`` words."""
+    out = []
+    for t in texts:
+        ws = t.split(" ")
+        if len(ws) > SCORER_WORDS:
+            raise ValueError("text too long")
+        hits = [e for w in ws for e in fixed.EMOTION_TERMS.get(w, ())]
+        out.append({e: hits.count(e) / len(hits) for e in hits})
+    return out
+
+
+def _statuses(spark, sf):
+    """Every post by the lexicon, and the hand-made posts through the hook."""
+    hand = spark.createDataFrame(list(HAND_SCORED), "uri string, clean_text string, there boolean") \
+        .withColumn("langs", F.array(F.lit("en"))).withColumn("post_id", F.col("uri"))
+    hand = L.enrich_posts(hand)
+    hooked = H.with_scorer_emotions(hand.where("there"), _limited_scorer, on_failure="empty").unionByName(
+        H.with_scorer_emotions(hand.where(~F.col("there")), None, on_failure="empty"))
+    return enriched(spark, sf).select("uri", "emotion_status").unionByName(hooked.select("uri", "emotion_status"))
+
+
+@register("emotion_status_counts", O.with_(*EN, *STATUS_CTES, final=f"""
+SELECT emotion_status, count(*) AS n_posts, count(*) FILTER (WHERE {FAILURES}) AS failures
+FROM every GROUP BY 1"""))
 def emotion_status_counts(spark, sf):
-    e = enriched(spark, sf)
-    return e.groupBy("emotion_status").agg(
-        F.count("*").alias("n_posts"), F.count_if(F.col("emotion_status") != "ok").alias("failures"))
+    return _statuses(spark, sf).groupBy("emotion_status").agg(
+        F.count("*").alias("n_posts"), F.count_if(F.col("emotion_status").isin(*fixed.EMOTION_FAILURES)).alias("failures"))
+
+
+@register("emotion_run_summary", O.with_(*EN, *STATUS_CTES, final=f"""
+SELECT count(*) AS n_posts, count(*) FILTER (WHERE emotion_status = {O.q(fixed.EMOTION_OK)}) AS ok,
+       count(*) FILTER (WHERE emotion_status = {O.q(fixed.EMOTION_NO_TEXT)}) AS missing_text,
+       count(*) FILTER (WHERE emotion_status = {O.q(fixed.EMOTION_UNAVAILABLE)}) AS unavailable,
+       count(*) FILTER (WHERE emotion_status = {O.q(fixed.EMOTION_FAILED)}) AS failed,
+       count(*) FILTER (WHERE {FAILURES}) AS failures
+FROM every"""))
+def emotion_run_summary(spark, sf):
+    """The counts of a run, observed while its rows are checkpointed."""
+    return H.checkpoint_with_counts(_statuses(spark, sf))[1]
 
 
 @register("sentiment_summary", O.with_(*EN, final="""

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
 from ..functions import text as Tx
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import materialize
 from ..operators import clustering as K
 from ..operators import explain as X
 from ..operators import features as Ft
+from ..operators import hooks as H
 from ..operators import incremental as I
 from ..operators import lexicon as L
 from ..operators import metrics as M
@@ -142,8 +143,7 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
     if checkpoint:
         # cut the lineage once (reliable checkpoint in the shared folder
         # named by spark.checkpoint.dir): every later step reads this table
-        ensure_checkpoint_dir(enriched.sparkSession)
-        enriched = enriched.checkpoint(eager=True)
+        enriched, emotion_run = H.checkpoint_with_counts(enriched)
     b = fit_bundle(enriched, params)
     save_bundle(b, f"{out_dir}/models")
     scored = score_posts(enriched, b, params, calibrated=False)
@@ -161,6 +161,8 @@ def train(raw: DataFrame, out_dir: str, params: Params = DEFAULT, run_id: str =
         "label_distribution": Rp.distribution(enriched, "source_label"),
         "language_distribution": Rp.distribution(enriched, "lang_detected"),
     }
+    if checkpoint:
+        reports["emotion_run"] = emotion_run
     test = Md.with_split(scored).where("is_test").select(
         F.col("credibility_label").alias("y_true"), F.col("plain_label").alias("y_pred"))
     reports["classification_report"] = M.classification_report(test)

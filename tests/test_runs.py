@@ -13,6 +13,8 @@ def test_train_then_incremental_score(spark, tmp_dir):
     raw = S.raw_posts(spark, SF_SMALL)
     older = raw.where(F.col("doc_id") < 150)
     out = T.train(older, tmp_dir, params, run_id="r1")
+    run = spark.read.parquet(f"{out['reports']}/emotion_run").first()
+    assert run.n_posts == run.ok == spark.read.parquet(f"{out['reports']}/predictions").count() and run.failures == 0
     table = St.read_scored(spark, out["scored"])
     table = table.checkpoint()
     n_first = table.count()
