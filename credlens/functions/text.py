@@ -20,10 +20,28 @@ def extract_text(record: Column | str = "record") -> Column:
 _FROM, _TO = "".join(fixed.ONE_LETTER), "".join(fixed.ONE_LETTER.values())
 
 
+def spell_letters(c: Column) -> Column:
+    """Hebrew, Arabic, Devanagari and kana letters by table, Hangul syllables
+    by the places of their parts; every other character as it is."""
+    table = F.create_map(*[F.lit(x) for pair in fixed.BY_LETTER.items() for x in pair])
+    vowels, finals = len(fixed.HANGUL_VOWELS), len(fixed.HANGUL_FINALS)
+
+    def part(names: tuple[str, ...], at: Column) -> Column:
+        return F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
+
+    def spelled(ch: Column) -> Column:
+        n = F.ascii(ch) - fixed.HANGUL_FIRST   # ascii: the code point of the first character
+        syllable = F.concat(part(fixed.HANGUL_INITIALS, F.floor(n / (vowels * finals))),
+                            part(fixed.HANGUL_VOWELS, F.floor(n / finals) % vowels), part(fixed.HANGUL_FINALS, n % finals))
+        hangul = ch.between(chr(fixed.HANGUL_FIRST), chr(fixed.HANGUL_LAST))
+        return F.when(hangul, syllable).otherwise(F.coalesce(F.element_at(table, ch), ch))
+    return F.array_join(F.transform(F.split(c, ""), spelled), "")
+
+
 def strip_accents(c: Column) -> Column:
-    """Letters with diacritics, Greek, Cyrillic, small digits and fractions to
+    """Letters with diacritics, small digits, fractions and other scripts to
     ASCII: one translate, then the letters spelled with several; those of
-    other scripts only where such a letter is there."""
+    other scripts only where such a letter is there (one test for all)."""
     t = F.translate(c, _FROM, _TO)
     for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
         if letter in fixed.SPECIAL_LETTERS:
@@ -32,7 +50,8 @@ def strip_accents(c: Column) -> Column:
     for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
         if letter not in fixed.SPECIAL_LETTERS:
             other = F.replace(other, F.lit(letter), F.lit(ascii_))
-    return F.when(t.rlike(fixed.OTHER_SCRIPTS_PATTERN), other).otherwise(t)
+    spelled = F.when(other.rlike(fixed.LETTER_SCRIPTS_PATTERN), spell_letters(other)).otherwise(other)
+    return F.when(t.rlike(fixed.ANY_SCRIPT_PATTERN), spelled).otherwise(t)
 
 
 def _finish(t: Column) -> Column:
@@ -63,6 +82,18 @@ def words(c: Column | str) -> Column:
     return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, " "))
 
 
+def suffix_lemma(lang2: Column, w: Column) -> Column:
+    """The word with its longest listed ending replaced (``lang2`` en or fr)."""
+    def by_rules(lang: str) -> Column:
+        out = F.when(F.lit(False), w)
+        for ending, instead in fixed.lemma_suffixes(lang):
+            left = F.length(w) - len(ending)
+            out = out.when(w.endswith(ending) & (left + len(instead) >= fixed.LEMMA_LETTERS),
+                           F.concat(F.substring(w, F.lit(1), left), F.lit(instead)))
+        return out.otherwise(w)
+    return F.when(lang2 == "fr", by_rules("fr")).otherwise(by_rules("en"))
+
+
 def vectorizer_words(c: Column | str) -> Column:
     """Words of two or more word characters (the vectorizer's tokens)."""
     return F.filter(words(c), lambda w: F.length(w) >= 2)

@@ -104,9 +104,23 @@ def word_table(df: DataFrame, key: str = "post_id") -> DataFrame:
                 .select(key, "lang2", "pos", "_p.w", "_p.prev"))
 
 
+def _lemma() -> Column:
+    """Of a word (lang2, w) and its row of the lexicon."""
+    return F.coalesce(F.col("lemma"), text.suffix_lemma(F.col("lang2"), F.col("w")))
+
+
+def with_lemma(words: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``words`` (lang2, w) with ``lemma``: by the lexicon's exceptions, else
+    by the longest listed ending, else the word itself."""
+    lex = lexicon if lexicon is not None else word_lexicon(words.sparkSession)
+    lex = lex.select("lang2", "w", "lemma")
+    return words.join(_small(lex, None if lexicon is not None else 1000), ["lang2", "w"], "left").withColumn("lemma", _lemma())
+
+
 def enrichment_table(df: DataFrame, key: str = "post_id", lexicon: DataFrame | None = None,
                      modifiers: DataFrame | None = None) -> DataFrame:
-    """Per post: tokens, sentiment, emotion hits (one aggregate)."""
+    """Per post: tokens, sentiment, emotion hits (one aggregate).  A token is
+    the word's lemma: by the lexicon's exceptions, else by its ending."""
     spark = df.sparkSession
     lex = lexicon if lexicon is not None else word_lexicon(spark)
     mods = modifiers if modifiers is not None else modifier_table(spark)
@@ -120,7 +134,7 @@ def enrichment_table(df: DataFrame, key: str = "post_id", lexicon: DataFrame | N
                  F.greatest(F.lit(-1.0), F.least(F.lit(1.0),
                             F.col("polarity") * F.coalesce(F.col("factor"), F.lit(1.0)))))
     agg = w.groupBy(key).agg(
-        F.collect_list(F.when(keep, F.struct("pos", F.coalesce("lemma", "w").alias("t")))).alias("_toks"),
+        F.collect_list(F.when(keep, F.struct("pos", _lemma().alias("t")))).alias("_toks"),
         F.sum(adj).alias("_pol_sum"),
         F.count(adj).alias("_pol_n"),
         F.flatten(F.collect_list("emotions")).alias("emo_hits"),

@@ -49,7 +49,28 @@ def strip_accents(x: str) -> str:
     t = f"translate({x}, {q(''.join(fixed.ONE_LETTER))}, {q(''.join(fixed.ONE_LETTER.values()))})"
     for letter, ascii_ in fixed.SEVERAL_LETTERS.items():
         t = f"replace({t}, {q(letter)}, {q(ascii_)})"
-    return t
+    # a list of one value, so that the text is written once
+    return f"(list_transform([{t}], lambda s: CASE WHEN regexp_matches(s, {q(fixed.LETTER_SCRIPTS_PATTERN)}) THEN {spell_letters('s')} ELSE s END)[1])"
+
+
+def spell_letters(x: str) -> str:
+    vowels, finals = len(fixed.HANGUL_VOWELS), len(fixed.HANGUL_FINALS)
+    n = f"(unicode(c) - {fixed.HANGUL_FIRST})"
+    parts = (f"{str_list(fixed.HANGUL_INITIALS)}[{n} // {vowels * finals} + 1]",
+             f"{str_list(fixed.HANGUL_VOWELS)}[{n} // {finals} % {vowels} + 1]",
+             f"{str_list(fixed.HANGUL_FINALS)}[{n} % {finals} + 1]")
+    letters = f"{str_list(fixed.BY_LETTER.values())}[list_position({str_list(fixed.BY_LETTER)}, c)]"
+    return (f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) BETWEEN {fixed.HANGUL_FIRST} "
+            f"AND {fixed.HANGUL_LAST} THEN {' || '.join(parts)} ELSE coalesce({letters}, c) END), '')")
+
+
+def suffix_lemma(lang2: str, w: str) -> str:
+    def by_rules(lang: str) -> str:
+        whens = " ".join(
+            f"WHEN ends_with({w}, {q(e)}) AND length({w}) >= {len(e) - len(i) + fixed.LEMMA_LETTERS} "
+            f"THEN substr({w}, 1, length({w}) - {len(e)}) || {q(i)}" for e, i in fixed.lemma_suffixes(lang))
+        return f"CASE {whens} ELSE {w} END"
+    return f"(CASE WHEN {lang2} = 'fr' THEN {by_rules('fr')} ELSE {by_rules('en')} END)"
 
 
 def clean(x: str) -> str:
@@ -163,7 +184,7 @@ FROM wl2 x LEFT JOIN word_lex l ON x.lang2 = l.lang2 AND x.w = l.w
            LEFT JOIN mod_lex m ON x.lang2 = m.lang2 AND x.prev = m.prev"""),
     ("tok_agg", f"""
 SELECT post_id,
-       list(coalesce(lemma, w) ORDER BY pos) FILTER (WHERE NOT coalesce(is_stop, FALSE) AND regexp_matches(w, {q(fixed.ALPHA_PATTERN)})) AS tokens,
+       list(coalesce(lemma, {suffix_lemma('lang2', 'w')}) ORDER BY pos) FILTER (WHERE NOT coalesce(is_stop, FALSE) AND regexp_matches(w, {q(fixed.ALPHA_PATTERN)})) AS tokens,
        coalesce(avg(CASE WHEN polarity IS NOT NULL THEN greatest(-1.0, least(1.0, polarity * coalesce(factor, 1.0))) END), 0.0) AS sentiment
 FROM wj GROUP BY post_id"""),
     ("emo_hits", """

@@ -48,6 +48,27 @@ def tokens(spark, sf):
                     F.size("tokens").alias("n_tokens"))
 
 
+# hand-made words (lang2, word) and their lemmas, written out
+HAND_LEMMAS = (("en", "cats", "cat"), ("en", "cities", "city"), ("en", "boxes", "box"), ("en", "wishes", "wish"),
+               ("en", "classes", "class"), ("en", "class", "class"), ("en", "virus", "virus"), ("en", "crisis", "crisis"),
+               ("en", "bus", "bus"), ("en", "ties", "tie"), ("en", "children", "child"), ("en", "was", "be"),
+               ("en", "post", "post"), ("fr", "journaux", "journal"), ("fr", "bateaux", "bateau"), ("fr", "chats", "chat"),
+               ("fr", "actives", "actif"), ("fr", "heureuse", "heureux"), ("fr", "actrices", "acteur"),
+               ("fr", "officielle", "officiel"), ("fr", "italienne", "italien"), ("fr", "pays", "pays"),
+               ("fr", "palais", "palais"), ("fr", "sont", "etre"), ("fr", "yeux", "oeil"), ("fr", "mot", "mot"))
+
+
+@register("lemmas", O.with_(*EN, ("known", "SELECT DISTINCT lang2, w, lemma FROM wj"), final=f"""
+SELECT lang2, w, coalesce(lemma, {O.suffix_lemma('lang2', 'w')}) AS lemma FROM known
+UNION ALL SELECT lang2, w, lemma FROM {O.values(HAND_LEMMAS, 'lang2, w, lemma')}"""))
+def lemmas(spark, sf):
+    """The lemma of every distinct word of the posts, and of the hand-made words."""
+    p = L.with_language(posts(spark, sf))
+    words = L.word_table(p).select("lang2", "w").distinct()
+    hand = spark.createDataFrame([r[:2] for r in HAND_LEMMAS], "lang2 string, w string")
+    return L.with_lemma(words.unionByName(hand)).select("lang2", "w", "lemma")
+
+
 @register("sentiment", O.with_(*EN, final="""
 SELECT uri, lang_detected, round(sentiment, 6) AS sentiment FROM enriched"""))
 def sentiment(spark, sf):

@@ -31,6 +31,12 @@ HAND_TEXTS = (
     ("hand/11", "Việt Nam"),
     ("hand/12", "Αθήνα"),
     ("hand/13", "\u00a0\u2003"),
+    ("hand/14", "שלום, ירושלים"),
+    ("hand/15", "مرحبا بالعربية ٢٠٢٤"),
+    ("hand/16", "नमस्ते भारत"),
+    ("hand/17", "ひらがな・カタカナ"),
+    ("hand/18", "한국어 안녕하세요"),
+    ("hand/19", "Été Москва 서울 100½"),
 )
 # what they clean to, written out
 HAND_CLEAN = (
@@ -43,6 +49,12 @@ HAND_CLEAN = (
     ("hand/10", "10 m2 et 1/2 litre"),
     ("hand/11", "viet nam"),
     ("hand/12", "athena"),
+    ("hand/14", "SHlvm yrvSHlym"),
+    ("hand/15", "mrHb bl`rby@ 2024"),
+    ("hand/16", "nmst bhrt"),
+    ("hand/17", "hiraganakatakana"),
+    ("hand/18", "hangugeo annyeonghaseyo"),
+    ("hand/19", "ete moskva seoul 1001/2"),
 )
 
 

@@ -35,3 +35,19 @@ def test_first_lang_and_words(spark):
     r = df.select(text.first_lang("langs").alias("l"), text.words("c").alias("w")).collect()
     assert [x.l for x in r] == ["fr-CA", None, None]
     assert [x.w for x in r] == [["a", "bb"], [], ["x"]]
+
+
+def test_other_scripts_are_spelled_in_ascii(spark):
+    from credlens.plans.q_prepare import HAND_CLEAN, HAND_TEXTS
+    want = dict(HAND_CLEAN)
+    for uri, s in HAND_TEXTS:
+        assert _clean(spark, s) == want.get(uri, ""), uri
+    assert _clean(spark, "漢字 ok") == "漢字 ok"     # not covered: stays
+    assert _clean(spark, None) is None
+
+
+def test_lemmas_by_exception_and_ending(spark):
+    from credlens.operators import lexicon as L
+    from credlens.plans.q_enrich import HAND_LEMMAS
+    df = spark.createDataFrame([r[:2] for r in HAND_LEMMAS], "lang2 string, w string")
+    assert {tuple(r) for r in L.with_lemma(df).select("lang2", "w", "lemma").collect()} == set(HAND_LEMMAS)
