@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -89,7 +90,8 @@ def test_explanations_positive_only(spark):
     assert all(r.contribution > 0 and r.rank <= 3 for r in t)
 
 
-def test_grouped_kmeans(spark):
+@pytest.mark.parametrize("block_rows", [1024, 8])   # groups of one block, and of several
+def test_grouped_kmeans(spark, block_rows):
     import numpy as np
     rng = np.random.default_rng(3)
     rows = [("g1", "a", "t0", 1.0)]                                    # group of 1: left out
@@ -99,7 +101,7 @@ def test_grouped_kmeans(spark):
     df = spark.createDataFrame(rows, "grp string, post_id string, term string, weight double")
     empty = spark.createDataFrame([("g3", "none")], "grp string, post_id string")   # a row without weights
     members = df.select("grp", "post_id").distinct().unionByName(empty)
-    assign, cent = K.grouped_kmeans(members, df.select("post_id", "term", "weight"), "grp", "post_id", k_max=3)
+    assign, cent = K.grouped_kmeans(members, df.select("post_id", "term", "weight"), "grp", "post_id", k_max=3, block_rows=block_rows)
     got = {}
     for r in assign.collect():
         got.setdefault(r.grp, {})[r.post_id] = r
@@ -123,19 +125,21 @@ def test_grouped_kmeans(spark):
             assert d[r.cluster] <= min(d.values()) + 1e-9
 
 
-def test_grouped_kmeans_keeps_groups_without_terms(spark):
+@pytest.mark.parametrize("block_rows", [1024, 4])
+def test_grouped_kmeans_keeps_groups_without_terms(spark, block_rows):
     """A group of which no post has a weight, and one whose other rows have some."""
     members = [("none", f"n{i}") for i in range(5)] + [("few", f"f{i}") for i in range(12)]
     weights = [("f0", "t0", 1.0), ("f1", "t1", 1.0)]
     assign, _ = K.grouped_kmeans(spark.createDataFrame(members, "grp string, post_id string"),
                                  spark.createDataFrame(weights, "post_id string, term string, weight double"),
-                                 "grp", "post_id", k_max=3)
+                                 "grp", "post_id", k_max=3, block_rows=block_rows)
     rows = assign.collect()
     assert sorted((r.grp, r.post_id) for r in rows) == sorted(members)
     assert all(0 <= r.cluster < 3 and abs(r.d[r.cluster]) < 1e-12 for r in rows if r.grp == "none")
 
 
-def test_grouped_kmeans_ends_at_a_fixed_point(spark, caplog):
+@pytest.mark.parametrize("block_rows", [1024, 60])
+def test_grouped_kmeans_ends_at_a_fixed_point(spark, caplog, block_rows):
     """Evenly spaced points on a line settle slowly: in the end no row moves."""
     from credlens.config import DEFAULT
     assert DEFAULT.grouped_kmeans_n_init == 10 and DEFAULT.grouped_kmeans_max_iter == 300
@@ -144,8 +148,10 @@ def test_grouped_kmeans_ends_at_a_fixed_point(spark, caplog):
     weights = spark.createDataFrame([(k, "t", v) for k, v in x.items()], "post_id string, term string, weight double")
 
     def moves(**how):
-        assign, _ = K.grouped_kmeans(members, weights, "grp", "post_id", k_max=4, n_init=1, **how)
-        got = {r.post_id: r.cluster for r in assign.collect()}
+        assign, _ = K.grouped_kmeans(members, weights, "grp", "post_id", k_max=4, n_init=1, block_rows=block_rows, **how)
+        rows = assign.collect()
+        got = {r.post_id: r.cluster for r in rows}
+        assert {r.settled for r in rows} == {"max_iter" not in how}
         assert set(got) == set(x)
         at = {c: np.mean([x[k] for k in got if got[k] == c]) for c in set(got.values())}
         return sum((x[k] - at[got[k]]) ** 2 > min((x[k] - m) ** 2 for m in at.values()) + 1e-9 for k in x)
@@ -153,6 +159,18 @@ def test_grouped_kmeans_ends_at_a_fixed_point(spark, caplog):
     assert moves(max_iter=2) > 0 and "still move after 2 passes" in caplog.text
 
 
+def test_grouped_kmeans_of_a_hot_group_does_not_depend_on_blocks(spark):
+    """One group with nine tenths of the rows: the same clusters from one block as from many."""
+    rng = np.random.default_rng(5)
+    rows = [("hot" if i % 10 else f"g{i % 3}", f"p{i:04}", f"t{j}", float(rng.random() + 3 * (j == i % 4)))
+            for i in range(600) for j in range(5)]
+    df = spark.createDataFrame(rows, "grp string, post_id string, term string, weight double")
+    members, weights = df.select("grp", "post_id").distinct(), df.select("post_id", "term", "weight")
+    one, many = ({(r.grp, r.post_id): (r.cluster, [None if x is None else round(x, 9) for x in r.d]) for r in K.grouped_kmeans(
+        members, weights, "grp", "post_id", k_max=4, n_init=3, block_rows=b)[0].collect()} for b in (4096, 50))
+    assert one == many and len(one) == 600
+
+
 def test_assign_nearest(spark):
     df = spark.createDataFrame([(1, [0.0, 0.1]), (2, [5.0, 5.0])], "id int, embedding array<float>")
     cent = spark.createDataFrame([("near0", 0, 0.0), ("near0", 1, 0.0), ("near5", 0, 5.0), ("near5", 1, 5.0)],
