@@ -2,13 +2,14 @@
 
 The templates' words are weighed by their inverse document frequency over all
 documents of the corpus; a template's index entries are its words of above
-average weight (its rare words) with their positions.  A file's rare licence
-words are looked up in the index, and postings of a template meet where
-position in the file minus position in the template is the same: an alignment,
-scored by the weight of the index words that lie where the template has them.  A
-template is found when its best alignment reaches ``SHARE`` and one of its
-mandatory key phrases stands in the file, word by word.  Key phrases are cheap
-to look for, so only files that hold one go through the index.
+average weight (its rare words) with their positions.  In each file, the rare
+words of a template are taken by falling weight, as many as are needed for
+those left over to weigh less than ``SHARE`` of the template: any place that
+reaches ``SHARE`` holds one of them.  They are looked up in the index, and
+postings of a template meet where position in the file minus position in the
+template is the same: an alignment, scored by the weight of the index words
+that lie where the template has them.  Last, all mandatory key phrases of a
+template that reaches ``SHARE`` must stand in the file, word by word.
 
 Base phrases (``PHRASES``) are labels by themselves.
 
@@ -22,7 +23,7 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
@@ -52,7 +53,7 @@ TEMPLATES = (
     ("apache", ("apache license", "apache org licenses"),
      "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
      "with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("cc-by", ("cc by", "creative commons attribution"), "licensed under cc by 4 0"),
+    ("cc-by", ("cc by",), "licensed under cc by 4 0"),
     ("cc-by", ("cc by",), "licensed under cc by nc 4 0"),
     ("cc-by", ("creative commons attribution",),
      "this work is licensed under a creative commons attribution 4 0 international license"),
@@ -99,21 +100,21 @@ def _phrase_places(words: Column, n_words: Column, phrase: str) -> Column:
     return F.when(_holds(words, phrase), found)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base columns, and the words of the files that hold a key phrase."""
+def scan(docs: DataFrame, rare: list[str]) -> DataFrame:
+    """doc_id, n_words, base columns, the key phrases that stand in the file
+    (by number), and the places of the ``rare`` words."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), padded_words(F.col("text")).alias("words"))
     w = F.col("words")
     n = F.when(w == "  ", F.lit(0)).otherwise(spaces(w) - 1).cast("long")
     counted = split.withColumn("n_words", n)
     places = {label: _phrase_places(w, F.col("n_words"), phrase) for phrase, label in PHRASES.items()}
-    any_key = F.lit(False)
-    for phrase in KEY_PHRASES:
-        any_key = any_key | _holds(w, phrase)
-    found = counted.select("doc_id", "n_words", F.when(any_key, w).alias("words"),
+    stands = F.array_compact(F.array(*[F.when(_holds(w, p), F.lit(k)) for k, p in enumerate(KEY_PHRASES)]))
+    each = F.transform(F.split(F.trim(w), " "), lambda x, at: F.struct(at.alias("at"), x.alias("word")))
+    found = counted.select("doc_id", "n_words", stands.alias("phrases"), F.filter(each, lambda x: x["word"].isin(rare)).alias("hits"),
                            F.array(*[F.struct(F.lit(label).alias("label"), p.alias("at")) for label, p in places.items()]).alias("places"))
     there = found.withColumn("places", F.filter("places", lambda p: p["at"].isNotNull()))
     return there.select(
-        "doc_id", "n_words", "words",
+        "doc_id", "n_words", "phrases", "hits",
         F.aggregate("places", F.lit(0).cast("long"), lambda acc, p: acc + p["at"]["n"]).alias("n_base"),
         F.array_min(F.transform("places", lambda p: p["at"]["first"])).alias("first_word"),
         F.array_max(F.transform("places", lambda p: p["at"]["last"])).alias("last_word"),
@@ -129,8 +130,8 @@ def document_frequency(docs: DataFrame) -> tuple[dict[str, int], int]:
     return {r["word"]: r["n"] for r in each.groupBy("word").agg(F.count("*").alias("n")).collect()}, n
 
 
-def index(spark: SparkSession, df: dict[str, int], n: int) -> DataFrame:
-    """(word, template, position, weight, total) of the templates' rare words."""
+def index(df: dict[str, int], n: int) -> list[tuple[str, int, int, float, float, float]]:
+    """(word, template, position, weight, of the word in the template, total) of the templates' rare words."""
     import math
 
     rows = []
@@ -141,27 +142,45 @@ def index(spark: SparkSession, df: dict[str, int], n: int) -> DataFrame:
         # equal weights are all rare, whatever their mean rounds to
         rare = [(w, t, i, x) for i, (w, x) in enumerate(zip(words, weights, strict=True)) if x >= mean - 1e-9]
         total = sum(x for *_, x in rare)
-        rows += [(*r, total) for r in rare]
-    return spark.createDataFrame(rows, "word string, template int, position int, weight double, total double")
+        rows += [(*r, sum(x for w, *_, x in rare if w == r[0]), total) for r in rare]
+    return rows
+
+
+INDEX = "word string, template int, position int, weight double, of_word double, total double"
+
+
+def looked_up(hits: DataFrame, rare: DataFrame) -> DataFrame:
+    """(place, template, word): each file's words of highest weight, so many
+    that the template's other words in it weigh less than ``SHARE``.  A file
+    has a row per word of a template here, however often it occurs."""
+    entries = rare.select("template", "word", "weight", "of_word", "total").distinct()
+    own = hits.select("place", "word").distinct().join(F.broadcast(entries), "word")
+    falling = Window.partitionBy("place", "template").orderBy(F.desc("weight"), "word")
+    rest = F.sum("of_word").over(Window.partitionBy("place", "template")) \
+        - F.coalesce(F.sum("of_word").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return own.withColumn("rest", rest).filter(F.col("rest") >= SHARE * F.col("total") - 1e-9).select("place", "template", "word")
 
 
 def alignments(scanned: DataFrame, rare: DataFrame) -> DataFrame:
     """Per file (``place``) its verified labels and its best share."""
-    words = scanned.filter("words IS NOT NULL").select(
-        "place", F.posexplode(F.split(F.trim("words"), " ")).alias("at", "word"))
-    hits = words.join(F.broadcast(rare), "word").groupBy("place", "template", (F.col("at") - F.col("position")).alias("shift")) \
+    hits = scanned.select("place", F.explode("hits").alias("h")).select("place", "h.word", "h.at")
+    shift = (F.col("at") - F.col("position")).alias("shift")
+    seeds = looked_up(hits, rare)
+    postings = hits.join(F.broadcast(rare.select("word", "template", "position", "weight", "total")), "word")
+    # a template that a file cannot reach has no words to look up
+    postings = postings.join(seeds.select("place", "template").distinct(), ["place", "template"], "left_semi") \
+        .select("place", "template", "word", shift, "weight", "total")
+    met = postings.join(seeds, ["place", "template", "word"], "left_semi").select("place", "template", "shift").distinct()
+    shares = postings.join(met, ["place", "template", "shift"], "left_semi").groupBy("place", "template", "shift") \
         .agg((F.sum("weight") / F.first("total")).alias("share"))
-    best = hits.groupBy("place", "template").agg(F.max("share").alias("share"))
-    files = scanned.select("place", "words")
+    best = shares.groupBy("place", "template").agg(F.max("share").alias("share")).filter(F.col("share") >= SHARE)
     verified = F.lit(False)
     label = F.lit(None).cast("string")
     for t, (name, keys, _) in enumerate(TEMPLATES):
-        holds = F.lit(False)
-        for phrase in keys:
-            holds = holds | _holds(F.col("words"), phrase)
-        verified = verified | ((F.col("template") == t) & holds)
+        needed = F.array(*[F.lit(KEY_PHRASES.index(k)) for k in keys])
+        verified = verified | ((F.col("template") == t) & (F.size(F.array_except(needed, F.col("phrases"))) == 0))
         label = F.when(F.col("template") == t, F.lit(name)).otherwise(label)
-    there = best.filter(F.col("share") >= SHARE).join(files, "place").filter(verified)
+    there = best.join(scanned.select("place", "phrases"), "place").filter(verified)
     return there.groupBy("place").agg(F.collect_set(label).alias("found"), F.max("share").alias("share"))
 
 
@@ -169,10 +188,11 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row."""
     spark = docs.sparkSession
     path = scratch(spark, "licenses")
+    entries = index(*document_frequency(docs))
     # a row's place in the stored table stands for it: ids may repeat
-    scan(docs).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    scan(docs, sorted({e[0] for e in entries})).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
     scanned = spark.read.parquet(path)
-    found = alignments(scanned, index(spark, *document_frequency(docs)))
+    found = alignments(scanned, spark.createDataFrame(entries, INDEX))
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", none)))
     return scanned.join(found, "place", "left").select(

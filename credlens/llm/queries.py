@@ -151,9 +151,10 @@ WITH d AS (SELECT row_number() OVER () AS place, doc_id, list_filter(string_spli
                          "template, position, word")} LEFT JOIN f USING (word)),
      r AS (SELECT *, sum(weight) OVER (PARTITION BY template) AS total FROM (
              SELECT *, avg(weight) OVER (PARTITION BY template) AS mean FROM t) WHERE weight >= mean - 1e-9),
-     k AS (SELECT * FROM {_values([(t, label, f" {p} ") for t, (label, keys, _) in enumerate(license_scan.TEMPLATES) for p in keys],
-                                  "template, label, phrase")}),
-     v AS (SELECT DISTINCT place, template, label FROM b JOIN k ON contains(b.words, k.phrase)),
+     k AS (SELECT * FROM {_values([(t, label, f" {p} ", len(keys)) for t, (label, keys, _) in enumerate(license_scan.TEMPLATES) for p in keys],
+                                  "template, label, phrase, needed")}),
+     v AS (SELECT place, template, label FROM b JOIN k ON contains(b.words, k.phrase)
+           GROUP BY place, template, label, needed HAVING count(*) = needed),
      u AS (SELECT place, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM b
            WHERE place IN (SELECT place FROM v)),
      h AS (SELECT place, template, sum(weight) / first(total) AS share FROM u JOIN r USING (word) GROUP BY place, template, pos - position),

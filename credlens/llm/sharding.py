@@ -9,11 +9,15 @@ change of the number of shards moves few rows.
 
 Only row counts per cell reach the driver (a fixed bound), where the walk
 round the ring gives each shard ranges of ranks in cells; a row finds its
-range by its cell and its rank there.  A cell holds a 65,536th of the keys.
+range by its cell and its rank there.  Ranks come from a range sort, so a key
+that holds most of the rows is spread over tasks like any other rows.
 
-Defined results: null text has no bytes; a null key lies in one fixed cell;
-rows with the same key lie next to each other; an empty table gives no rows;
-further columns are not read.
+Documents are keyed by their texts: equal texts lie next to each other, and
+such a group is cut only where a shard is full.
+
+Defined results: null text has no bytes and is placed as an empty one; a null
+key lies in one fixed cell; rows with the same key lie next to each other, by
+their other columns; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialize, scratch
 
 CELLS = 1 << 16
 VIRTUAL_NODES = 64
@@ -85,14 +89,20 @@ def assign(rows: DataFrame, key: str, shards: int, virtual_nodes: int = VIRTUAL_
     spark: SparkSession = rows.sparkSession
     # one stored copy: counts and ranks must see the same rows
     path = scratch(spark, "sharding")
-    hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn("_cell", cell_of(F.col(key)))
-    hashed.write.parquet(path)
+    others = [c for c in rows.columns if c != key]
+    order = ["_hash", key, *others, "_tie"]   # the tie spreads fully repeated rows
+    hashed = rows.withColumn("_hash", F.xxhash64(key)).withColumn("_cell", cell_of(F.col(key))).withColumn("_tie", F.rand(7))
+    hashed.repartitionByRange("_cell", *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
     stored = spark.read.parquet(path)
-    counts = {r["_cell"]: r["n"] for r in stored.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+    # CELLS rows, and one more at most where a cell is cut by the end of a part
+    parts = materialize(stored.groupBy("_part", "_cell").agg(F.count("*").alias("_n")))
+    counts = {r["_cell"]: r["n"] for r in parts.groupBy("_cell").agg(F.sum("_n").alias("n")).collect()}
+    before = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("_part", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranges = spark.createDataFrame(walk(counts, shards, virtual_nodes) if counts else [], RANGES)
-    others = [c for c in rows.columns if c != key]
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key, *others)) - 1
-    ranked = stored.withColumn("_rank", rank.cast("long"))
+    rank = F.row_number().over(Window.partitionBy("_part", "_cell").orderBy(*order)) - 1
+    ranked = stored.withColumn("_rank", rank.cast("long")).join(F.broadcast(before), ["_part", "_cell"]) \
+        .withColumn("_rank", F.col("_rank") + F.col("_before"))
     here = (F.col("_cell") == F.col("cell")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank"))
     # at most CELLS + shards ranges
     return ranked.join(F.broadcast(ranges), here).select(
@@ -104,7 +114,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
-                        F.crc32(text).alias("text_crc32"))
-    return assign(light, "doc_id", shards).select(
+                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"))
+    return assign(light, "group", shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from credlens.llm import license_scan as L
@@ -28,6 +30,44 @@ TEXTS = [None, "", " .,- ", "one", "Released under the MIT License.", "mit licen
          "with or without modification, are permitted provided that the following conditions are met:"]
 
 
+def brute_labels(texts):
+    """Labels and score of every text by trying all places of all templates."""
+    files = [words_of(t) for t in texts]
+    n = len(files)
+    out = []
+    for w in files:
+        labels, score = set(filter(None, brute(" ".join(w))[4].split(","))), 0.0
+        for label, keys, template in L.TEMPLATES:
+            t = template.split()
+            weight = [math.log((1 + n) / (1 + sum(x in set(f) for f in files))) + 1 for x in t]
+            rare = [i for i, x in enumerate(weight) if x >= sum(weight) / len(weight) - 1e-9]
+            best = max((sum(weight[i] for i in rare if 0 <= at + i < len(w) and w[at + i] == t[i])
+                        for at in range(-len(t), len(w))), default=0) / sum(weight[i] for i in rare)
+            text = f" {' '.join(w)} "
+            if best >= L.SHARE and all(f" {k} " in text for k in keys):
+                labels.add(label)
+                score = max(score, min(best, 1.0))
+        out.append((",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
+def test_labels_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["", None, "free software", "the the the"]
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(L.TEMPLATES)[2].split()
+            damaged = [x if rng.random() > 0.15 * (k % 4) else rng.choice(L.VOCABULARY + ["plain", "prose"]) for x in words]
+            parts += damaged[rng.randint(0, 2):] + rng.choices(["plain", "prose", "the", "license", "of"], k=rng.randint(0, 9))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in L.find_licenses(docs).collect()}
+    want = brute_labels(texts)
+    assert [got[k] for k in range(len(texts))] == want
+    assert len({w[0] for w in want}) > 8
+
+
 def test_base_and_labels(spark):
     rows = [(k, t, "x", 1) for k, t in enumerate(TEXTS)] + [(4, TEXTS[4], "x", 1), (None, TEXTS[4], "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string, place int")

@@ -23,6 +23,16 @@ def test_shards(spark):
     assert len(sharding.shard_documents(docs.limit(3), 24).collect()) == 3
 
 
+def test_equal_texts_stay_together(spark):
+    # a third of the rows in one group, others of one to nine rows; a full shard cuts one group at most
+    texts = ["hot"] * 700 + [f"text {k}" for k in range(300) for _ in range(k % 9 + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 24).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+    assert len({(texts[r.doc_id], r.shard) for r in rows}) <= len(set(texts)) + 24
+
+
 def test_walk_moves_little():
     counts = {c: 16 for c in range(0, sharding.CELLS, 7)}
 
