@@ -64,3 +64,45 @@ def test_no_shuffle_of_terms(spark):
     by = {r.post_id: r for r in c.collect()}
     assert len(by) == 4 and by["p2"].margin1 == 0.0 and by["p2"].top1 == []
     assert [t.term for t in by["p3"].top1] == ["red"] and by["p3"].top0 == []
+
+
+def test_enrichment_from_the_posts_own_row(spark, monkeypatch):
+    from credlens.operators import lexicon as L
+    texts = ["this is not good at all", "very bad news and fear", "", "la ville est tres belle", "x1 y2"]
+    p = spark.createDataFrame([(f"p{i}", t, "fr" if "ville" in t else "en") for i, t in enumerate(texts)],
+                              "post_id string, clean_text string, lang_detected string")
+    in_row = L.enrich(p)
+    assert not any(op in _plan(in_row) for op in ("Exchange", "Sort ", "Aggregate", "Join"))
+    monkeypatch.setattr(L, "IN_ROW_MAX_ROWS", 0)
+
+    def rows(df):
+        return sorted(((r.post_id, r.tokens, None if r.sentiment is None else round(r.sentiment, 9), r.emotion_scores,
+                        r.emotion_ranked, r.dominant_emotion, r.emotion_status) for r in df.collect()), key=str)
+    by_join = L.enrich(p)
+    assert in_row.columns == by_join.columns
+    got = rows(in_row)
+    assert got == rows(by_join) and [r[1] for r in got if r[0] == "p2"] == [None]
+    assert any(r[2] for r in got)
+
+
+def test_repeated_lexicon_rows_count_each(spark, monkeypatch):
+    from credlens.operators import lexicon as L
+    lex = spark.createDataFrame([("en", "good", False, None, 0.5), ("en", "good", False, "gut", 1.0), (None, "good", True, None, 0.0)],
+                                "lang2 string, w string, is_stop boolean, lemma string, polarity double")
+    mods = spark.createDataFrame([("en", "not", -1.0), ("en", "not", -0.5)], "lang2 string, prev string, factor double")
+    p = spark.createDataFrame([("p", "good not good", "en")], "post_id string, clean_text string, lang_detected string")
+    one = L.enrich(p, lexicon=lex, modifiers=mods).first()
+    monkeypatch.setattr(L, "IN_ROW_MAX_ROWS", 0)
+    two = L.enrich(p, lexicon=lex, modifiers=mods).first()
+    assert one.tokens == two.tokens and abs(one.sentiment - two.sentiment) < 1e-12
+    assert one.emotion_status == two.emotion_status and one.dominant_emotion == two.dominant_emotion
+
+
+def test_keywords_of_carried_clusters_need_no_join_of_weights(spark):
+    from credlens.operators import clustering as K
+    a = spark.createDataFrame([("p1", 0), ("p2", 0), ("p3", 1)], "post_id string, cluster int")
+    w = spark.createDataFrame([("p1", "x", 1.0), ("p2", "x", 0.6), ("p2", "y", 0.8), ("p3", "y", 1.0)],
+                              "post_id string, term string, weight double")
+    carried = w.join(a, "post_id").drop("post_id").checkpoint()
+    got = {tuple(r) for r in K.centroid_keywords(a, carried).collect()}
+    assert got == {tuple(r) for r in K.centroid_keywords(a, w).collect()} and len(got) == 3
