@@ -51,3 +51,38 @@ def test_lemmas_by_exception_and_ending(spark):
     from credlens.plans.q_enrich import HAND_LEMMAS
     df = spark.createDataFrame([r[:2] for r in HAND_LEMMAS], "lang2 string, w string")
     assert {tuple(r) for r in L.with_lemma(df).select("lang2", "w", "lemma").collect()} == set(HAND_LEMMAS)
+
+
+def test_removals_of_a_batch_are_the_rule_step_by_step(spark):
+    import random
+    r = random.Random(2)
+    chars = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))] + [*"ab c@#_1", "http", "http://x.y ", "@a", "#b", "  ", "½"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(3000)] + [None, "", "漢字 ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = F.lower("t")
+    for pattern in (text.fixed.URL_PATTERN, text.fixed.MENTION_PATTERN, text.fixed.HASHTAG_PATTERN):
+        low = F.regexp_replace(low, pattern, "")
+    assert df.select("t", text.clean_text("t").alias("a"), text._finish(low).alias("b")).where("NOT (a <=> b)").collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latin_texts_pass_no_regex_a_character_and_unread_text_is_not_shuffled(spark):
+    from credlens.plans.q_prepare import posts
+    SF_SMALL = "/root/testdata/sf0.001"
+    assert "ArrowEvalPython" in _plan(posts(spark, SF_SMALL))
+    first = next(x for x in _plan(posts(spark, SF_SMALL).select("uri")).split("\n") if "partial_min_by" in x)
+    assert "clean_text" not in first
+
+
+def test_stop_words_are_looked_up_in_batches(spark):
+    from credlens.operators import lexicon as L
+    rows = [("the cat and the dog", None), ("le chat et la rue", []), ("la la", []), ("zzz", None), ("", None), (None, None),
+            ("the", ["fr"]), (" the  le ", []), ("la la", None)]
+    df = spark.createDataFrame(rows, "clean_text string, langs array<string>")
+    got = L.with_language(df)
+    assert "array_contains" not in _plan(got)
+    assert [r.lang_detected for r in got.collect()] == ["en", "fr", "fr", "en", "en", "en", "fr", "en", "fr"]
+    assert {r.lang_detected for r in L.with_language(df, {}, "xx").collect()} == {"xx", "fr"}
