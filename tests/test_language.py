@@ -53,3 +53,23 @@ def test_long_text_is_read_whole(spark):
     t = "zzz " * 50_000 + "la maison"
     posts = spark.createDataFrame([(1, t, None)], "post_id long, clean_text string, langs array<string>")
     assert G.with_profiled_language(posts, G.fit_profiles(train)).first().lang_detected == "fr"
+
+
+def test_guess_makes_no_row_a_trigram(spark):
+    train = spark.createDataFrame(TRAIN, "lang string, clean_text string")
+    posts = spark.createDataFrame(POSTS, "post_id long, clean_text string, langs array<string>")
+    for df in (G.profile_guess(posts, G.fit_profiles(train)), G.fit_profiles(train)):
+        assert "substr" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "sequence(" not in plan
+
+
+def test_many_characters_in_a_piece(spark):
+    from credlens.operators import trigram_blocks as B
+    many = [(lang, "".join(chr(0x4e00 + (k * 37 + lang_n * 1000) % 3000) for k in range(2000))) for lang_n, lang in enumerate("ab")]
+    train = spark.createDataFrame(many, "lang string, clean_text string")
+    want = profiles(many, 300)
+    fitted = G.fit_profiles(train)
+    assert {(r.lang, r.gram, r["rank"]) for r in fitted.collect()} == {(a, g, k) for a, c in want.items() for g, k in c.items()}
+    rows = [(r.lang, r.gram, 301 - r["rank"]) for r in fitted.collect()]
+    assert B.Profiles(rows).base ** 3 > B.TABLE
+    got = G.profile_guess(train.withColumnRenamed("lang", "post_id"), fitted).collect()
+    assert {(r.post_id, r.guess) for r in got} == {("a", "a"), ("b", "b")}
