@@ -43,6 +43,8 @@ SEGMENT, SEQUENCES, TURNS, IDS = 64, 4096, 1 << 17, 4096
 DIGEST, ENTRY = 16, 20
 ROOT = bytes(DIGEST)
 NONE = hashlib.sha256(b"").hexdigest()
+#: Places tried for the children of a state.
+TRIES = 64
 #: CHECK of a free slot and of a root.
 FREE, TOP = -1, -2
 LAST = np.iinfo(np.int64).max
@@ -57,6 +59,7 @@ class DoubleArray:
     def __init__(self, roots: int):
         self.base = np.zeros(roots, np.int64)
         self.check = np.full(roots, TOP)
+        self.random = np.random.default_rng(1)
 
     def _grow(self, size: int) -> None:
         more = size - len(self.check)
@@ -74,11 +77,12 @@ class DoubleArray:
 
     def add(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Add all children of some states (rows sorted by state) and return their slots.
-        States of several children look for a base where every slot is free,
-        those of one child then fill the holes."""
+        States of several children look for a base where every slot is free, the
+        largest first; those of one child then fill the holes."""
         first = np.flatnonzero(np.append(True, states[1:] != states[:-1]))
         count = np.diff(np.append(first, len(states)))
-        for k in np.flatnonzero(count > 1):
+        several = np.flatnonzero(count > 1)
+        for k in several[np.argsort(-count[several], kind="stable")]:
             self._place(states[first[k]], codes[first[k]:first[k] + count[k]])
         lone = first[count == 1]
         free = np.flatnonzero(self.check == FREE)
@@ -91,15 +95,24 @@ class DoubleArray:
         self.check[slots] = states[lone]
         return self.base[states] + codes
 
-    def _place(self, state: int, codes: np.ndarray, tries: int = 8) -> None:
+    def _place(self, state: int, codes: np.ndarray) -> None:
+        """Some places all over the array are tried at once; only if none of them is
+        free the array grows, and then it offers the next states more free places."""
         low = codes - codes.min()
-        for at in np.flatnonzero(self.check == FREE)[:tries].tolist():
-            slots = at + low
-            if slots[-1] < len(self.check) and (self.check[slots] == FREE).all():
-                break
+        room = len(self.check) - int(low.max())
+        fits = np.zeros(0, int)
+        if room > 0:
+            at = self.random.integers(0, room, TRIES)
+            fits = np.arange(TRIES)
+            for x in low.tolist():
+                fits = fits[self.check[at[fits] + x] == FREE]
+                if not len(fits):
+                    break
+        if len(fits):
+            slots = at[fits[0]] + low
         else:
             slots = len(self.check) + low
-            self._grow(int(slots[-1]) + 1)
+            self._grow(int(slots.max()) + 1)
         self.base[state] = slots[0] - codes[0]
         self.check[slots] = state
 
@@ -126,8 +139,17 @@ def shard_nodes(block: pa.Table, number: int, segment: int) -> pa.RecordBatch:
     sizes = np.array([len(p) for p in paths]) // ENTRY
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(b"".join(paths), np.dtype([("digest", f"S{DIGEST}"), ("points", ">u4")]))
-    turns, codes = np.unique(raw["digest"], return_inverse=True)
-    codes = codes + 1
+    # codes by level, then by row: the children of a state that are new there have codes in a
+    # row, so that they lie close together in the arrays
+    level = np.arange(len(raw)) - np.repeat(starts, sizes)
+    by_level = np.argsort(level, kind="stable")
+    turns, seen, codes = np.unique(raw["digest"][by_level], return_index=True, return_inverse=True)
+    order = np.argsort(seen)
+    rank = np.empty(len(turns), np.int64)
+    rank[order] = np.arange(1, len(turns) + 1)
+    turns, unsorted = turns[order], codes
+    codes = np.empty(len(raw), np.int64)
+    codes[by_level] = rank[unsorted]
 
     new_root = np.array([True] + [a != b for a, b in zip(tops[1:], tops[:-1])])
     roots = np.cumsum(new_root) - 1

@@ -110,3 +110,14 @@ def test_long_end_lists_are_hashed_in_pieces(spark, tmp_dir):
         .write.mode("overwrite").parquet(tmp_dir)
     got = T.end_digests(spark.read.parquet(tmp_dir)).collect()
     assert {r.sha for r in got} == {hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()} and len(got) == 2
+
+
+def test_arrays_stay_small_when_children_have_distant_codes():
+    rng = np.random.default_rng(4)
+    trie = T.DoubleArray(400)
+    codes = np.sort(rng.choice(np.arange(1, 20_000), size=(400, 2)), axis=1)
+    codes[:, 1] += codes[:, 0] == codes[:, 1]
+    states = np.repeat(np.arange(400), 2)
+    to = trie.add(states, codes.ravel())
+    assert len(set(to.tolist())) == 800 and trie.step(states, codes.ravel()).tolist() == to.tolist()
+    assert len(trie.check) < 100_000
