@@ -13,8 +13,8 @@ A stream's offset is the next cursor of each chain, kept in its checkpoint, so
 a restarted stream resumes there.  A batch takes at most ``maxPages`` pages of
 each chain (the page budget of a run); a chain stops early at a page that is
 empty, is not there yet or cannot be read, and goes on from that page in the
-next batch.  Only the cursors are followed on the driver; pages are read by the
-tasks, one a page.  Columns ``chain`` and ``cursor`` can be asked for.
+next batch.  Only the cursors are followed on the driver, once a batch; pages are
+read by the tasks, a page at a time and up to ``PAGES`` of them a task.  Columns ``chain`` and ``cursor`` can be asked for.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql.types import StructType
 
 #: The cursor of a chain's first page, and the offset of a chain at its end.
 START, END = "start", None
+#: Pages of a task at most, and tasks that a batch is dealt to before they get several pages.
+PAGES, TASKS = 64, 32
 
 
 def _files(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -44,9 +46,9 @@ def _page(fs: pa.fs.FileSystem, folder: str) -> list[str]:
     return sorted(f.path for f in found if f.is_file and f.size and not f.base_name.startswith((".", "_")))
 
 
-class Page(InputPartition):
-    def __init__(self, chain: str, cursor: str):
-        self.chain, self.cursor = chain, cursor
+class Pages(InputPartition):
+    def __init__(self, pages: list[tuple[str, str]]):
+        self.pages = pages
 
 
 class PagedPosts(DataSource):
@@ -66,6 +68,10 @@ class PageReader(DataSourceStreamReader):
         self.schema, self.path = schema, options["path"].rstrip("/")
         self.budget = int(options.get("maxPages", 5))
         self.at: dict | None = None
+        self.following: dict[tuple[str, str], str | None] = {}    # of the pages walked and not planned yet
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"following": {}}     # tasks do not need it
 
     def _folder(self, chain: str, cursor: str, path: str) -> str:
         return f"{path}/chain={chain}/cursor={cursor}"
@@ -87,6 +93,7 @@ class PageReader(DataSourceStreamReader):
             except (OSError, ValueError):
                 break
             pages.append(cursor)
+            self.following[chain, cursor] = following or END
             cursor = following or END
         return pages, cursor
 
@@ -102,36 +109,40 @@ class PageReader(DataSourceStreamReader):
         self.at = here
         return here
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
         if self.at is None:       # a restarted stream plans its last batch again
             self.at = dict(end)
+        fs, path = _files(self.path)
         pages = []
         for chain, stop in end.items():
             cursor = start.get(chain, START)
-            if cursor != stop:
-                fs, path = _files(self.path)
-                while cursor is not END and cursor != stop:
-                    pages.append(Page(chain, cursor))
+            while cursor != stop and cursor is not END:
+                pages.append((chain, cursor))
+                if (chain, cursor) in self.following:
+                    cursor = self.following.pop((chain, cursor))
+                else:
                     with fs.open_input_stream(_page(fs, self._folder(chain, cursor, path))[0]) as f:
                         cursor = json.loads(_first_line(f)).get("next_cursor") or END
-        return pages
+        n = max(1, min(PAGES, len(pages) // TASKS))
+        return [Pages(pages[k:k + n]) for k in range(0, len(pages), n)]
 
     def commit(self, end: dict) -> None:
         if self.at is None:
             self.at = dict(end)
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         fs, path = _files(self.path)
         want = to_arrow_schema(self.schema)
         inside = pa.schema([f for f in want if f.name not in ("chain", "cursor")])
         how = pa.json.ParseOptions(explicit_schema=inside, unexpected_field_behavior="ignore")
-        for file in _page(fs, self._folder(partition.chain, partition.cursor, path)):
-            with fs.open_input_stream(file) as f:
-                rows = pa.json.read_json(f, parse_options=how)
-            given = {"chain": partition.chain, "cursor": partition.cursor}
-            columns = [pa.chunked_array([pa.array([given[f.name]] * rows.num_rows, pa.string())]) if f.name in given
-                       else rows.column(f.name) for f in want]
-            yield from pa.table(columns, schema=want).to_batches()
+        for chain, cursor in partition.pages:
+            given = {"chain": chain, "cursor": cursor}
+            for file in _page(fs, self._folder(chain, cursor, path)):
+                with fs.open_input_stream(file) as f:
+                    rows = pa.json.read_json(f, parse_options=how)
+                columns = [pa.chunked_array([pa.array([given[f.name]] * rows.num_rows, pa.string())]) if f.name in given
+                           else rows.column(f.name) for f in want]
+                yield from pa.table(columns, schema=want).to_batches()
 
 
 def _first_line(stream) -> bytes:

@@ -71,3 +71,17 @@ def test_stream_is_the_batch_at_every_prefix(spark, tmp_dir, late):
         want = C.crawl_state(spark.createDataFrame(seen, LOG))
         got = Cr.read_crawl_state(spark, f"{tmp_dir}/t").select(*want.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_many_pages_are_few_tasks_and_walked_once(tmp_dir, monkeypatch):
+    from credlens.sources import paged as P
+    n = 40 * P.TASKS
+    for k in range(n):
+        land(f"{tmp_dir}/pages", "a", "start" if k == 0 else f"p{k}", [f"a{k}"], f"p{k + 1}" if k + 1 < n else None)
+    source = P.PagedPosts({"path": f"{tmp_dir}/pages", "maxPages": str(1 << 30)})
+    reader = source.streamReader(None)
+    end = reader.latestOffset()
+    monkeypatch.setattr(P, "_first_line", lambda f: pytest.fail("a page was opened again"))
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) == P.TASKS and [c for p in parts for _, c in p.pages] == ["start", *[f"p{k}" for k in range(1, n)]]
+    assert end == {"a": P.END} and reader.following == {}
