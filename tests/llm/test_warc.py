@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -69,6 +70,26 @@ def test_foreign_archives(spark, tmp_dir):
     assert kinds == ["resource", "response", "revisit"]
 
 
+def test_archives_are_compressed_at_the_light_level(spark, tmp_dir):
+    """Not the default level, which costs three times the time: a little larger, the same lines."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(300)]
+    pages = [(i, f"http://a/{i}", " ".join(rnd.choices(words, k=500)).encode()) for i in range(150)]
+    df = spark.createDataFrame([(k, u, bytearray(p)) for k, u, p in pages], "key long, url string, payload binary")
+    W.write_arc(df.coalesce(1), f"{tmp_dir}/light")
+    lines = spark.read.option("lineSep", "\n").text(f"{tmp_dir}/light")
+    lines.coalesce(1).write.option("lineSep", "\n").option("compression", "gzip").text(f"{tmp_dir}/default")
+    packed = {}
+    for name in ("light", "default"):
+        [file] = [f for f in os.listdir(f"{tmp_dir}/{name}") if f.endswith(".gz")]
+        with open(f"{tmp_dir}/{name}/{file}", "rb") as f:
+            packed[name] = f.read()
+    assert gzip.decompress(packed["light"]) == gzip.decompress(packed["default"])
+    assert len(packed["default"]) < len(packed["light"]) < 1.15 * len(packed["default"])
+    got = W.read_arc(spark, f"{tmp_dir}/light").collect()
+    assert sorted((r.key, bytes(r.payload)) for r in got) == [(k, p) for k, _, p in pages]
+
+
 @pytest.mark.parametrize("bad", [b"x 1 2 3 4\n", b"filedesc://a 0 1 t 5\n3 0 O\n"])
 def test_broken_archives_raise(bad):
     with pytest.raises(ValueError):
