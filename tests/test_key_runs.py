@@ -119,3 +119,28 @@ def test_a_broken_version_folder_raises(spark, tmp_dir):
         f.write("not a folder")
     with pytest.raises(Exception):
         St.read_rows(spark, f"{tmp_dir}/t", "uri").count()
+
+
+def test_rows_of_some_keys_come_from_the_runs_that_hold_them(spark, tmp_dir, monkeypatch):
+    """The rows of a micro-batch's keys: newest fields, and no folder is read for unseen keys."""
+    base = f"{tmp_dir}/t"
+    St.upsert_scored(spark, base, rows(spark, range(50), "a"), now=F.lit(T0))
+    St.upsert_scored(spark, base, rows(spark, [3, 3, 60], "b"), now=F.lit(T1))
+    assert [(r.rows, r.blocks) for r in Rn.runs(spark, base)] == [(50, 1), (2, 1)]
+    keys = rows(spark, [3, 7, 60, 99], "x").select("post_id")
+    got = {r.post_id: (r.predicted_label, r.created_at) for r in St.read_scored(spark, base, keys).collect()}
+    assert got == {"p3": ("b", T0), "p7": ("a", T0), "p60": ("b", T1)}
+    frames = []
+    newest = Rn._newest
+    monkeypatch.setattr(Rn, "_newest", lambda f, key: frames.append(len(f)) or newest(f, key))
+    assert St.read_scored(spark, base, rows(spark, [7], "x").select("post_id")).count() == 1 and frames == [1]
+    unseen = rows(spark, range(1000, 1020), "x").select("post_id")
+    assert St.read_scored(spark, base, unseen).count() == 0 and len(frames) <= 2
+
+
+def test_a_batch_with_unique_keys_is_written_without_gathering(spark, tmp_dir, monkeypatch):
+    gathered = []
+    monkeypatch.setattr(St, "one_per_key", lambda rows, key, order=(), f=St.one_per_key: gathered.append(1) or f(rows, key, order))
+    assert St.upsert_scored(spark, f"{tmp_dir}/t", rows(spark, range(5), "a"), now=F.lit(T0)) == 5 and not gathered
+    assert St.upsert_scored(spark, f"{tmp_dir}/t", rows(spark, [1, 1], "b"), now=F.lit(T0)) == 1 and gathered == [1]
+    assert St.read_scored(spark, f"{tmp_dir}/t").count() == 5

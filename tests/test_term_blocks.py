@@ -106,3 +106,15 @@ def test_keywords_of_carried_clusters_need_no_join_of_weights(spark):
     carried = w.join(a, "post_id").drop("post_id").checkpoint()
     got = {tuple(r) for r in K.centroid_keywords(a, carried).collect()}
     assert got == {tuple(r) for r in K.centroid_keywords(a, w).collect()} and len(got) == 3
+
+
+def test_batches_of_words_equal_words_one_by_one(spark):
+    """Other scripts, line ends and blanks, where the engines' letters may differ, included."""
+    from credlens.operators import lexicon as L
+    texts = ["not good \n bad\n", "中文 good हि not happy", "a  b ", "fear1 fear children cities", "naïve good", "", None]
+    p = spark.createDataFrame([(f"{i}{l}", t, l) for i, t in enumerate(texts) for l in ("en", "fr")],
+                              "post_id string, clean_text string, lang_detected string")
+    lex, mods = L.word_lexicon(spark), L.modifier_table(spark)
+    names = ["post_id", "tokens", "sentiment", "emo_hits"]
+    one, many = (sorted(f(p, lex, mods).select(*names).collect(), key=str) for f in (L._one_by_one, L._in_row))
+    assert one == many and any(r.emo_hits for r in one) and sum(r.tokens is None for r in one) == 4
